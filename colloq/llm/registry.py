@@ -1,10 +1,14 @@
 """Queries of the corpus operators and the SQL that some of them are held against."""
 
+from colloq.llm.media import op5_media_columns
+from colloq.llm.near_dup import op9_minhash_near_dedup
 from colloq.llm.packing import op6_best_fit_packing
 from colloq.llm.url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {
+    "op5_media_columns": op5_media_columns,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_url_filter": op10_url_filter,
 }
 ORACLE_SQL = {
