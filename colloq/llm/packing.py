@@ -185,7 +185,8 @@ def ranked(pieces: DataFrame) -> DataFrame:
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Pieces with sequence_id and offset."""
     spark = pieces.sparkSession
-    rows = written(ranked(pieces), "pieces")
+    # Written before it is range-sorted: sampling the ranges would else tokenise every text again.
+    rows = written(ranked(written(pieces, "pieces")), "ranked")
     # One count per range and length: as many as there are ranges and lengths together.
     parts = rows.groupBy("length", "range").count().orderBy("length", "range").collect()
     counts: dict[int, int] = defaultdict(int)
