@@ -3,9 +3,11 @@
 from colloq.llm.media import op5_media_columns
 from colloq.llm.near_dup import op9_minhash_near_dedup
 from colloq.llm.packing import op6_best_fit_packing
+from colloq.llm.substrings import op4_suffix_dedup
 from colloq.llm.url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_media_columns": op5_media_columns,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
