@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What documents hold; stages of a pipeline hand these on.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -59,3 +60,8 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
 def pieces(total: int, each: int, least: int = 1) -> int:
     """Into how many parts of about ``each`` bytes ``total`` goes."""
     return max(least, -(-total // each))
+
+
+def plus(df: DataFrame, fields: str) -> T.StructType:
+    """The schema of ``df`` with more fields."""
+    return T.StructType([*df.schema.fields, *T._parse_datatype_string(fields).fields])
