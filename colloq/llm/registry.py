@@ -1,6 +1,7 @@
 """Queries of the corpus operators and the SQL that some of them are held against."""
 
 from colloq.llm.language import op2_viterbi_language
+from colloq.llm.lm_score import op8_deleted_interpolation
 from colloq.llm.media import op5_media_columns
 from colloq.llm.near_dup import op9_minhash_near_dedup
 from colloq.llm.packing import op6_best_fit_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_media_columns": op5_media_columns,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_deleted_interpolation": op8_deleted_interpolation,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_url_filter": op10_url_filter,
 }
