@@ -7,14 +7,15 @@
 2. Rows with equal sets are one node, known by the digest of the set, so that copies
    cost a group-by and no pairs.
 3. The sketch is cut into bands. In each band's bucket every node gets an edge to the
-   bucket's least node: as many edges as rows, not pairs.
+   bucket's centre: as many edges as rows, not pairs. The centre is the node that shares
+   the largest buckets, which the middle of a group of near copies does.
 4. Edges are confirmed on full sets, and components of confirmed links are formed.
-5. Stars alone would lose links between two nodes of a bucket that the least node is
-   not linked with. Where a bucket still holds nodes of several components, nodes that
-   are not in the component of its least node are compared with the nodes of the
-   bucket's other components. Jaccard distance is a metric, so a pair whose distances
-   to the least node differ by more than the largest distance of a link can't be one;
-   that test is exact and leaves the fringe of a group only.
+5. Stars alone would lose links between two nodes of a bucket that its centre is
+   not linked with. While a bucket still holds several components, the most central node
+   outside the first centre's component gets a star of its own to all nodes of other components, for
+   ``STAR_ROUNDS`` rounds. What outsiders are left are compared with all nodes of their bucket's
+   other components; Jaccard distance is a metric, so a pair whose distances to the centre differ by
+   more than the largest distance of a link can't be one, which leaves the fringe of a group.
 
 Nothing is capped: there is no limit on buckets, candidates or partners. With 26 bands of 4 bins
 a pair at similarity 0.8 meets in some bucket but for about one in a million.
@@ -38,6 +39,7 @@ from colloq.llm.components import components
 from colloq.llm.shingles import blocks, mix, shingle_sets
 
 BANDS, ROWS = 26, 4
+STAR_ROUNDS = 3
 BINS = BANDS * ROWS
 #: Where bins 1, 2, ... begin among 64-bit values.
 EDGES = np.array([(k << 64) // BINS for k in range(1, BINS)], "uint64")
@@ -126,6 +128,26 @@ def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.withColumn("linked", F.expr(f"100 * shared >= {percent} * (na + nb - shared)"))
 
 
+def _pairs(stars: DataFrame) -> DataFrame:
+    """Distinct (a, b, na, nb) with a < b of rows with structs m and c."""
+    low, high = F.least("m.node", "c.node"), F.greatest("m.node", "c.node")
+    own = F.col("m.node") < F.col("c.node")
+    sizes = F.when(own, F.col("m.size")).otherwise(F.col("c.size")), F.when(own, F.col("c.size")).otherwise(F.col("m.size"))
+    return stars.select(low.alias("a"), high.alias("b"), sizes[0].alias("na"), sizes[1].alias("nb")).distinct()
+
+
+def _fringe(open_: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, m, c): what no star has compared, outsiders with the other components of their bucket.
+
+    Distances to a bucket's first centre differ by no more than the distance of a link.
+    """
+    known = first.select("a", "b", (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d"))
+    rows = open_.where("m.node <> c.m.node").withColumn("a", F.least("m.node", "c.m.node")).withColumn("b", F.greatest("m.node", "c.m.node")).join(known, ["a", "b"], "left")
+    outside = rows.where("root <> c.root AND NOT done").select("key", F.col("m").alias("x"), F.col("root").alias("rx"), F.col("d").alias("dx"))
+    near = F.coalesce(F.abs(F.col("d") - F.col("dx")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    return rows.join(outside, "key").where((F.col("root") != F.col("rx")) & near).select("key", "m", F.col("x").alias("c"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     rows = written(nodes(docs, n), "sketches")
@@ -133,37 +155,43 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80) -> DataFrame
     unique = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.min("n_shingles").alias("size"), F.min("bands").alias("bands"))
     unique = written(unique.select("node", "least.*", "size", "bands"), "nodes")
     members = unique.select("node", "size", F.explode("bands").alias("key"))
-    # The least node of each bucket that has more than one; a key is of one band.
-    stars = members.groupBy("key").agg(F.min(F.struct("node", "size")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    bucket = written(members.join(stars.select("key", "c"), "key").select("key", "node", "size", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size")), "buckets")
-    pairs = bucket.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), F.col("centre_size").alias("na"), F.col("size").alias("nb")).distinct()
-    in_buckets = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = unique.select("node", "doc_id", "text_key").join(in_buckets, "node")
+    # Buckets of more than one node; a key is of one band.
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bucket = written(members.join(shared, "key").select("key", "node", "size", "n"), "buckets")
+    # A node in many large buckets is near the middle of its group: the best centre for a star.
+    rank = bucket.groupBy("node").agg(F.sum("n").alias("rank"))
+    bucket = written(bucket.drop("n").join(rank, "node").select("key", F.struct("rank", "node", "size").alias("m")), "members")
+    centre = bucket.groupBy("key").agg(F.max("m").alias("c"))
+    stars = bucket.join(centre, "key").where("m.node <> c.node")
+    wanted = unique.select("node", "doc_id", "text_key").join(bucket.select("m.node").distinct(), "node")
     sets = written(sets_of(docs, wanted, n), "sets")
-    first = written(overlaps(pairs, sets, percent), "stars")
-    links = first.where("linked").select("a", "b")
+    first = written(overlaps(_pairs(stars), sets, percent), "stars")
+    links, seen = first.where("linked").select("a", "b"), first.select("a", "b")
     found = components(links)
-    # Second round: buckets whose nodes are in several components.
-    label = bucket.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = label.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = label.join(mixed, "key").join(first.select(F.col("a").alias("centre"), F.col("b").alias("node"), "shared"), ["centre", "node"], "left")
-    apart = F.when(F.col("node") == F.col("centre"), 0.0).otherwise(1 - F.col("shared") / (F.col("size") + F.col("centre_size") - F.col("shared")))
-    open_ = open_.select("key", "node", "size", "root", apart.alias("d"), "centre")
-    roots = open_.where("node = centre").select("key", F.col("root").alias("centre_root"))
-    open_ = written(open_.join(roots, "key"), "mixed")
-    other = open_.where("root <> centre_root").select("key", F.col("node").alias("x"), F.col("size").alias("nx"), F.col("root").alias("rx"), F.col("d").alias("dx"))
-    more = (
-        open_.where("node <> centre")
-        .join(other, "key")
-        .where((F.col("root") != F.col("rx")) & (F.abs(F.col("d") - F.col("dx")) <= 1 - percent / 100 + 1e-9))
-        .select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"), F.when(F.col("node") < F.col("x"), F.col("size")).otherwise(F.col("nx")).alias("na"), F.when(F.col("node") < F.col("x"), F.col("nx")).otherwise(F.col("size")).alias("nb"))
-        .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")  # else the sizes alone rule a link out
-        .distinct()
-        .join(first.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    second = written(overlaps(more, sets, percent).where("linked").select("a", "b"), "fringe")
-    if second.limit(1).count():
-        found = components(links.union(second))
+    # Buckets that still hold several components: their outsiders, most central first, get stars of their own.
+    for step in range(STAR_ROUNDS + 1):
+        label = bucket.join(found.withColumnRenamed("node", "on"), F.col("m.node") == F.col("on"), "left").select("key", "m", F.coalesce("root", "m.node").alias("root"))
+        mixed = label.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("m", "root")).alias("c")).where("lo <> hi")
+        open_ = label.join(mixed.select("key", "c"), "key")
+        if step:
+            open_ = open_.join(done, ["key", "m"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
+        else:
+            open_ = open_.withColumn("done", F.lit(False))
+        open_ = written(open_, "open")
+        if not open_.where("NOT done AND root <> c.root").limit(1).count():
+            break
+        if step < STAR_ROUNDS:
+            next_ = open_.where("NOT done AND root <> c.root").groupBy("key").agg(F.max(F.struct("m", "root")).alias("next"))
+            stars = open_.drop("c").join(next_, "key").where("root <> next.root").select("key", "m", F.col("next.m").alias("c"))
+            fresh = next_.select("key", F.col("next.m").alias("m"), F.lit(True).alias("done"))
+            done = written(fresh.union(done) if step else fresh, "done")
+        else:
+            stars = _fringe(open_, first, percent)
+        pairs = _pairs(stars).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").join(seen, ["a", "b"], "left_anti")
+        more = written(overlaps(pairs, sets, percent), "more")
+        links, seen = links.union(more.where("linked").select("a", "b")), seen.union(more.select("a", "b"))
+        if more.where("linked").limit(1).count():
+            found = components(links)
     named = unique.select("node", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     ids = named.join(least, "root").select("node", "component_id")
