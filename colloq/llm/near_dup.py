@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloq.llm.common import table, written
+from colloq.llm.common import DOCUMENT_COLUMNS, table, written
 from colloq.llm.components import components
 from colloq.llm.shingles import blocks, mix, shingle_sets
 
@@ -148,8 +148,8 @@ def _fringe(open_: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     return rows.join(outside, "key").where((F.col("root") != F.col("rx")) & near).select("key", "m", F.col("x").alias("c"))
 
 
-def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, n_shingles, node) of every document, and (node, doc_id, root) of every node."""
     rows = written(nodes(docs, n), "sketches")
     # One row per node; the least document id (and its text) stands for it.
     unique = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.min("n_shingles").alias("size"), F.min("bands").alias("bands"))
@@ -193,12 +193,39 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80) -> DataFrame
         if more.where("linked").limit(1).count():
             found = components(links)
     named = unique.select("node", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows.select("doc_id", "text_key", "n_shingles", "node"), named
+
+
+def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    rows, named = classes(docs, n, percent)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = named.join(least, "root").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
+    out = rows.join(named.join(least, "root").select("node", "component_id"), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, n: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group of near duplicates: that with the least id (null ids last).
+
+    Of repeated rows one stays. Documents without words stay, all of them.
+    """
+    docs = docs.select(*DOCUMENT_COLUMNS)
+    rows, named = classes(docs, n, percent)
+    by_root = rows.join(named.select("node", "root"), "node")
+    first = by_root.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("f")).select("f.doc_id", "f.text_key")
+    copies = rows.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"), F.min("node").alias("node"))
+    wordless = copies.where("node IS NULL").select("doc_id", "text_key", F.lit(1).alias("copies"))
+    same = F.col("f.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("f.text_key") == F.col("c.text_key"))
+    keep = first.alias("f").join(copies.alias("c"), same).select("c.doc_id", "c.text_key", "c.copies").union(wordless)
+    keep = written(keep.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"), "copies"), "kept")
+    on = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_key"))
+    if not keep.where("copies > 1").limit(1).count():
+        return docs.join(keep, on, "left_semi")
+    once = docs.join(keep.where("copies = 1"), on, "left_semi")
+    again = docs.join(keep.where("copies > 1"), on).groupBy("kept_id", "kept_key").agg(F.first(F.struct(*DOCUMENT_COLUMNS)).alias("d")).select("d.*")
+    return once.union(again)

@@ -30,7 +30,6 @@ from collections import defaultdict, deque
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from colloq.llm.common import table, written
 
@@ -221,4 +220,9 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, end_id: int = 0) -> Da
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", F.col("text")))
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed."""
+    return pack_documents(docs)
