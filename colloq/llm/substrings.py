@@ -14,14 +14,18 @@ not all sent:
    It depends on those bytes alone, so equal strings have equal speakers. Neighbouring
    starts share a speaker: an interval of starts is one row, with the speaker's bucket and the
    refined bucket of the whole stretch that these starts cover.
-2. Group counts give the stretches that occur again: all starts in them are repeated.
-3. A speaker's bucket in which some stretch is alone and others exist may hold strings that are
-   repeated though their stretches differ. One member of each stretch has its single starts
-   refined to ``size`` bytes; these are counted by (speaker's bucket, refined bucket).
+2. A speaker's bucket with one member is done: its starts are unique. One with a single stretch and
+   several members is done too: its starts are repeated. Only mixed buckets are refined.
+3. Stretches that occur again in a mixed bucket are repeated. If some stretch is alone, one member of each
+   stretch sends its bytes on, and is cut at fixed offsets from the speaker into blocks of ``GRID``
+   starts. A block's core is what all its strings share: a core that is alone has unique starts only.
+   A block that occurs again is repeated. Where a core occurs again and its block doesn't, single
+   starts are refined to ``size`` bytes and counted.
 4. Every text gathers its own intervals, merges them and drops those bytes.
 
-Equal texts are one row with a count, so a group of copies costs one text. All groups are
-partial aggregates or joins; the only rows gathered per key are a text's own intervals.
+Texts are known by their MD5. All groups are partial aggregates or joins, which copies of a text or a
+passage that many texts hold can't make one task's list; the only rows gathered per key are a text's own
+intervals, as a set. Texts travel compressed, once to the refinement and once to the result.
 
 Defined results: a null or empty text has no bytes and no spans; texts under ``size``
 bytes lose nothing; repeated rows count as copies; strings never cross texts.
@@ -39,7 +43,9 @@ from pyspark.sql import functions as F
 from colloq.llm.common import table, written
 from colloq.llm.shingles import mix
 
-SIZE, GRAM = 200, 50
+SIZE, GRAM = 200, 32
+#: Starts in a block, by offset from their speaker.
+GRID = 16
 BLOCK = 1 << 20
 
 
@@ -91,7 +97,7 @@ def starts_of(bounds: np.ndarray, size: int, n: int) -> np.ndarray:
 
 
 def intervals(texts: list[bytes], size: int, gram: int):
-    """(text, speaker's bucket, stretch's bucket, first start, last start) of all texts.
+    """(text, speaker's bucket, stretch's bucket, first start, last start, speaker) of all texts.
 
     Where a very long text is worked on in pieces, an interval may end early; its
     stretch then has a name of its own, and its starts are told apart one by one.
@@ -110,7 +116,7 @@ def intervals(texts: list[bytes], size: int, gram: int):
         shape = ((last - first) * 4096 + who - first).astype("uint64")
         stretch = mix(whole[first] * np.uint64(0x9FB21C651E98DF25) + mix(whole[last] + shape))
         text = np.searchsorted(bounds, first + s, "right") - 1
-        out.append((text, grams[who], stretch, first + s - bounds[text], last + s - bounds[text]))
+        out.append((text, grams[who], stretch, first + s - bounds[text], last + s - bounds[text], who + s - bounds[text]))
     return [np.concatenate(x) for x in zip(*out)] if out else None
 
 
@@ -128,62 +134,160 @@ def text_blocks(batches, limit: int = BLOCK):
             yield [c.slice(at) for c in batch.columns[1:]], texts[at:]
 
 
-def contents(docs: DataFrame, size: int) -> DataFrame:
-    """(id, text, copies): distinct texts of ``size`` bytes or more, as bytes."""
-    text = F.col("text").cast("binary")
-    return (
-        docs.where(F.octet_length("text") >= size)
-        .select(F.unhex(F.md5(text)).alias("id"), text.alias("text"))
-        .groupBy("id")
-        .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    )
+def content_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the MD5 of each text."""
+    both = np.frombuffer(b"".join(hashlib.md5(t).digest() for t in texts), "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _place(lo: np.ndarray, hi: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """An interval and its speaker in one number."""
+    return (lo.astype("int64") << 32) | ((hi - lo).astype("int64") << 16) | (who - lo).astype("int64")
+
+
+def _placed(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lo = at >> 32
+    return lo, lo + ((at >> 16) & 0xFFFF), lo + (at & 0xFFFF)
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
+
+
+def _bytes():
+    return F.coalesce(F.col("text"), F.lit("")).cast("binary")
+
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, n_bytes, packed): every text, compressed."""
 
-def occurrences(texts: DataFrame, size: int, gram: int) -> DataFrame:
     def run(batches):
-        for (ids, copies), block in text_blocks(batches):
+        for (ids,), block in text_blocks(batches):
+            k1, k2 = content_keys(block)
+            yield _batch(doc_id=ids, k1=k1, k2=k2, n_bytes=pa.array([len(t) for t in block], pa.int64()), packed=pa.array([pa.compress(t, "zstd", asbytes=True) for t in block], pa.binary()))
+
+    return docs.select(_bytes().alias("text"), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, k1 long, k2 long, n_bytes long, packed binary")
+
+
+def unpacked_texts(packed: pa.Array, n_bytes: pa.Array) -> list[bytes]:
+    return [pa.decompress(z, n, "zstd", asbytes=True) for z, n in zip(packed.to_pylist(), n_bytes.to_pylist())]
+
+
+def occurrences(docs: DataFrame, size: int, gram: int) -> DataFrame:
+    """(speaker, stretch, k1, k2, at) of every interval of every document."""
+
+    def run(batches):
+        for _, block in text_blocks(batches):
             if (found := intervals(block, size, gram)) is None:
                 continue
-            k, speaker, stretch, first, last = found
-            take = pa.array(k)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(take), copies.take(take), pa.array(speaker.view("int64")), pa.array(stretch.view("int64")), pa.array(first.astype("int32")), pa.array(last.astype("int32"))],
-                ["id", "copies", "speaker", "stretch", "lo", "hi"],
-            )
+            text, speaker, stretch, lo, hi, who = found
+            k1, k2 = content_keys(block)
+            yield _batch(speaker=speaker.view("int64"), stretch=stretch.view("int64"), k1=k1[text], k2=k2[text], at=_place(lo, hi, who))
+
+    return docs.where(F.octet_length("text") >= size).select(_bytes().alias("text")).mapInArrow(run, "speaker long, stretch long, k1 long, k2 long, at long")
+
+
+def stretch_bytes(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(k1, k2, at, speaker, m, bytes) for wanted (k1, k2, at, speaker, m); one document stands for each text."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            texts = unpacked_texts(batch["packed"], batch["n_bytes"])
+            for k1, k2, text, spans in zip(batch["k1"].to_pylist(), batch["k2"].to_pylist(), texts, batch["spans"].to_pylist()):
+                for x in spans:
+                    lo = x["at"] >> 32
+                    out.append((k1, k2, x["at"], x["speaker"], x["m"], text[lo : lo + ((x["at"] >> 16) & 0xFFFF) + size]))
+            if out:
+                c = list(zip(*out))
+                yield _batch(**{n: pa.array(v, pa.int64()) for n, v in zip(("k1", "k2", "at", "speaker", "m"), c)}, bytes=pa.array(c[5], pa.binary()))
+
+    texts = packed_texts(docs.where(F.octet_length("text") >= size)).groupBy("k1", "k2").agg(F.first("packed").alias("packed"), F.first("n_bytes").alias("n_bytes"))
+    spans = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "speaker", "m")).alias("spans"))
+    return texts.join(spans, ["k1", "k2"]).mapInArrow(run, "k1 long, k2 long, at long, speaker long, m long, bytes binary")
+
+
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts n: the owner and the place among its own of each of sum(n) items."""
+    owner = np.repeat(np.arange(len(n)), n)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+
 
-    return texts.select("text", "id", "copies").mapInArrow(run, "id binary, copies long, speaker long, stretch long, lo int, hi int")
+def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch[c].to_numpy(zero_copy_only=False) for c in names]
 
 
-def single_starts(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(id, speaker, name, at, members, alone) of every start in the wanted intervals."""
+def grid_blocks(stretches: DataFrame, size: int) -> DataFrame:
+    """(k1, k2, at, first, last, core, block, m): blocks of starts at fixed offsets from their speaker."""
 
     def run(batches):
-        for (ids, spans), block in text_blocks(batches):
-            data, bounds = joined(block)
-            span = spans.to_pylist()
-            k = np.repeat(np.arange(len(block)), [len(x) for x in span])
-            flat = [y for x in span for y in x]
-            lo = np.array([x["lo"] for x in flat], "int64")
-            n = np.array([x["hi"] for x in flat], "int64") - lo + 1
-            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            place, names = at + bounds[:-1][np.repeat(k, n)], np.empty(len(at), "uint64")
-            for s, part in segments(data, size):
-                inside = np.flatnonzero((place >= s) & (place <= s + len(part) - size))
-                if len(inside):
-                    names[inside] = refine(part, size)[0][place[inside] - s]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.take(pa.array(np.repeat(k, n))),
-                    pa.array(np.repeat(np.array([x["speaker"] for x in flat], "int64"), n)),
-                    pa.array(names.view("int64")),
-                    pa.array(at.astype("int32")),
-                    pa.array(np.repeat(np.array([x["members"] for x in flat], "int64"), n)),
-                ],
-                ["id", "speaker", "name", "at", "members"],
-            )
-
-    grouped = wanted.groupBy("id").agg(F.collect_list(F.struct("speaker", "lo", "hi", "members")).alias("spans"))
-    return texts.join(grouped, "id").select("text", "id", "spans").mapInArrow(run, "id binary, speaker long, name long, at int, members long")
+        for batch in batches:
+            k1, k2, at, speaker, m = _columns(batch, "k1", "k2", "at", "speaker", "m")
+            lo, hi, who = _placed(at)
+            data, base = joined(batch["bytes"].to_pylist())
+            cores, whole = refine(data, size - GRID + 1, size)
+            one = (who - hi) // GRID
+            r, k = _spread((who - lo) // GRID - one + 1)
+            j = one[r] + k
+            first = np.maximum(lo[r], who[r] - j * GRID - GRID + 1)
+            last = np.minimum(hi[r], who[r] - j * GRID)
+            here = base[r] - lo[r]
+            core = mix(cores[here + who[r] - j * GRID] * np.uint64(0x9FB21C651E98DF25) + mix(speaker.view("uint64")[r] + j.astype("uint64")))
+            shape = ((who[r] - first) * 4096 + who[r] - last).astype("uint64")
+            block = mix(whole[here + first] * np.uint64(0xA0761D6478BD642F) + mix(whole[here + last] + mix(core + shape)))
+            yield _batch(k1=k1[r], k2=k2[r], at=at[r], first=first, last=last, core=core.view("int64"), block=block.view("int64"), m=m[r])
+
+    return stretches.mapInArrow(run, "k1 long, k2 long, at long, first long, last long, core long, block long, m long")
+
+
+def single_starts(stretches: DataFrame, open_: DataFrame, size: int) -> DataFrame:
+    """(name, k1, k2, start, m) of every start in open blocks."""
+
+    def run(batches):
+        for batch in batches:
+            k1, k2, at, speaker, m = _columns(batch, "k1", "k2", "at", "speaker", "m")
+            data, base = joined(batch["bytes"].to_pylist())
+            (whole,) = refine(data, size)
+            spans = batch["spans"].to_pylist()
+            r = np.repeat(np.arange(len(spans)), [len(x) for x in spans])
+            first = np.array([y["first"] for x in spans for y in x], "int64")
+            last = np.array([y["last"] for x in spans for y in x], "int64")
+            b, k = _spread(last - first + 1)
+            r, start = r[b], first[b] + k
+            name = mix(whole[base[r] - (at[r] >> 32) + start] + mix(speaker.view("uint64")[r]))
+            yield _batch(name=name.view("int64"), k1=k1[r], k2=k2[r], start=start, m=m[r])
+
+    spans = open_.groupBy("k1", "k2", "at").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    return stretches.join(spans, ["k1", "k2", "at"]).mapInArrow(run, "name long, k1 long, k2 long, start long, m long")
+
+
+def repeated_spans(docs: DataFrame, size: int, gram: int) -> DataFrame:
+    """(k1, k2, lo, hi): intervals of repeated starts by text; some may come more than once."""
+    rows = occurrences(docs, size, gram)
+    buckets = rows.groupBy("speaker").agg(F.count(F.lit(1)).alias("n"), F.min("stretch").alias("a"), F.max("stretch").alias("b")).where("n > 1")
+    mixed = F.col("a") != F.col("b")
+    met = rows.join(buckets, "speaker").select("k1", "k2", "at", F.when(mixed, F.col("speaker")).alias("speaker"), F.when(mixed, F.col("stretch")).alias("stretch"))
+    met = written(met, "met")
+    unclear = met.where("speaker IS NOT NULL")
+    members = unclear.groupBy("speaker", "stretch").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("k1", "k2", "at")).alias("one"))
+    again = unclear.join(members.where("m > 1").select("speaker", "stretch"), ["speaker", "stretch"], "left_semi")
+    alone = members.groupBy("speaker").agg(F.min("m").alias("fewest")).where("fewest = 1").select("speaker")
+    wanted = members.join(alone, "speaker").select("speaker", "m", "one.*")
+    stretches = written(stretch_bytes(docs, wanted, size), "stretches")
+    blocks = written(grid_blocks(stretches, size), "blocks")
+    sums = blocks.groupBy("core", "block").agg(F.sum("m").alias("n"))
+    more = blocks.where("m = 1").join(sums.where("n > 1").select("core", "block"), ["core", "block"], "left_semi")
+    open_ = sums.groupBy("core").agg(F.sum("n").alias("n"), F.min("n").alias("fewest")).where("n > 1 AND fewest = 1").select("core")
+    starts = written(single_starts(stretches, blocks.join(open_, "core", "left_semi"), size), "starts")
+    names = starts.groupBy("name").agg(F.sum("m").alias("n"), F.min("m").alias("fewest")).where("n > 1 AND fewest = 1").select("name")
+    single = starts.where("m = 1").join(names, "name", "left_semi")
+    whole = met.where("speaker IS NULL").select("k1", "k2", "at").union(again.select("k1", "k2", "at"))
+    lo = F.shiftright("at", 32)
+    return (
+        whole.select("k1", "k2", lo.alias("lo"), (lo + F.shiftright("at", 16).bitwiseAND(0xFFFF)).alias("hi"))
+        .union(more.select("k1", "k2", "first", "last"))
+        .union(single.select("k1", "k2", "start", F.col("start")))
+    )
 
 
 def kept_bytes(text: bytes, lo: list[int], hi: list[int], size: int) -> tuple[int, int, bytes]:
@@ -198,62 +302,24 @@ def kept_bytes(text: bytes, lo: list[int], hi: list[int], size: int) -> tuple[in
     return int((end - begin).sum()), len(begin), b"".join(left)
 
 
-RESULT = "id binary, n_removed long, n_spans long, kept_sha256 string"
-
-
-def cleaned(texts: DataFrame, spans: DataFrame, size: int, keep_text: bool = False) -> DataFrame:
-    """Per distinct text what was removed; with ``keep_text`` also the bytes that are left."""
+def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document (and ``kept``, the bytes that are left)."""
 
     def run(batches):
-        for (ids, copies, los, his), block in text_blocks(batches):
+        for batch in batches:
             out = []
-            for text, m, lo, hi in zip(block, copies.to_pylist(), los.to_pylist(), his.to_pylist()):
-                lo, hi = ([0], [len(text) - size]) if m > 1 else (lo or [], hi or [])
-                removed, runs, left = kept_bytes(text, lo, hi, size)
+            texts = unpacked_texts(batch["packed"], batch["n_bytes"])
+            for text, spans in zip(texts, batch["spans"].to_pylist()):
+                removed, runs, left = kept_bytes(text, [x["lo"] for x in spans or ()], [x["hi"] for x in spans or ()], size)
                 out.append((removed, runs, hashlib.sha256(left).hexdigest(), left))
-            columns = list(zip(*out))
-            kinds, names = [pa.int64(), pa.int64(), pa.string(), pa.binary()], ["n_removed", "n_spans", "kept_sha256", "kept"]
-            n = 4 if keep_text else 3
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns[:n], kinds[:n]))], ["id", *names[:n]])
-
-    gathered = spans.groupBy("id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    return texts.join(gathered, "id", "left").select("text", "id", "copies", "lo", "hi").mapInArrow(run, RESULT + ", kept binary" * keep_text)
-
-
-def repeated_spans(texts: DataFrame, size: int, gram: int) -> DataFrame:
-    """(id, lo, hi): intervals of repeated starts in texts that have one copy."""
-    rows = occurrences(texts, size, gram)
-    stretches = written(
-        rows.groupBy("speaker", "stretch").agg(F.sum("copies").alias("members"), F.min(F.struct("id", "lo", "hi")).alias("one")), "stretches"
-    )
-    buckets = stretches.groupBy("speaker").agg(F.count(F.lit(1)).alias("n"), F.min("members").alias("fewest"), F.sum("members").alias("all"))
-    again = stretches.where("members > 1").select("speaker", "stretch")
-    same = rows.where("copies = 1").join(again, ["speaker", "stretch"], "left_semi").select("id", "lo", "hi")
-    # Buckets where a stretch that is alone meets others.
-    unsure = stretches.join(buckets.where("n > 1 AND fewest = 1").select("speaker"), "speaker").select("speaker", "members", "one.*")
-    starts = written(single_starts(texts, unsure, size), "starts")
-    counts = starts.groupBy("speaker", "name").agg(F.sum("members").alias("all"), F.min("members").alias("fewest"))
-    shared = counts.where("all > 1 AND fewest = 1").select("speaker", "name")
-    single = starts.where("members = 1").join(shared, ["speaker", "name"], "left_semi").select("id", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return same.union(single)
-
-
-def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document (and ``kept``)."""
-    texts = contents(docs, size)
-    found = cleaned(texts, repeated_spans(texts, size, gram), size, keep_text)
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    # Null rather than a digest where the text is too short, so that those rows join with nothing.
-    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.when(F.octet_length(text) >= size, F.unhex(F.md5(text))).alias("id"), F.sha2(text, 256).alias("own"), *([text.alias("text")] if keep_text else []))
-    out = rows.join(found, "id", "left").select(
-        "doc_id",
-        "n_bytes",
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("kept_sha256", "own").alias("kept_sha256"),
-        *([F.coalesce("kept", "text").alias("kept")] if keep_text else []),
-    )
-    return out
+            c = list(zip(*out)) or [()] * 4
+            kept = {"kept": pa.array(c[3], pa.binary())} if keep_text else {}
+            yield _batch(doc_id=batch["doc_id"], n_bytes=batch["n_bytes"], n_removed=pa.array(c[0], pa.int64()), n_spans=pa.array(c[1], pa.int64()), kept_sha256=pa.array(c[2], pa.string()), **kept)
+
+    # A set: copies of a text bring its intervals once each.
+    spans = repeated_spans(docs, size, gram).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    rows = packed_texts(docs).join(spans, ["k1", "k2"], "left")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
