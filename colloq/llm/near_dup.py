@@ -152,8 +152,8 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     """(doc_id, text_key, n_shingles, node) of every document, and (node, doc_id, root) of every node."""
     rows = written(nodes(docs, n), "sketches")
     # One row per node; the least document id (and its text) stands for it.
-    unique = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.min("n_shingles").alias("size"), F.min("bands").alias("bands"))
-    unique = written(unique.select("node", "least.*", "size", "bands"), "nodes")
+    unique = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least"), F.min("n_shingles").alias("size"), F.min("bands").alias("bands"))
+    unique = written(unique.select("node", "least.doc_id", "least.text_key", "size", "bands"), "nodes")
     members = unique.select("node", "size", F.explode("bands").alias("key"))
     # Buckets of more than one node; a key is of one band.
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

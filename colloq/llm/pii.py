@@ -200,33 +200,38 @@ def posterior(key: tuple, share: dict[str, float], chance: list[dict[int, float]
     return a / (a + b) if a + b > 0 else 0.5
 
 
-def train(counts: list[tuple], rounds: int = ROUNDS) -> tuple[float, dict[tuple[str, object], float]]:
-    """Naive Bayes from (traits..., n): log odds of truth to begin with, and of each trait's value."""
+def train(counts: list[tuple], rounds: int = ROUNDS) -> tuple[dict[str, float], dict[tuple[str, str, object], float]]:
+    """Naive Bayes of each kind from (traits..., n): log odds of truth, and of each trait's value."""
     patterns: dict[tuple, float] = {}
     for *traits, n in counts:
         key = tuple(traits[: 1 + len(VOTES)])
         patterns[key] = patterns.get(key, 0.0) + n
     share, chance = reliabilities(patterns, rounds)
-    total = [1.0, 1.0]
-    seen: dict[tuple[str, object], list[float]] = {}
+    total = {k: [1.0, 1.0] for k in share}
+    seen: dict[tuple[str, str, object], list[float]] = {}
     for *traits, n in counts:
         p = posterior(tuple(traits[: 1 + len(VOTES)]), share, chance)
-        total[1] += n * p
-        total[0] += n * (1 - p)
-        for name, v in zip(TRAITS, traits):
-            cell = seen.setdefault((name, v), [1.0, 1.0])
+        kind = traits[0]
+        for cell in (total[kind], *(seen.setdefault((kind, name, v), [0.0, 0.0]) for name, v in zip(TRAITS[1:], traits[1:]))):
             cell[1] += n * p
             cell[0] += n * (1 - p)
-    return math.log(total[1] / total[0]), {k: math.log(c[1] / total[1]) - math.log(c[0] / total[0]) for k, c in seen.items()}
+    # A value seen little tells little: one count is added, dealt out as the classes are.
+    odds = {}
+    for key, c in seen.items():
+        t = total[key[0]]
+        odds[key] = math.log((c[1] + t[1] / sum(t)) / t[1]) - math.log((c[0] + t[0] / sum(t)) / t[0])
+    return {k: math.log(t[1] / t[0]) for k, t in total.items()}, odds
 
 
-def log_odds(model: tuple[float, dict[tuple[str, object], float]]) -> Column:
+def log_odds(model: tuple[dict[str, float], dict[tuple[str, str, object], float]]) -> Column:
+    """A span's log odds; a value that training did not see changes nothing."""
     first, weights = model
-    out = F.lit(first)
-    for name in TRAITS:
-        own = [(v, w) for (k, v), w in sorted(weights.items(), key=str) if k == name]
-        if own:
-            out = out + F.coalesce(F.create_map(*[F.lit(x) for p in own for x in p])[F.col(name)], F.lit(0.0))
+    if not first:
+        return F.lit(0.0)
+    look = lambda pairs, key: F.coalesce(F.create_map(*[F.lit(x) for p in pairs for x in p])[key], F.lit(0.0))
+    out = look(sorted(first.items()), F.col("kind"))
+    for name in TRAITS[1:]:
+        out = out + look(sorted((f"{k}|{v}", w) for (k, n, v), w in weights.items() if n == name), F.concat_ws("|", "kind", F.col(name)))
     return out
 
 

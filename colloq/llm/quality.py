@@ -118,7 +118,7 @@ class Space:
         weight = np.log1p(count).astype("float32") * self.idf[term]
         out = np.full(len(texts), float(self.labels.mean()))
         # Sparse rows times the projection, then all cosines of the block.
-        spread = np.zeros((len(texts), DIMENSIONS), "float32")
+        spread = np.zeros((len(texts), self.project.shape[1]), "float32")
         begin = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else np.zeros(0, "int64")
         if not len(begin):
             return out
