@@ -33,7 +33,8 @@ def meeting_speakers(spark: SparkSession, folder: str) -> DataFrame:
             raise
         warnings.warn(f"no {path}", stacklevel=2)
         return spark.createDataFrame([], SPEAKERS)
-    rows = raw.where("_observation IS NOT NULL").select(F.col("_observation").alias("meeting_id"), F.monotonically_increasing_id().alias("m"), F.posexplode("speaker").alias("pos", "s"))
+    rows = raw.where("_observation IS NOT NULL").select(F.col("_observation").alias("meeting_id"), F.monotonically_increasing_id().alias("m"), "speaker")
+    rows = rows.select("meeting_id", "m", F.posexplode("speaker").alias("pos", "s"))
     rows = rows.where("s._nxt_agent IS NOT NULL AND s._nxt_agent <> ''")
     # A later entry of a meeting replaces the whole earlier one.
     last = F.max("m").over(W.partitionBy("meeting_id"))
