@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 from colloq.llm.common import pieces, table, text_bytes, written
 from colloq.llm.shingles import mix, word_ids
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of text whose identifiers one range's task counts, about.
-RANGE_BYTES = 12 << 20
+RANGE_BYTES = 8 << 20
 TEST, HELD_OUT, COUNTED = 0, 1, 2
 #: Identifiers of the tokens before and after a text, which no word has but by chance.
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
