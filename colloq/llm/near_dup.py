@@ -10,12 +10,12 @@
    bucket's centre: as many edges as rows, not pairs. The centre is the node that shares
    the largest buckets, which the middle of a group of near copies does.
 4. Edges are confirmed on full sets, and components of confirmed links are formed.
-5. Stars alone would lose links between two nodes of a bucket that its centre is
-   not linked with. While a bucket still holds several components, the most central node
-   outside the first centre's component gets a star of its own to all nodes of other components, for
-   ``STAR_ROUNDS`` rounds. What outsiders are left are compared with all nodes of their bucket's
-   other components; Jaccard distance is a metric, so a pair whose distances to the centre differ by
-   more than the largest distance of a link can't be one, which leaves the fringe of a group.
+5. Stars alone would lose links between two nodes of a bucket that its centre c is not linked with both.
+   Against c every node x is a set of differences, those of x from c, and two nodes differ by what is
+   in one of their difference sets only. So a link needs differences in common, and more than half of
+   them if x is far from c: by the prefix filter two such nodes share one of the first differences in a
+   fixed order (what c lacks before what x lacks). An equi-join on (c, difference) of these few
+   finds all pairs of different components that can be links, and those are confirmed on full sets as well.
 
 Nothing is capped: there is no limit on buckets, candidates or partners. With 26 bands of 4 bins
 a pair at similarity 0.8 meets in some bucket but for about one in a million.
@@ -39,7 +39,6 @@ from colloq.llm.components import components
 from colloq.llm.shingles import blocks, mix, shingle_sets
 
 BANDS, ROWS = 26, 4
-STAR_ROUNDS = 3
 BINS = BANDS * ROWS
 #: Where bins 1, 2, ... begin among 64-bit values.
 EDGES = np.array([(k << 64) // BINS for k in range(1, BINS)], "uint64")
@@ -136,16 +135,59 @@ def _pairs(stars: DataFrame) -> DataFrame:
     return stars.select(low.alias("a"), high.alias("b"), sizes[0].alias("na"), sizes[1].alias("nb")).distinct()
 
 
-def _fringe(open_: DataFrame, first: DataFrame, percent: int) -> DataFrame:
-    """Rows (key, m, c): what no star has compared, outsiders with the other components of their bucket.
+def differences(rays: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, x, nx, root, far, first): the first differences of each x from its centre c, keyed by c and difference.
 
-    Distances to a bucket's first centre differ by no more than the distance of a link.
+    With k = (100 - percent) / (100 + percent) a link between x and y is: h(x) + h(y) - 2 * common <= k * (|x| + |y|),
+    where h counts differences from c. If x is far (no link with c), h(x) > k * (|x| + |c|), hence
+    common > (h(y) + k * (|c| - |y|)) / 2 for its partner y, near or far; and as common <= h(y),
+    common >= h(x) - k * (|x| + |y|), where |y| <= 100 / percent * |x|. ``first`` marks the prefix by the former bound.
     """
-    known = first.select("a", "b", (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d"))
-    rows = open_.where("m.node <> c.m.node").withColumn("a", F.least("m.node", "c.m.node")).withColumn("b", F.greatest("m.node", "c.m.node")).join(known, ["a", "b"], "left")
-    outside = rows.where("root <> c.root AND NOT done").select("key", F.col("m").alias("x"), F.col("root").alias("rx"), F.col("d").alias("dx"))
-    near = F.coalesce(F.abs(F.col("d") - F.col("dx")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    return rows.join(outside, "key").where((F.col("root") != F.col("rx")) & near).select("key", "m", F.col("x").alias("c"))
+    k = (100 - percent) / (100 + percent)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            columns = (batch[n].to_pylist() for n in ("c", "x", "root"))
+            for c, x, root, sc, sx in zip(*columns, batch["sc"], batch["sx"]):
+                sc, sx = np.frombuffer(sc.as_buffer(), "uint64"), np.frombuffer(sx.as_buffer(), "uint64")
+                added, lacking = np.setdiff1d(sx, sc, assume_unique=True), np.setdiff1d(sc, sx, assume_unique=True)
+                h, shared = len(added) + len(lacking), len(sx) - len(added)
+                far = 100 * shared < percent * (len(sc) + len(added))
+                half = h - max(1, int(np.ceil((h + k * (len(sc) - len(sx))) / 2 - 1e-9))) + 1
+                wide = h - max(1, int(np.ceil(h - k * len(sx) * (1 + 100 / percent) - 1e-9))) + 1
+                n = max(half, wide) if far else half
+                keys = mix(np.r_[added, lacking][:n] ^ mix(np.frombuffer(c[:8], "uint64")))
+                out.append((keys, np.arange(len(keys)) < half, x, len(sx), root, far))
+            if out:
+                n = np.array([len(o[0]) for o in out])
+                at = pa.array(np.repeat(np.arange(len(out)), n))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([o[0] for o in out]).view("int64")),
+                        pa.array([o[2] for o in out], pa.binary()).take(at),
+                        pa.array([o[3] for o in out], pa.int64()).take(at),
+                        pa.array([o[4] for o in out], pa.int64()).take(at),
+                        pa.array([bool(o[5]) for o in out]).take(at),
+                        pa.array(np.concatenate([o[1] for o in out])),
+                    ],
+                    ["key", "x", "nx", "root", "far", "first"],
+                )
+
+    rows = rays.select("c", "x", F.xxhash64("rx").alias("root"))
+    rows = rows.join(sets.select(F.col("node").alias("c"), F.col("shingles").alias("sc")), "c").join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x")
+    return written(rows.select("c", "x", "root", "sc", "sx").mapInArrow(run, "key long, x binary, nx long, root long, far boolean, first boolean"), "differences")
+
+
+def shared_differences(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b, na, nb) of different components with a difference in common, one of them far from the centre."""
+    y = rows.where("first").select("key", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("root").alias("ry"), F.col("far").alias("yfar"))
+    fits = (F.col("root") != F.col("ry")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    both = rows.where("far").join(y, "key").where(fits & F.when(F.col("yfar"), F.col("first") & (F.col("x") < F.col("y"))).otherwise(F.lit(True)))
+    own = F.col("x") < F.col("y")
+    return both.select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(own, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(own, F.col("ny")).otherwise(F.col("nx")).alias("nb")
+    ).distinct()
 
 
 def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -168,30 +210,17 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     first = written(overlaps(_pairs(stars), sets, percent), "stars")
     links, seen = first.where("linked").select("a", "b"), first.select("a", "b")
     found = components(links)
-    # Buckets that still hold several components: their outsiders, most central first, get stars of their own.
-    for step in range(STAR_ROUNDS + 1):
-        label = bucket.join(found.withColumnRenamed("node", "on"), F.col("m.node") == F.col("on"), "left").select("key", "m", F.coalesce("root", "m.node").alias("root"))
-        mixed = label.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("m", "root")).alias("c")).where("lo <> hi")
-        open_ = label.join(mixed.select("key", "c"), "key")
-        if step:
-            open_ = open_.join(done, ["key", "m"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
-        else:
-            open_ = open_.withColumn("done", F.lit(False))
-        open_ = written(open_, "open")
-        if not open_.where("NOT done AND root <> c.root").limit(1).count():
-            break
-        if step < STAR_ROUNDS:
-            next_ = open_.where("NOT done AND root <> c.root").groupBy("key").agg(F.max(F.struct("m", "root")).alias("next"))
-            stars = open_.drop("c").join(next_, "key").where("root <> next.root").select("key", "m", F.col("next.m").alias("c"))
-            fresh = next_.select("key", F.col("next.m").alias("m"), F.lit(True).alias("done"))
-            done = written(fresh.union(done) if step else fresh, "done")
-        else:
-            stars = _fringe(open_, first, percent)
-        pairs = _pairs(stars).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").join(seen, ["a", "b"], "left_anti")
-        more = written(overlaps(pairs, sets, percent), "more")
-        links, seen = links.union(more.where("linked").select("a", "b")), seen.union(more.select("a", "b"))
-        if more.where("linked").limit(1).count():
-            found = components(links)
+    # Centres whose stars still hold several components.
+    rays = stars.select(F.col("c.node").alias("c"), F.col("m.node").alias("x"), F.col("c.size").alias("nc"), F.col("m.size").alias("nx")).distinct()
+    roots = found.select(F.col("node").alias("on"), "root")
+    rays = rays.join(roots, F.col("x") == F.col("on"), "left").select("c", "x", "nc", "nx", F.coalesce("root", "x").alias("rx"))
+    rays = rays.join(roots, F.col("c") == F.col("on"), "left").select("c", "x", "nc", "nx", "rx", F.coalesce("root", "c").alias("rc"))
+    rays = written(rays, "rays")
+    rays = rays.join(rays.where("rx <> rc").select("c").distinct(), "c", "left_semi")
+    pairs = shared_differences(differences(rays, sets, percent), percent).join(seen, ["a", "b"], "left_anti")
+    more = written(overlaps(pairs, sets, percent).where("linked").select("a", "b"), "more")
+    if more.limit(1).count():
+        found = components(links.union(more))
     named = unique.select("node", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return rows.select("doc_id", "text_key", "n_shingles", "node"), named
 
