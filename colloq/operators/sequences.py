@@ -63,7 +63,8 @@ def greedy(found: DataFrame) -> DataFrame:
 
 
 def _rows(found: DataFrame, infix: str, explicit: bool, confidence: Column, reason: Column, source: str, settings: Settings) -> DataFrame:
-    numbered = ranked(found, [], [F.col("meeting_id"), F.col("idx")], F.substring("meeting_id", 1, settings.rank_prefix), "n")
+    # Read twice, for counts and for numbers: kept, so that timelines are not built again.
+    numbered = ranked(found.persist(), [], [F.col("meeting_id"), F.col("idx")], F.substring("meeting_id", 1, settings.rank_prefix), "n")
     turn = F.struct(
         "speaker",
         F.col("addressee").alias("addressees"),

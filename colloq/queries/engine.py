@@ -322,7 +322,7 @@ def _flat(spark, d):
     """All unique samples as flat rows, numbered in order: what the reports are made of."""
     from colloq.plans.ranking import ranked
 
-    rows = ranked(unique_samples(spark, d), [], list(map(F.col, L.POSITION)), F.substring("meeting_id", 1, DEFAULT.rank_prefix), "sample_id")
+    rows = ranked(unique_samples(spark, d).persist(), [], list(map(F.col, L.POSITION)), F.substring("meeting_id", 1, DEFAULT.rank_prefix), "sample_id")
     return FM.intermediate(rows)
 
 
