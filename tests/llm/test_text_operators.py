@@ -174,6 +174,19 @@ def test_packing_edges(spark):
         assert encode(text) == np.array(encode.encode(text), "<u4").tobytes(), text
 
 
+def test_packing_added_tokens(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x\n <|endoftext|>\n\n  y<|endoftext|><|endoftext|>z", "a <|endoftext|", "plain  words\n here"]
+    got = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), end_id=50256).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == {
+        k: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for k, t in enumerate(texts) for ids in [[*tok.encode(t, add_special_tokens=False).ids, 50256]]
+    }
+    assert len(got) == len(texts)
+
+
 def test_best_fit_places_all():
     import random
 
