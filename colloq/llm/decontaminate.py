@@ -7,12 +7,16 @@ An item is found in a document if at least ``SHARE`` of its windows are there. W
 along a diagonal (document position less item position) only if its slots are consistent:
 one value of the item stands for one value of the document, at all of its places.
 
+A capitalised word at the start of a sentence may be a name or not, so there are two templates: the
+first takes it for a word, the second for a name. Both are joined, each with slots of its own,
+and an item is found if either template has its share. Windows without such a word are the same in both.
+
 Everything is DataFrame functions. Benchmark windows are broadcast if there are at most
 ``BROADCAST_ROWS`` of them and else joined by a shuffle.
 
 Defined results: null or empty texts match nothing; items and documents under ``WINDOW`` words
 are one window of all their words, so a short item only matches a document that is
-no longer than it; null item ids are reported as null; equal items are reported each;
+no longer than it (by the second template only if two words are left in it); null item ids are reported as null; equal items are reported each;
 documents with equal ids and texts are reported once; empty tables give no rows.
 """
 
@@ -27,7 +31,7 @@ WINDOW = 5
 SHARE = 0.8
 BROADCAST_ROWS = 200_000
 MARK = "§"
-#: Names that count wherever they stand; other capitalised words count inside a sentence.
+#: Names that count wherever they stand; other capitalised words count inside a sentence, and elsewhere in the second template.
 NAMES = (
     "alice bob carol dave emma frank grace henry jack john james mary maria anna peter paul sarah susan tom tim "
     "david michael robert william linda jennifer elizabeth thomas daniel laura julia pierre marie jean hans karl juan carlos luis"
@@ -41,9 +45,12 @@ UNITS = (
 
 
 def marked(text: Column) -> Column:
-    """Words in lower case, parted by one space; slots begin with a mark and their type (d, n or u)."""
-    named = F.regexp_replace(F.regexp_replace(text, MARK, " "), r"(?<=[\p{Ll},] )(\p{Lu}\p{L}+)", f"{MARK}n$1")
-    low = F.lower(named)
+    """Words in lower case, parted by one space; slots begin with a mark and their type (d, n, u, or c: n in the second template only)."""
+    space = rf"{MARK}\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    spaced = F.regexp_replace(text, rf"[{space}]{{2,}}|[{space}&&[^ ]]", " ")
+    named = F.regexp_replace(spaced, r"(?<=[\p{Ll},] )(\p{Lu}\p{L}+)", f"{MARK}n$1")
+    maybe = F.regexp_replace(named, rf"(?=\p{{Lu}}\p{{L}})(?<![\p{{L}}\p{{N}}])(?!(?i:{'|'.join([*NAMES, *UNITS])})(?![\p{{L}}\p{{N}}]))", f"{MARK}c")
+    low = F.lower(maybe)
     known = F.regexp_replace(low, rf"(?<![\p{{L}}\p{{N}}{MARK}])({'|'.join(NAMES)})(?![\p{{L}}\p{{N}}])", f"{MARK}n$1")
     number = rf"(?<![\p{{L}}\p{{N}}])([0-9]++(?:[.,][0-9]++)*+)"
     units = F.regexp_replace(known, rf"{number}([ ]?)({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"$1 {MARK}u$3")
@@ -54,31 +61,63 @@ def marked(text: Column) -> Column:
     return F.trim(F.regexp_replace(words, " {2,}", " "))
 
 
-def _windows(words: Column, n: int) -> Column:
-    """Hashes of all runs of n template words; of all words if there are fewer; none without words."""
+def _template(marked: Column, second: bool) -> Column:
+    kinds = F.replace(marked, F.lit(f"{MARK}c"), F.lit(f"{MARK}n" if second else ""))
+    return F.filter(F.split(F.regexp_replace(kinds, f"({MARK}[dnu])[^ ]*", "$1"), " "), lambda x: x != "")
+
+
+def _windows(words: Column, second: Column, n: int) -> Column:
+    """(pos, window): hashes of all runs of n template words; of all words if there are fewer; none without words.
+
+    Windows that the second template changes follow, at -1 - pos.
+    """
     size = F.size(words)
-    whole = F.when(size == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.array_join(words, " "))))
-    runs = F.transform(F.sequence(F.lit(0), size - n), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
-    return F.when(size < n, whole).otherwise(runs)
+    whole = lambda own, pos: F.array(F.struct(F.lit(pos).alias("pos"), F.xxhash64(F.array_join(own, " ")).alias("window")))
+    run = lambda own, i: F.xxhash64(*[F.get(own, i + k) for k in range(n)])
+    none = F.array().cast("array<struct<pos:int,window:bigint>>")
+    runs = F.transform(F.sequence(F.lit(0), size - n), lambda i: F.struct(i.alias("pos"), run(words, i).alias("window")))
+    changed = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.get(words, i) != F.get(second, i))
+    places = F.array_distinct(F.flatten(F.transform(changed, lambda p: F.sequence(F.greatest(p - (n - 1), F.lit(0)), F.least(p, size - n)))))
+    more = F.transform(places, lambda i: F.struct((-1 - i).alias("pos"), run(second, i).alias("window")))
+    left = F.size(F.filter(second, lambda x: ~x.startswith(MARK)))
+    return (
+        F.when(size == 0, none)
+        .when((size < n) & (words != second) & (left >= 2), F.concat(whole(words, 0), whole(second, -1)))
+        .when(size < n, whole(words, 0))
+        .when(words == second, runs)
+        .otherwise(F.concat(runs, more))
+    )
 
 
 def windows(texts: DataFrame, n: int, *keys: str) -> DataFrame:
-    """keys, marked, pos and window of every window of the column text."""
+    """keys, marked, place and window of every window of the column text; place is pos or, in the second template, -1 - pos."""
     out = texts.where("text IS NOT NULL").select(*keys, marked(F.col("text")).alias("marked"))
-    template = F.regexp_replace("marked", f"({MARK}[dnu])[^ ]*", "$1")
-    out = out.select(*keys, "marked", F.filter(F.split(template, " "), lambda x: x != "").alias("words"))
-    return out.select(*keys, "marked", F.posexplode(_windows(F.col("words"), n)).alias("pos", "window"))
+    out = out.select(*keys, "marked", _template(F.col("marked"), False).alias("words"), _template(F.col("marked"), True).alias("second"))
+    out = out.select(*keys, "marked", F.explode(_windows(F.col("words"), F.col("second"), n)).alias("w"))
+    return out.select(*keys, "marked", F.col("w.pos").alias("place"), F.col("w.window").alias("window"))
+
+
+def _pos(place: Column) -> Column:
+    return F.when(place < 0, -1 - place).otherwise(place)
+
+
+def _templates(text: Column, place: Column, n: int) -> Column:
+    """1 if a window belongs to the first template, 2 to the second, 3 to both."""
+    unsure = F.exists(F.slice(F.split(text, " "), _pos(place) + 1, n), lambda x: x.startswith(f"{MARK}c"))
+    return F.when(place < 0, 2).when(unsure, 1).otherwise(3)
 
 
-def _slots(text: Column, pos: Column, n: int) -> Column:
-    return F.filter(F.slice(F.split(text, " "), pos + 1, n), lambda x: x.startswith(MARK))
+def _slots(text: Column, place: Column, n: int) -> Column:
+    kinds = F.when(place < 0, F.replace(text, F.lit(f"{MARK}c"), F.lit(f"{MARK}n"))).otherwise(F.replace(text, F.lit(f"{MARK}c"), F.lit("")))
+    return F.filter(F.slice(F.split(kinds, " "), _pos(place) + 1, n), lambda x: x.startswith(MARK))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(doc_id, text_key, item_id, n_windows, n_found, share, n_slots): items that documents hold."""
     items = benchmark.select("item_id", F.col("text").alias("text"), F.xxhash64("text").alias("item_key"))
     item = windows(items, n, "item_id", "item_key").select(
-        "item_id", "item_key", "window", F.col("pos").alias("item_pos"), _slots(F.col("marked"), F.col("pos"), n).alias("item_slots")
+        "item_id", "item_key", "window", _pos(F.col("place")).alias("item_pos"),
+        _templates(F.col("marked"), F.col("place"), n).alias("item_templates"), _slots(F.col("marked"), F.col("place"), n).alias("item_slots"),
     )
     item = written(item, "windows")
     # The first word may be taken for a name or not by what stands before it: its window doesn't count if there are others.
@@ -90,18 +129,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, share:
     met = windows(own, n, *keys).join(small(item), "window")
     if not few:
         # The window rows that a shuffle joins are slim; slots come from the texts of documents with hits.
-        slim = windows(own, n, *keys).select(*keys, "pos", "window").join(item, "window").drop("window")
+        slim = windows(own, n, *keys).select(*keys, "place", "window").join(item, "window").drop("window")
         texts = own.where("text IS NOT NULL").select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), marked(F.col("text")).alias("marked"))
         met = slim.join(texts, (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
     hits = (
-        met.select(*keys, "item_id", "item_key", "pos", "item_pos", "item_slots", _slots(F.col("marked"), F.col("pos"), n).alias("slots"))
+        met.select(
+            *keys, "item_id", "item_key", _pos(F.col("place")).alias("pos"), "item_pos", "item_slots", _slots(F.col("marked"), F.col("place"), n).alias("slots"),
+            F.col("item_templates").bitwiseAND(_templates(F.col("marked"), F.col("place"), n)).alias("templates"),
+        )
+        .where("templates > 0")
         # Repeated rows give equal hits, and copies of a text partial sums before any shuffle.
-        .groupBy(*keys, "item_id", "item_key", "pos", "item_pos")
+        .groupBy(*keys, "item_id", "item_key", "pos", "item_pos", "templates")
         .agg(F.first("item_slots").alias("item_slots"), F.first("slots").alias("slots"))
         .withColumn("diagonal", F.col("pos") - F.col("item_pos"))
     )
-    hits = written(hits, "hits")
-    pair = ["doc_id", "text_key", "item_id", "item_key"]
+    hits = written(hits, "hits").withColumn("template", F.explode(F.when(F.col("templates") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array("templates"))))
+    pair = ["doc_id", "text_key", "item_id", "item_key", "template"]
     slots = (
         hits.where("size(slots) > 0")
         .select(*pair, "diagonal", F.explode(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))).alias("s"))
@@ -119,8 +162,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, share:
     )
     out = found.alias("f").join(small(sizes).alias("z"), F.col("f.item_id").eqNullSafe(F.col("z.item_id")) & (F.col("f.item_key") == F.col("z.item_key")))
     n_found = F.when(F.col("last") == 0, F.col("every")).otherwise(F.col("later"))
-    out = out.select("f.doc_id", "f.text_key", "f.item_id", "n_windows", n_found.alias("n_found"), "n_slots")
-    return out.where(F.col("n_found") >= share * F.col("n_windows")).withColumn("share", F.col("n_found") / F.col("n_windows"))
+    out = out.select("f.doc_id", "f.text_key", "f.item_id", "f.item_key", "n_windows", n_found.alias("n_found"), "n_slots", "template")
+    out = out.where(F.col("n_found") >= share * F.col("n_windows"))
+    # The first template's figures if it has its share.
+    out = out.groupBy("doc_id", "text_key", "item_id", "item_key").agg(F.min(F.struct("template", "n_windows", "n_found", "n_slots")).alias("b"))
+    return out.select("doc_id", "text_key", "item_id", "b.n_windows", "b.n_found", "b.n_slots").withColumn("share", F.col("n_found") / F.col("n_windows"))
 
 
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,6 +157,19 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_unlisted_names(spark):
+    """Names that no list has, at sentence starts, after line breaks and double spaces."""
+    bench = spark.createDataFrame([(1, "Zoe has 5 apples. Zoe buys 7 more. How many apples does Zoe have now?"), (2, "Hello world")], "item_id long, text string")
+    docs = [
+        (1, "Mia has 9 apples. Mia buys 11 more. How many apples does Mia have now?"),
+        (2, "and then Mia has 9 apples.\nMia buys 11 more.\n\nHow many apples  does\n Mia have now?  The end"),
+        (3, "Mia has 9 apples. Ida buys 11 more. How many apples does Eva have now?"),
+        (4, "Goodbye world"), (5, "hello world"), (6, "zoe has 5 apples. zoe buys 7 more. how many pears did they have then?"),
+    ]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (5, 2)} and len(got) == 3
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     test_decontamination(spark)
