@@ -20,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder is made and the setting filled in.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and Spark runs on one
+    machine, as in tests, a temporary folder is made and the setting filled in.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="colloq-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -34,17 +36,45 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     Cuts lineage in a way that outlives executors, and fixes what a later
     evaluation would otherwise compute anew (sampled ranges, batch bounds).
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path, partitionBy=list(partition_by) or None)
-    back = spark.read.schema(df.schema).parquet(path)
-    return back.select(*df.columns)
+    return _stored(df, fresh_path(df.sparkSession, name))
+
+
+class Scratch:
+    """Tables in one shared folder that only the steps in between need; each goes when it has been read for the last time."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.made = spark, fresh_path(spark, name), 0
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.made += 1
+        path = f"{self.path}/{name}-{self.made}"
+        back = _stored(df, path)
+        back.scratch_path = path
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that ``written`` of this scratch has returned."""
+        for t in tables:
+            self._delete(t.scratch_path)
+
+    def close(self) -> None:
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def crc_mod(col: Column, n: int) -> Column:

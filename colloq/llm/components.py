@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloq.llm.common import written
+from colloq.llm.common import Scratch
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the least node that each node of ``edges`` (a, b) can reach.
+def components(edges: DataFrame, scratch: Scratch | None = None, rounds: int = 60) -> DataFrame:
+    """(node, root): the least node that each node of ``edges`` (a, b) can reach; a table of ``scratch`` if given.
 
     Every round hangs neighbours on least neighbours. Both steps are group-bys
     with a minimum and an equi-join, so a node with very many links is a row in
-    many tasks, never one task's list. Rounds are written as tables.
+    many tasks, never one task's list. Rounds are written as tables, and dropped after the next one.
     """
-    links = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    links = scratch.written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     for _ in range(rounds):
         # Large star: larger neighbours go to the least of a node's neighbours and itself.
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,7 +31,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .union(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        then = written(small, "links")
+        then = scratch.written(small, "links")
+        scratch.drop(links)
         # Done when every node hangs on one root and no root hangs on another.
         depth = then.join(then.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
         twice = then.groupBy("u").count().where("count > 1").limit(1).count()
@@ -39,4 +41,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    found = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    found.scratch_path = links.scratch_path
+    return found

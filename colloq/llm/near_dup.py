@@ -10,18 +10,18 @@
    bucket's centre: as many edges as rows, not pairs. The centre is the node that shares
    the largest buckets, which the middle of a group of near copies does.
 4. Edges are confirmed on full sets, and components of confirmed links are formed.
-5. Stars alone would lose links between two nodes of a bucket that its centre c is not linked with both.
-   Against c every node x is a set of differences, those of x from c, and two nodes differ by what is
-   in one of their difference sets only. So a link needs differences in common, and more than half of
-   them if x is far from c: by the prefix filter two such nodes share one of the first differences in a
-   fixed order (what c lacks before what x lacks). An equi-join on (c, difference) of these few
-   finds all pairs of different components that can be links, and those are confirmed on full sets as well.
+5. Stars alone would lose links between two nodes of a bucket that its centre is not linked with both. So the nodes of
+   a centre whose star still holds several classes are described by their differences from a reference set: what
+   most of them have (``centred``). The node with the fewest differences draws a second star. Two nodes of
+   different classes are now linked only if they share differences, and by the prefix filter one of their rarest ones (``prefixes``).
+   An equi-join on (group, difference) finds all pairs that can be links, and those are confirmed on full sets.
 
 Nothing is capped: there is no limit on buckets, candidates or partners. With 26 bands of 4 bins
 a pair at similarity 0.8 meets in some bucket but for about one in a million.
 
 Defined results: null and empty texts, or those without words, have an empty set and are
-linked with nothing; rows with equal ids and different texts are nodes of their own;
+linked with nothing; a very long text is one set like any other; of equal ranks the node with the greatest digest is a
+centre, which no result depends on; rows with equal ids and different texts are nodes of their own;
 a null id is never a component's least id unless all its ids are null.
 """
 
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloq.llm.common import DOCUMENT_COLUMNS, table, written
+from colloq.llm.common import DOCUMENT_COLUMNS, Scratch, table, written
 from colloq.llm.components import components
 from colloq.llm.shingles import blocks, mix, shingle_sets
 
@@ -135,93 +135,210 @@ def _pairs(stars: DataFrame) -> DataFrame:
     return stars.select(low.alias("a"), high.alias("b"), sizes[0].alias("na"), sizes[1].alias("nb")).distinct()
 
 
-def differences(rays: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, x, nx, root, far, first): the first differences of each x from its centre c, keyed by c and difference.
+def _numbers(data: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(data.as_buffer(), "uint64")
 
-    With k = (100 - percent) / (100 + percent) a link between x and y is: h(x) + h(y) - 2 * common <= k * (|x| + |y|),
-    where h counts differences from c. If x is far (no link with c), h(x) > k * (|x| + |c|), hence
-    common > (h(y) + k * (|c| - |y|)) / 2 for its partner y, near or far; and as common <= h(y),
-    common >= h(x) - k * (|x| + |y|), where |y| <= 100 / percent * |x|. ``first`` marks the prefix by the former bound.
-    """
-    k = (100 - percent) / (100 + percent)
+
+def differences(rays: DataFrame, sets: DataFrame) -> DataFrame:
+    """(g, x, root, nc, nx, added, lacking): what each x of a group has that its centre lacks, and the reverse."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            columns = (batch[n].to_pylist() for n in ("c", "x", "root"))
-            for c, x, root, sc, sx in zip(*columns, batch["sc"], batch["sx"]):
-                sc, sx = np.frombuffer(sc.as_buffer(), "uint64"), np.frombuffer(sx.as_buffer(), "uint64")
-                added, lacking = np.setdiff1d(sx, sc, assume_unique=True), np.setdiff1d(sc, sx, assume_unique=True)
-                h, shared = len(added) + len(lacking), len(sx) - len(added)
-                far = 100 * shared < percent * (len(sc) + len(added))
-                half = h - max(1, int(np.ceil((h + k * (len(sc) - len(sx))) / 2 - 1e-9))) + 1
-                wide = h - max(1, int(np.ceil(h - k * len(sx) * (1 + 100 / percent) - 1e-9))) + 1
-                n = max(half, wide) if far else half
-                keys = mix(np.r_[added, lacking][:n] ^ mix(np.frombuffer(c[:8], "uint64")))
-                out.append((keys, np.arange(len(keys)) < half, x, len(sx), root, far))
-            if out:
-                n = np.array([len(o[0]) for o in out])
-                at = pa.array(np.repeat(np.arange(len(out)), n))
+            added, lacking, nc, nx = [], [], [], []
+            for sc, sx in zip(batch["sc"], batch["sx"]):
+                c, x = _numbers(sc), _numbers(sx)
+                added.append(np.setdiff1d(x, c, assume_unique=True).tobytes())
+                lacking.append(np.setdiff1d(c, x, assume_unique=True).tobytes())
+                nc.append(len(c))
+                nx.append(len(x))
+            yield pa.RecordBatch.from_arrays(
+                [batch["g"], batch["x"], batch["root"], pa.array(nc, pa.int64()), pa.array(nx, pa.int64()), pa.array(added, pa.binary()), pa.array(lacking, pa.binary())],
+                ["g", "x", "root", "nc", "nx", "added", "lacking"],
+            )
+
+    rows = rays.join(sets.select(F.col("node").alias("c"), F.col("shingles").alias("sc")), "c")
+    rows = rows.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x")
+    return rows.select(F.xxhash64("c").alias("g"), "x", "root", "sc", "sx").mapInArrow(run, "g long, x binary, root binary, nc long, nx long, added binary, lacking binary")
+
+
+def _elements(rows: DataFrame) -> DataFrame:
+    """(g, element, added) of every difference."""
+
+    def run(batches):
+        for batch in batches:
+            parts = [(g, _numbers(v), kind) for kind in (True, False) for g, v in zip(batch["g"].to_pylist(), batch["added" if kind else "lacking"])]
+            if parts:
+                n = [len(p[1]) for p in parts]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([o[0] for o in out]).view("int64")),
-                        pa.array([o[2] for o in out], pa.binary()).take(at),
-                        pa.array([o[3] for o in out], pa.int64()).take(at),
-                        pa.array([o[4] for o in out], pa.int64()).take(at),
-                        pa.array([bool(o[5]) for o in out]).take(at),
-                        pa.array(np.concatenate([o[1] for o in out])),
-                    ],
-                    ["key", "x", "nx", "root", "far", "first"],
+                    [pa.array(np.repeat([p[0] for p in parts], n)), pa.array(np.concatenate([p[1] for p in parts]).view("int64")), pa.array(np.repeat([p[2] for p in parts], n))],
+                    ["g", "element", "added"],
                 )
 
-    rows = rays.select("c", "x", F.xxhash64("rx").alias("root"))
-    rows = rows.join(sets.select(F.col("node").alias("c"), F.col("shingles").alias("sc")), "c").join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x")
-    return written(rows.select("c", "x", "root", "sc", "sx").mapInArrow(run, "key long, x binary, nx long, root long, far boolean, first boolean"), "differences")
+    return rows.select("g", "added", "lacking").mapInArrow(run, "g long, element long, added boolean")
+
+
+def centred(diffs: DataFrame, percent: int) -> DataFrame:
+    """(g, x, root, nx, nr, added, lacking, na, nl, cost): differences from what most of a group have.
+
+    The reference set of a group is its centre's set with every element turned over that more than half of the
+    group differ in: what a single centre has changed for itself is not a difference of all others.
+    """
+    sizes = diffs.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
+    counts = _elements(diffs).groupBy("g", "element", "added").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    turned = counts.join(sizes, "g").where("2 * k > m").groupBy("g").agg(F.collect_list(F.struct("element", "added")).alias("turned"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for nc, a, k, turned in zip(batch["nc"].to_pylist(), batch["added"], batch["lacking"], batch["turned"].to_pylist()):
+                a, k = _numbers(a), _numbers(k)
+                new = np.array([t["element"] for t in turned or () if t["added"]], "int64").view("uint64")
+                old = np.array([t["element"] for t in turned or () if not t["added"]], "int64").view("uint64")
+                # What x shares with the turned elements is no difference now; what it doesn't share is one.
+                has = np.union1d(np.setdiff1d(a, new), np.setdiff1d(old, k))
+                lacks = np.union1d(np.setdiff1d(k, old), np.setdiff1d(new, a))
+                out.append((nc + len(new) - len(old), has.tobytes(), lacks.tobytes(), len(has), len(lacks), percent * len(has) + 100 * len(lacks)))
+            c = list(zip(*out)) or [()] * 6
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[n] for n in ("g", "x", "root", "nx")), *(pa.array(v, t) for v, t in zip(c, kinds))], ["g", "x", "root", "nx", "nr", "added", "lacking", "na", "nl", "cost"]
+            )
+
+    return diffs.join(turned, "g", "left").mapInArrow(run, "g long, x binary, root binary, nx long, nr long, added binary, lacking binary, na long, nl long, cost long")
 
 
-def shared_differences(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b, na, nb) of different components with a difference in common, one of them far from the centre."""
-    y = rows.where("first").select("key", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("root").alias("ry"), F.col("far").alias("yfar"))
-    fits = (F.col("root") != F.col("ry")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    both = rows.where("far").join(y, "key").where(fits & F.when(F.col("yfar"), F.col("first") & (F.col("x") < F.col("y"))).otherwise(F.lit(True)))
-    own = F.col("x") < F.col("y")
+def second_stars(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): roots of classes that a group's member of least cost links, by exact overlaps of differences."""
+
+    def run(batches):
+        for batch in batches:
+            linked = []
+            for nr, nx, a, k, b in zip(batch["nr"].to_pylist(), batch["nx"].to_pylist(), batch["added"], batch["lacking"], batch["b"].to_pylist()):
+                a, k, a2, k2 = _numbers(a), _numbers(k), np.frombuffer(b["added"], "uint64"), np.frombuffer(b["lacking"], "uint64")
+                shared = nr - len(np.union1d(k, k2)) + len(np.intersect1d(a, a2, assume_unique=True))
+                linked.append(100 * shared >= percent * (nx + b["nx"] - shared))
+            yield pa.RecordBatch.from_arrays([batch["root"], batch["other"], pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+
+    best = rows.groupBy("g").agg(F.min_by(F.struct("root", "nx", "added", "lacking"), F.struct("cost", "x")).alias("b"))
+    met = rows.join(best, "g").where("root <> b.root").select("*", F.col("b.root").alias("other"))
+    return met.mapInArrow(run, "a binary, b binary, linked boolean").where("linked").select("a", "b").distinct()
+
+
+def prefixes(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, x, root, outside, nx, nr, na, nl, cost, has): the differences by which x can meet a partner of another class.
+
+    With q = 100 + percent and s = (100 - percent) |R|, x and y are linked if and only if
+    q (a + l) >= cost(x) + cost(y) - s, where a and l count added and lacking elements in common
+    (cost is percent |added| + 100 |lacking|). A pair with cost(x) + cost(y) <= s is linked to the member of least cost
+    as well, so two classes need a + l > 0. Pairs with a > 0 meet by an added element, those with a = 0 by a lacking one. The
+    least numbers in common follow from x alone: l <= min(|lacking|) and |y| >= percent |x| / 100; and
+    if x is in the class of the member of least cost, its partner isn't, and costs more than s less that least cost.
+    With at least t of n elements in common in one order, two rows share one of their n - t + 1 first: the rarest.
+    """
+    q = 100 + percent
+    least = rows.groupBy("g").agg(F.min_by("root", F.struct("cost", "x")).alias("main"), F.min("cost").alias("least"), F.max(F.col("nl") - F.col("na")).alias("gap"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    rows = rows.join(least.where("r0 <> r1").drop("r0", "r1"), "g").withColumn("outside", F.col("root") != F.col("main")).drop("main")
+
+    def run(batches):
+        for batch in batches:
+            owner, keys, has, first = [], [], [], []
+            columns = (batch[n].to_pylist() for n in ("g", "nx", "nr", "na", "nl", "cost", "least", "gap", "outside"))
+            for k, (g, nx, nr, na, nl, cost, low, gap, outside) in enumerate(zip(*columns)):
+                s = (100 - percent) * nr
+                need = -(-(100 * (cost - s) + percent * (percent * nx - 100 * nr)) // (100 * q))
+                need = max(1, need, 1 if outside else -(-(percent * (na - nl) - low) // q))
+                lack = max(1, -(-(cost - s) // percent), 1 if outside else -(-(cost - low) // q)) if cost - s <= percent * gap else nl + 1
+                salt = mix(np.array([g], "int64").view("uint64"))
+                for kind, n, t, column in ((True, na, need, "added"), (False, nl, lack, "lacking")):
+                    if t <= n and n:
+                        owner.append(np.full(n, k))
+                        keys.append(mix(_numbers(batch[column][k]) ^ salt ^ np.uint64(kind)))
+                        has.append(np.full(n, kind))
+                        first.append(np.full(n, n - t + 1))
+            if owner:
+                at = pa.array(np.concatenate(owner))
+                names = ("g", "x", "root", "outside", "nx", "nr", "na", "nl", "cost")
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch[n].take(at) for n in names), pa.array(np.concatenate(keys).view("int64")), pa.array(np.concatenate(has)), pa.array(np.concatenate(first))],
+                    [*names, "key", "has", "first"],
+                )
+
+    each = rows.mapInArrow(run, "g long, x binary, root binary, outside boolean, nx long, nr long, na long, nl long, cost long, key long, has boolean, first long")
+    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    shared = each.join(counts, "key")
+    own = ["x", "root", "outside", "nx", "nr", "na", "nl", "cost", "has"]
+    # Elements that no other member has come first in the order and meet nobody.
+    taken = F.col("first") - (F.when(F.col("has"), F.col("na")).otherwise(F.col("nl")) - F.size("keys"))
+    kept = shared.groupBy("g", *own, "first").agg(F.sort_array(F.collect_list(F.struct("k", "key"))).alias("keys")).where(taken > 0)
+    return kept.select(*own, F.explode(F.slice("keys", F.lit(1), taken.cast("int"))["key"]).alias("key"))
+
+
+def possible_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b, na, nb, ra, rb) of different classes that share a key and whose counts allow a link."""
+    y = rows.select(*[F.col(c).alias(f"y_{c}") for c in ("x", "root", "outside", "nx", "na", "nl", "cost")], "key")
+    common = F.least("nl", "y_nl") + F.when(F.col("has"), F.least("na", "y_na")).otherwise(F.lit(0))
+    fits = (F.col("root") != F.col("y_root")) & (100 * F.least("nx", "y_nx") >= percent * F.greatest("nx", "y_nx"))
+    fits = fits & (F.col("cost") + F.col("y_cost") - (100 - percent) * F.col("nr") <= (100 + percent) * common)
+    both = rows.where("outside").join(y, "key").where(fits & (~F.col("y_outside") | (F.col("x") < F.col("y_x"))))
+    own = F.col("x") < F.col("y_x")
+    pick = lambda a, b: F.when(own, F.col(a)).otherwise(F.col(b))
     return both.select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(own, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(own, F.col("ny")).otherwise(F.col("nx")).alias("nb")
+        F.least("x", "y_x").alias("a"), F.greatest("x", "y_x").alias("b"), pick("nx", "y_nx").alias("na"), pick("y_nx", "nx").alias("nb"), pick("root", "y_root").alias("ra"), pick("y_root", "root").alias("rb")
     ).distinct()
 
 
+def renamed(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """``rows`` with root replaced by what ``merged`` (node, root) says of it."""
+    to = merged.select(F.col("node").alias("was"), F.col("root").alias("now"))
+    return rows.join(to, F.col("root") == F.col("was"), "left").withColumn("root", F.coalesce("now", "root")).drop("was", "now")
+
+
 def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, n_shingles, node) of every document, and (node, doc_id, root) of every node."""
     rows = written(nodes(docs, n), "sketches")
+    scratch = Scratch(docs.sparkSession, "near")
     # One row per node; the least document id (and its text) stands for it.
     unique = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least"), F.min("n_shingles").alias("size"), F.min("bands").alias("bands"))
-    unique = written(unique.select("node", "least.doc_id", "least.text_key", "size", "bands"), "nodes")
+    unique = scratch.written(unique.select("node", "least.doc_id", "least.text_key", "size", "bands"), "nodes")
     members = unique.select("node", "size", F.explode("bands").alias("key"))
     # Buckets of more than one node; a key is of one band.
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    bucket = written(members.join(shared, "key").select("key", "node", "size", "n"), "buckets")
+    bucket = scratch.written(members.join(shared, "key").select("key", "node", "size", "n"), "buckets")
     # A node in many large buckets is near the middle of its group: the best centre for a star.
     rank = bucket.groupBy("node").agg(F.sum("n").alias("rank"))
-    bucket = written(bucket.drop("n").join(rank, "node").select("key", F.struct("rank", "node", "size").alias("m")), "members")
-    centre = bucket.groupBy("key").agg(F.max("m").alias("c"))
-    stars = bucket.join(centre, "key").where("m.node <> c.node")
-    wanted = unique.select("node", "doc_id", "text_key").join(bucket.select("m.node").distinct(), "node")
-    sets = written(sets_of(docs, wanted, n), "sets")
-    first = written(overlaps(_pairs(stars), sets, percent), "stars")
-    links, seen = first.where("linked").select("a", "b"), first.select("a", "b")
-    found = components(links)
-    # Centres whose stars still hold several components.
-    rays = stars.select(F.col("c.node").alias("c"), F.col("m.node").alias("x"), F.col("c.size").alias("nc"), F.col("m.size").alias("nx")).distinct()
-    roots = found.select(F.col("node").alias("on"), "root")
-    rays = rays.join(roots, F.col("x") == F.col("on"), "left").select("c", "x", "nc", "nx", F.coalesce("root", "x").alias("rx"))
-    rays = rays.join(roots, F.col("c") == F.col("on"), "left").select("c", "x", "nc", "nx", "rx", F.coalesce("root", "c").alias("rc"))
-    rays = written(rays, "rays")
-    rays = rays.join(rays.where("rx <> rc").select("c").distinct(), "c", "left_semi")
-    pairs = shared_differences(differences(rays, sets, percent), percent).join(seen, ["a", "b"], "left_anti")
-    more = written(overlaps(pairs, sets, percent).where("linked").select("a", "b"), "more")
-    if more.limit(1).count():
-        found = components(links.union(more))
+    ranked = scratch.written(bucket.drop("n").join(rank, "node").select("key", F.struct("rank", "node", "size").alias("m")), "members")
+    scratch.drop(bucket)
+    centre = ranked.groupBy("key").agg(F.max("m").alias("c"))
+    rays = ranked.join(centre, "key").where("m.node <> c.node").select("c", "m").distinct()
+    rays = scratch.written(rays, "rays")
+    wanted = unique.select("node", "doc_id", "text_key").join(ranked.select("m.node").distinct(), "node")
+    sets = scratch.written(sets_of(docs, wanted, n), "sets")
+    scratch.drop(ranked)
+    first = scratch.written(overlaps(_pairs(rays), sets, percent).where("linked").select("a", "b"), "stars")
+    found = components(first, scratch)
     named = unique.select("node", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = scratch.written(named, "named")
+    scratch.drop(first, found, unique)
+    # Centres whose stars still hold several classes, with all their rays and the centres themselves.
+    rays = rays.select(F.col("c.node").alias("c"), F.col("m.node").alias("x"))
+    rays = rays.union(rays.select("c", F.col("c").alias("x")).distinct())
+    rays = scratch.written(rays.join(named.select(F.col("node").alias("x"), "root"), "x"), "rays")
+    several = rays.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("c")
+    several = scratch.written(several, "several")
+    if several.limit(1).count():
+        open_ = scratch.written(rays.join(several, "c", "left_semi"), "open")
+        diffs = scratch.written(differences(open_, sets), "differences")
+        scratch.drop(open_)
+        own = scratch.written(centred(diffs, percent), "centred")
+        scratch.drop(diffs)
+        merged = components(second_stars(own, percent), scratch)
+        named, own = renamed(named, merged), scratch.written(renamed(own, merged), "centred")
+        keys = scratch.written(prefixes(own, percent), "prefixes")
+        pairs = scratch.written(possible_links(keys, percent), "pairs")
+        confirmed = overlaps(pairs, sets, percent).where("linked").select("a", "b").join(pairs.select("a", "b", "ra", "rb"), ["a", "b"])
+        named = renamed(named, components(confirmed.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), scratch))
+    named = written(named, "classes")
+    scratch.close()
     return rows.select("doc_id", "text_key", "n_shingles", "node"), named
 
 

@@ -62,6 +62,35 @@ def test_near_duplicates(spark, seed):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == near_brute(rows)
 
 
+def family_rows(seed):
+    """Copies cut short, with words put in, left out or changed, two families with edits in common, and a passage in strange texts."""
+    r = random.Random(seed)
+    words = [f"w{k}" for k in range(2000)]
+    base = [r.choice(words) for _ in range(90)]
+    rows = [(k, " ".join(base[: 90 - k])) for k in range(0, 45)]
+    other = list(base)
+    for p in range(0, 90, 9):
+        other[p] = r.choice(words)
+    for k in range(100, 200):
+        t = list(base if k % 2 else other)
+        for _ in range(r.randrange(0, 8)):
+            p = r.randrange(len(t))
+            what = r.randrange(3)
+            t[p : p + 1] = [] if what == 0 else [r.choice(words)] if what == 1 else [t[p], r.choice(words)]
+        rows.append((k, " ".join(t)))
+    passage = [r.choice(words) for _ in range(50)]
+    rows += [(k, " ".join([*passage, *(r.choice(words) for _ in range(r.randrange(2, 60)))])) for k in range(300, 360)]
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_near_duplicates_in_families(spark, seed):
+    rows = family_rows(seed)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == near_brute(rows)
+
+
 def test_near_duplicates_of_documents(spark):
     got = near_dup.near_duplicates(spark.createDataFrame(documents(), "doc_id long, text string")).collect()
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == near_brute(documents())
