@@ -3,21 +3,26 @@
 Numbers, names and units become placeholders, so that a question whose parameters
 were changed keeps its template. Each run of ``WINDOW`` words of a template is
 hashed, and the hashes of benchmark items meet those of documents in an equi-join.
-An item is found in a document if at least ``SHARE`` of its windows are there. Windows count
-along a diagonal (document position less item position) only if its slots are consistent:
-one value of the item stands for one value of the document, at all of its places.
 
-A capitalised word at the start of a sentence may be a name or not, so there are two templates: the
-first takes it for a word, the second for a name. Both are joined, each with slots of its own,
-and an item is found if either template has its share. Windows without such a word are the same in both.
+A capitalised word may be a name or not, and where it stands doesn't tell (an item's first word may stand inside a document's
+sentence). So there are two readings, each a template of its own: the first takes all capitalised words for words, the
+second for names; listed names are names in both. A window that has fewer than two words
+beside its slots says nothing as a template, so it keeps its values and is found where they are the same.
 
-Everything is DataFrame functions. Benchmark windows are broadcast if there are at most
-``BROADCAST_ROWS`` of them and else joined by a shuffle.
+An item is found in a document if, in one reading and one alignment, at least ``SHARE`` of its windows are there
+and their slots agree: one value of the item stands for one value of the document, and the reverse. An
+alignment is one diagonal (document position less item position), or a cell of ``2 * SHIFT`` neighbouring diagonals; cells
+overlap by half, so that words put in or left out may shift the rest by ``SHIFT`` words in total.
+
+Everything is DataFrame functions, and no text is copied beside its windows. Benchmark windows are broadcast if there are at
+most ``BROADCAST_ROWS`` of them and else joined by a shuffle of (ids, position, window).
 
 Defined results: null or empty texts match nothing; items and documents under ``WINDOW`` words
 are one window of all their words, so a short item only matches a document that is
-no longer than it (by the second template only if two words are left in it); null item ids are reported as null; equal items are reported each;
-documents with equal ids and texts are reported once; empty tables give no rows.
+no longer than it; null item ids are reported as null; equal items are reported each;
+documents with equal ids and texts are reported once; of several alignments the one with most windows counts (ties: the first
+reading, then a single diagonal, then the lowest); a very long text is a row per word, and what
+is gathered for one alignment is at most ``2 * SHIFT`` times its item's windows; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,9 +34,10 @@ from colloq.llm.common import DOCUMENT_COLUMNS, table, written
 
 WINDOW = 5
 SHARE = 0.8
+SHIFT = 8
 BROADCAST_ROWS = 200_000
 MARK = "§"
-#: Names that count wherever they stand; other capitalised words count inside a sentence, and elsewhere in the second template.
+#: Names in both readings, wherever they stand and however they are written.
 NAMES = (
     "alice bob carol dave emma frank grace henry jack john james mary maria anna peter paul sarah susan tom tim "
     "david michael robert william linda jennifer elizabeth thomas daniel laura julia pierre marie jean hans karl juan carlos luis"
@@ -44,129 +50,111 @@ UNITS = (
 ).split()
 
 
-def marked(text: Column) -> Column:
-    """Words in lower case, parted by one space; slots begin with a mark and their type (d, n, u, or c: n in the second template only)."""
-    space = rf"{MARK}\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-    spaced = F.regexp_replace(text, rf"[{space}]{{2,}}|[{space}&&[^ ]]", " ")
-    named = F.regexp_replace(spaced, r"(?<=[\p{Ll},] )(\p{Lu}\p{L}+)", f"{MARK}n$1")
-    maybe = F.regexp_replace(named, rf"(?=\p{{Lu}}\p{{L}})(?<![\p{{L}}\p{{N}}])(?!(?i:{'|'.join([*NAMES, *UNITS])})(?![\p{{L}}\p{{N}}]))", f"{MARK}c")
-    low = F.lower(maybe)
-    known = F.regexp_replace(low, rf"(?<![\p{{L}}\p{{N}}{MARK}])({'|'.join(NAMES)})(?![\p{{L}}\p{{N}}])", f"{MARK}n$1")
-    number = rf"(?<![\p{{L}}\p{{N}}])([0-9]++(?:[.,][0-9]++)*+)"
-    units = F.regexp_replace(known, rf"{number}([ ]?)({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"$1 {MARK}u$3")
-    numbers = F.regexp_replace(units, number, f"{MARK}d$1")
-    slots = F.when(known.rlike("[0-9]"), numbers).otherwise(known)
-    # Points and commas stay inside numbers only.
-    words = F.regexp_replace(slots, rf"(?<![0-9])[.,]|[.,](?![0-9])|[^\p{{L}}\p{{N}}{MARK}.,]+", " ")
-    return F.trim(F.regexp_replace(words, " {2,}", " "))
+def _either(words: list[str]) -> str:
+    """A pattern for any of ``words``, by first letter."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items())
 
 
-def _template(marked: Column, second: bool) -> Column:
+def marked(text: Column) -> Column:
+    """Words in lower case, parted by one space; slots begin with a mark and their type (d, n, u, or c: n in the second reading only)."""
+    bare = F.replace(text, F.lit(MARK), F.lit(" "))
+    # Points and commas stay inside numbers only.
+    spaced = F.regexp_replace(bare, r"(?=[^a-z \p{L}\p{N}])(?:[^.,]|(?<![0-9])[.,]|[.,](?![0-9]))", " ")
+    # From here on every word follows a space, which is where the patterns begin.
+    words = F.concat(F.lit(" "), F.regexp_replace(spaced, " {2,}", " "), F.lit(" "))
+    low = F.lower(F.regexp_replace(words, r" (?=\p{Lu}\p{L})", f" {MARK}c"))
+    named = F.regexp_replace(low, rf" (?:{MARK}c)?({_either(NAMES)})(?= )", f" {MARK}n$1")
+    units = F.regexp_replace(named, rf" ([0-9]++(?:[.,][0-9]++)*+) ?(?:{MARK}c)?({_either(UNITS)})(?= )", f" $1 {MARK}u$2")
+    numbers = F.regexp_replace(units, " (?=[0-9])", f" {MARK}d")
+    return F.trim(F.when(named.rlike("[0-9]"), numbers).otherwise(named))
+
+
+def _reading(marked: Column, second: bool) -> Column:
+    """Template words: a slot is its mark and type."""
     kinds = F.replace(marked, F.lit(f"{MARK}c"), F.lit(f"{MARK}n" if second else ""))
-    return F.filter(F.split(F.regexp_replace(kinds, f"({MARK}[dnu])[^ ]*", "$1"), " "), lambda x: x != "")
+    return F.split(F.regexp_replace(kinds, f"({MARK}[dnu])[^ ]*+", "$1"), " ")
 
 
-def _windows(words: Column, second: Column, n: int) -> Column:
-    """(pos, window): hashes of all runs of n template words; of all words if there are fewer; none without words.
+def windows(texts: DataFrame, n: int, *keys: str) -> DataFrame:
+    """keys, values (the text's marked words), pos, window and templates: a row per window of the column text.
 
-    Windows that the second template changes follow, at -1 - pos.
+    templates is 1 or 2 for a window of one reading, 3 where both are the same. All of it is generated code: no
+    filter on what is computed here, which would compute it again, and no lambda.
     """
-    size = F.size(words)
-    whole = lambda own, pos: F.array(F.struct(F.lit(pos).alias("pos"), F.xxhash64(F.array_join(own, " ")).alias("window")))
-    run = lambda own, i: F.xxhash64(*[F.get(own, i + k) for k in range(n)])
-    none = F.array().cast("array<struct<pos:int,window:bigint>>")
-    runs = F.transform(F.sequence(F.lit(0), size - n), lambda i: F.struct(i.alias("pos"), run(words, i).alias("window")))
-    changed = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.get(words, i) != F.get(second, i))
-    places = F.array_distinct(F.flatten(F.transform(changed, lambda p: F.sequence(F.greatest(p - (n - 1), F.lit(0)), F.least(p, size - n)))))
-    more = F.transform(places, lambda i: F.struct((-1 - i).alias("pos"), run(second, i).alias("window")))
-    left = F.size(F.filter(second, lambda x: ~x.startswith(MARK)))
-    return (
-        F.when(size == 0, none)
-        .when((size < n) & (words != second) & (left >= 2), F.concat(whole(words, 0), whole(second, -1)))
-        .when(size < n, whole(words, 0))
-        .when(words == second, runs)
-        .otherwise(F.concat(runs, more))
-    )
-
-
-def windows(texts: DataFrame, n: int, *keys: str) -> DataFrame:
-    """keys, marked, place and window of every window of the column text; place is pos or, in the second template, -1 - pos."""
     out = texts.where("text IS NOT NULL").select(*keys, marked(F.col("text")).alias("marked"))
-    out = out.select(*keys, "marked", _template(F.col("marked"), False).alias("words"), _template(F.col("marked"), True).alias("second"))
-    out = out.select(*keys, "marked", F.explode(_windows(F.col("words"), F.col("second"), n)).alias("w"))
-    return out.select(*keys, "marked", F.col("w.pos").alias("place"), F.col("w.window").alias("window"))
+    out = out.select(*keys, F.split("marked", " ").alias("values"), _reading(F.col("marked"), False).alias("first"), _reading(F.col("marked"), True).alias("second"))
+    size = F.size("values")
+    starts = F.when(F.get("values", F.lit(0)) == "", 0).when(size < n, 1).otherwise(size - (n - 1))
+    out = out.select(*keys, "values", "first", "second", F.posexplode(F.slice("values", F.lit(1), starts)).alias("pos", "word"))
 
+    def window(own: str) -> Column:
+        at = lambda c: [F.get(c, F.col("pos") + k) for k in range(n)]
+        words = sum((F.coalesce((~w.startswith(MARK)).cast("int"), F.lit(0)) for w in at(own)[1:]), (~at(own)[0].startswith(MARK)).cast("int"))
+        full = F.when(words >= 2, F.xxhash64(*at(own))).otherwise(F.xxhash64(*at("values")))
+        whole = F.xxhash64(F.array_join(F.when(words >= 2, F.col(own)).otherwise(F.col("values")), " "))
+        return F.when(size < n, whole).otherwise(full)
 
-def _pos(place: Column) -> Column:
-    return F.when(place < 0, -1 - place).otherwise(place)
+    out = out.select(*keys, "values", "pos", window("first").alias("w1"), window("second").alias("w2"))
+    one = lambda w, t: F.struct(F.col(w).alias("window"), F.lit(t).alias("templates"))
+    out = out.select(*keys, "values", "pos", F.explode(F.when(F.col("w1") == F.col("w2"), F.array(one("w1", 3))).otherwise(F.array(one("w1", 1), one("w2", 2)))).alias("w"))
+    return out.select(*keys, "values", "pos", "w.window", "w.templates")
 
 
-def _templates(text: Column, place: Column, n: int) -> Column:
-    """1 if a window belongs to the first template, 2 to the second, 3 to both."""
-    unsure = F.exists(F.slice(F.split(text, " "), _pos(place) + 1, n), lambda x: x.startswith(f"{MARK}c"))
-    return F.when(place < 0, 2).when(unsure, 1).otherwise(3)
+def _here(n: int) -> Column:
+    """The marked words of the window at pos."""
+    return F.array(*[F.get("values", F.col("pos") + k) for k in range(n)])
 
 
-def _slots(text: Column, place: Column, n: int) -> Column:
-    kinds = F.when(place < 0, F.replace(text, F.lit(f"{MARK}c"), F.lit(f"{MARK}n"))).otherwise(F.replace(text, F.lit(f"{MARK}c"), F.lit("")))
-    return F.filter(F.slice(F.split(kinds, " "), _pos(place) + 1, n), lambda x: x.startswith(MARK))
+def _bindings(template: Column) -> Column:
+    """(a, b) for every slot of a window: the item's value and the document's."""
+    name = lambda x: F.replace(x, F.lit(f"{MARK}c"), F.lit(f"{MARK}n"))
+    both = F.arrays_zip("item_values", "own_values")
+    slots = F.filter(both, lambda s: s["item_values"].startswith(MARK) & ((template == 2) | ~s["item_values"].startswith(f"{MARK}c")))
+    return F.transform(slots, lambda s: F.named_struct(F.lit("a"), name(s["item_values"]), F.lit("b"), name(s["own_values"])))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(doc_id, text_key, item_id, n_windows, n_found, share, n_slots): items that documents hold."""
     items = benchmark.select("item_id", F.col("text").alias("text"), F.xxhash64("text").alias("item_key"))
-    item = windows(items, n, "item_id", "item_key").select(
-        "item_id", "item_key", "window", _pos(F.col("place")).alias("item_pos"),
-        _templates(F.col("marked"), F.col("place"), n).alias("item_templates"), _slots(F.col("marked"), F.col("place"), n).alias("item_slots"),
-    )
-    item = written(item, "windows")
-    # The first word may be taken for a name or not by what stands before it: its window doesn't count if there are others.
-    sizes = item.groupBy("item_id", "item_key").agg(F.greatest(F.lit(1), F.countDistinct("item_pos") - 1).alias("n_windows"), F.max("item_pos").alias("last"))
+    item = windows(items, n, "item_id", "item_key")
+    item = written(item.select("item_id", "item_key", F.col("pos").alias("item_pos"), "window", F.col("templates").alias("item_templates"), _here(n).alias("item_values")), "windows")
+    sizes = item.groupBy("item_id", "item_key").agg((F.max("item_pos") + 1).alias("n_windows"))
     few = item.count() <= BROADCAST_ROWS
     small = F.broadcast if few else (lambda df: df)
-    own = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     keys = ["doc_id", "text_key"]
-    met = windows(own, n, *keys).join(small(item), "window")
-    if not few:
-        # The window rows that a shuffle joins are slim; slots come from the texts of documents with hits.
-        slim = windows(own, n, *keys).select(*keys, "place", "window").join(item, "window").drop("window")
-        texts = own.where("text IS NOT NULL").select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), marked(F.col("text")).alias("marked"))
-        met = slim.join(texts, (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
-    hits = (
-        met.select(
-            *keys, "item_id", "item_key", _pos(F.col("place")).alias("pos"), "item_pos", "item_slots", _slots(F.col("marked"), F.col("place"), n).alias("slots"),
-            F.col("item_templates").bitwiseAND(_templates(F.col("marked"), F.col("place"), n)).alias("templates"),
-        )
-        .where("templates > 0")
-        # Repeated rows give equal hits, and copies of a text partial sums before any shuffle.
-        .groupBy(*keys, "item_id", "item_key", "pos", "item_pos", "templates")
-        .agg(F.first("item_slots").alias("item_slots"), F.first("slots").alias("slots"))
-        .withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-    )
-    hits = written(hits, "hits").withColumn("template", F.explode(F.when(F.col("templates") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array("templates"))))
-    pair = ["doc_id", "text_key", "item_id", "item_key", "template"]
-    slots = (
-        hits.where("size(slots) > 0")
-        .select(*pair, "diagonal", F.explode(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))).alias("s"))
-        .groupBy(*pair, "diagonal", F.col("s.a").alias("a"))
-        .agg(F.min("s.b").alias("lo"), F.max("s.b").alias("hi"))
-        .groupBy(*pair, "diagonal")
-        .agg(F.count(F.lit(1)).alias("n_slots"), F.max(F.col("lo") != F.col("hi")).alias("broken"))
-    )
-    same = [F.col(f"h.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*pair, "diagonal"]]
-    whole = hits.alias("h").join(slots.alias("s"), same, "left").where("NOT coalesce(s.broken, false)").select("h.*", F.coalesce("s.n_slots", F.lit(0)).alias("n_slots"))
-    found = (
-        whole.groupBy(*pair, "item_pos").agg(F.max("n_slots").alias("n_slots"))
-        .groupBy(*pair)
-        .agg(F.sum(F.when(F.col("item_pos") > 0, 1).otherwise(0)).alias("later"), F.count(F.lit(1)).alias("every"), F.max("n_slots").alias("n_slots"))
-    )
+    own = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    templates = F.col("item_templates").bitwiseAND(F.col("templates"))
+    hit = [*keys, "item_id", "item_key", "pos", "item_pos", "item_values"]
+    if few:
+        hits = windows(own, n, *keys).join(small(item), "window").where(templates > 0).select(*hit, templates.alias("templates"), _here(n).alias("own_values"))
+    else:
+        # The rows that a shuffle joins are slim; values come from the texts of documents with hits, each split once.
+        slim = windows(own, n, *keys).select(*keys, "pos", "window", "templates").join(item, "window").where(templates > 0).select(*hit, templates.alias("templates"))
+        slim = written(slim, "hits")
+        places = slim.groupBy(*keys).agg(F.collect_set("pos").alias("places")).select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "places")
+        same = (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id"))
+        texts = own.where("text IS NOT NULL").join(places, same).select(*keys, "places", F.split(marked(F.col("text")), " ").alias("values"))
+        texts = texts.select(*keys, "values", F.explode("places").alias("pos")).select(*keys, "pos", _here(n).alias("own_values"))
+        same = F.col("h.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("h.text_key") == F.col("t.text_key")) & (F.col("h.pos") == F.col("t.pos"))
+        hits = slim.alias("h").join(texts.distinct().alias("t"), same).select("h.*", "t.own_values")
+    hits = hits.select("*", F.explode(F.when(F.col("templates") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array("templates"))).alias("template"))
+    diagonal = F.col("pos") - F.col("item_pos")
+    cell = lambda d: F.floor(d / (2 * SHIFT))
+    ways = F.array(*[F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at")) for kind, at in enumerate((diagonal, cell(diagonal), cell(diagonal + SHIFT)))])
+    pair = ["doc_id", "text_key", "item_id", "item_key"]
+    hits = hits.select(*pair, "template", "item_pos", _bindings(F.col("template")).alias("bound"), F.explode(ways).alias("way"))
+    # Repeated rows bring nothing new to a set, and sets are merged within tasks before any shuffle.
+    aligned = hits.groupBy(*pair, "template", "way").agg(F.size(F.collect_set("item_pos")).alias("n_found"), F.array_distinct(F.flatten(F.collect_set("bound"))).alias("bound"))
+    n_slots = F.size("bound")
+    aligned = aligned.where((n_slots == F.size(F.array_distinct(F.col("bound.a")))) & (n_slots == F.size(F.array_distinct(F.col("bound.b")))))
+    best = F.max(F.struct("n_found", (-F.col("template")).alias("t"), (-F.col("way.kind")).alias("k"), (-F.col("way.at")).alias("at"), n_slots.alias("n_slots"))).alias("b")
+    found = aligned.groupBy(*pair).agg(best)
     out = found.alias("f").join(small(sizes).alias("z"), F.col("f.item_id").eqNullSafe(F.col("z.item_id")) & (F.col("f.item_key") == F.col("z.item_key")))
-    n_found = F.when(F.col("last") == 0, F.col("every")).otherwise(F.col("later"))
-    out = out.select("f.doc_id", "f.text_key", "f.item_id", "f.item_key", "n_windows", n_found.alias("n_found"), "n_slots", "template")
-    out = out.where(F.col("n_found") >= share * F.col("n_windows"))
-    # The first template's figures if it has its share.
-    out = out.groupBy("doc_id", "text_key", "item_id", "item_key").agg(F.min(F.struct("template", "n_windows", "n_found", "n_slots")).alias("b"))
-    return out.select("doc_id", "text_key", "item_id", "b.n_windows", "b.n_found", "b.n_slots").withColumn("share", F.col("n_found") / F.col("n_windows"))
+    out = out.where(F.col("f.b.n_found") >= share * F.col("n_windows"))
+    return out.select("f.doc_id", "f.text_key", "f.item_id", "n_windows", "f.b.n_found", "f.b.n_slots", (F.col("f.b.n_found") / F.col("n_windows")).alias("share"))
 
 
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,5 +165,8 @@ def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those that hold a benchmark item."""
     found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key")).distinct()
+    found = written(found, "found")
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
     on = (F.xxhash64("text") == F.col("found_key")) & F.col("doc_id").eqNullSafe(F.col("found_id"))
     return docs.select(*DOCUMENT_COLUMNS).join(found, on, "left_anti")

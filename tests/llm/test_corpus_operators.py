@@ -7,6 +7,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+import regex
 from colloq.llm import decontaminate, near_dup, registry, substrings
 from colloq.llm.components import components
 from pyspark.sql import functions as F
@@ -210,6 +211,90 @@ def test_decontamination_finds_passages(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.op7_template_decontamination(spark, DATA).collect()} == want
 
 
+def decontamination_brute(docs, items, n=5, share=0.8):
+    """(doc, item, windows found) by plain loops: both readings, all alignments."""
+    names, units = "|".join(decontaminate.NAMES), "|".join(decontaminate.UNITS)
+
+    def words(text):
+        """(value, slot type or '' by reading) of every word."""
+        text = regex.sub(r"(?<![0-9])[.,]|[.,](?![0-9])|[^\p{L}\p{N}.,]", " ", text or "")
+        text = regex.sub(rf"(?<=(?:^|[ ])[0-9]+(?:[.,][0-9]+)*)(?i:({units}))(?= |$)", r" \1", text).split()
+        out = []
+        for k, w in enumerate(text):
+            low, after = w.lower(), k and regex.fullmatch("[0-9]+(?:[.,][0-9]+)*", text[k - 1])
+            if w[0] in "0123456789":
+                kinds = ("d", "d")
+            elif after and regex.fullmatch(units, low):
+                kinds = ("u", "u")
+            elif regex.fullmatch(names, low):
+                kinds = ("n", "n")
+            else:
+                kinds = ("", "n" if regex.match(r"\p{Lu}\p{L}", w) else "")
+            out.append((low, kinds))
+        return out
+
+    def template(ws, t):
+        out = [w if not k[t] else "§" + k[t] for w, k in ws]
+        return tuple(out) if sum(x[0] != "§" for x in out) >= 2 else tuple((w, k) for w, k in ws)
+
+    def cut(ws):
+        return [ws[p : p + n] for p in range(len(ws) - n + 1)] if len(ws) >= n else [ws] if ws else []
+
+    found = set()
+    for di, dt in set(docs):
+        dw = cut(words(dt))
+        for ii, it in items:
+            iw, best = cut(words(it)), 0
+            for t in (0, 1):
+                hits = [(d, i) for d in range(len(dw)) for i in range(len(iw)) if len(dw[d]) == len(iw[i]) and template(dw[d], t) == template(iw[i], t)]
+                ways = collections.defaultdict(list)
+                for d, i in hits:
+                    for way in ((0, d - i), (1, (d - i) // 16), (2, (d - i + 8) // 16)):
+                        ways[way].append((d, i))
+                for met in ways.values():
+                    bound = {((k[t], w), (l[t], v)) for d, i in met for (w, k), (v, l) in zip(iw[i], dw[d]) if k[t]}
+                    if len(bound) == len({a for a, _ in bound}) == len({b for _, b in bound}):
+                        best = max(best, len({i for _, i in met}))
+            if iw and best >= share * len(iw):
+                found.add((di, ii, len(iw), best))
+    return found
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_decontamination_is_brute_force(spark, seed):
+    r = random.Random(seed)
+    words = "the of and has buys more apples pears for how many does so then now in total each".split()
+    names, units = ["Zoe", "Mia", "Ida", "Alice", "Bob", "Rex"], ["km", "hours", "dollars", "kg"]
+    item = lambda: [r.choice(words) if x < 6 else r.choice(names) if x < 8 else str(r.randrange(40)) if x < 9 else f"{r.randrange(9)} {r.choice(units)}" for x in (r.randrange(10) for _ in range(r.randrange(3, 25)))]
+    items = [item() for _ in range(12)]
+    docs = []
+    for k in range(60):
+        body = list(r.choice(items))
+        swap = {x: r.choice(names) if x in names else str(r.randrange(40)) for x in set(body) if x in names or x.isdigit()}
+        body = [swap.get(x, x) if k % 3 else x for x in body]
+        for _ in range(r.randrange(3)):
+            body.insert(r.randrange(len(body) + 1), r.choice(words))
+        docs.append((k, " ".join([*item()[: r.randrange(9)], *body, *item()[: r.randrange(9)]]) + r.choice([".", "", "?"])))
+    items = [(k, " ".join(x).capitalize() if k % 4 == 0 else " ".join(x) + ".") for k, x in enumerate(items)]
+    want = decontamination_brute(docs, items)
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id, x.n_windows, x.n_found) for x in got} == want and len(got) == len(want) > 12
+
+
+def test_decontamination_needs_one_binding(spark):
+    """Every window counts, the first too; contradictory bindings in two places, or two values for one, are no match."""
+    bench = [(1, "what is the capital of France"), (2, "Rex sells nine red apples to each of the four boys that Rex has met"), (3, "Mia walks with Ida to the old mill by the river and back")]
+    docs = [
+        (1, "we saw that is the capital of France once"), (2, "we asked What is the capital of France once"), (3, "what is the capital of Peru"),
+        (4, "Bob sells nine red apples to each of the four boys that Bob has met"),
+        (5, "Bob sells nine red apples to each of the four boys and so on, again and again it was told, it went on and on, each of the four boys that Tom has met"),
+        (6, "Bob sells nine red apples to each of the four boys that Tom has met"),
+        (7, "Eva walks with Eva to the old mill by the river and back"), (8, "Eva walks with Ada to the old mill by the river and back"),
+    ]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(2, 1), (3, 1), (4, 2), (8, 3)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as C
 
