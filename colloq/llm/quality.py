@@ -8,12 +8,12 @@
    is the sample's bound times ``DIMENSIONS``; only that is broadcast.
 3. Every document of the input is projected into that space, and the cosines with *all*
    labelled vectors are computed block by block as exact matrix products. The
-   ``NEIGHBOURS`` nearest vote with their labels, weighted by similarity.
+   ``NEIGHBOURS`` nearest, and all that are as near as the last of them, vote with their labels, weighted by similarity.
 
 Scores use texts only. Defined results: a null or empty text, or one without a term of
 the space, has no neighbours and scores the sample's share of good labels; without labelled rows
 the score is 0.5; null labels, or those that are neither 0 nor 1, are ignored;
-repeated rows score alike; an empty table gives no rows.
+repeated rows score alike; a very long text is one vector of all its terms; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ NEIGHBOURS = 24
 THRESHOLD = 0.3
 #: Share of the terms that words get; shapes have the rest.
 WORD_TERMS = 2048
-REPEAT_WEIGHT = 400
+#: Terms for words that repeat their neighbour.
+REPEAT_TERMS = 8
 #: Weight of the sample's share of good labels beside the neighbours' votes.
 PRIOR = 0.3
 
@@ -70,18 +71,15 @@ def term_counts(texts: list[str | None]):
     run = kind[start].astype("uint64") * np.uint64(3) + size.astype("uint64")
     at = owner[start]
     parts = [(k, words)]
-    # The share of words that repeat their neighbour, in eighths, speaks with the weight of many words.
-    share = np.bincount(k[repeat], minlength=len(texts)) / np.maximum(1, np.diff(bounds))
-    high = np.flatnonzero(share >= 1 / 16)
-    stays = WORD_TERMS + np.ceil(share[high] * 8).astype("int64").clip(0, 7)
-    parts += [(np.repeat(high, REPEAT_WEIGHT), np.repeat(stays, REPEAT_WEIGHT)), (np.repeat(high, REPEAT_WEIGHT), np.full(len(high) * REPEAT_WEIGHT, WORD_TERMS + 8))]
+    # A word said twice in a row is a term as well, one of a few.
+    parts.append((k[1:][repeat], WORD_TERMS + (mix(ids[1:][repeat] + np.uint64(9)) % np.uint64(REPEAT_TERMS)).astype("int64")))
     for n in (2, 3):
         if len(run) >= n:
             gram = np.full(len(run) - n + 1, n, "uint64")
             for j in range(n):
                 gram = mix(gram * np.uint64(0x9E3779B97F4A7C15) + run[j : len(run) - n + 1 + j])
             same = at[n - 1 :] == at[: len(at) - n + 1]
-            parts.append((at[: len(at) - n + 1][same], WORD_TERMS + 9 + (gram[same] % np.uint64(TERMS - WORD_TERMS - 9)).astype("int64")))
+            parts.append((at[: len(at) - n + 1][same], WORD_TERMS + REPEAT_TERMS + (gram[same] % np.uint64(TERMS - WORD_TERMS - REPEAT_TERMS)).astype("int64")))
     cell = np.concatenate([a * TERMS + b for a, b in parts])
     cell, count = np.unique(cell, return_counts=True)
     return cell // TERMS, cell % TERMS, count
@@ -95,7 +93,6 @@ class Space:
         for k, (term, count) in enumerate(rows):
             dense[k, term] = np.log1p(count)
         self.idf = np.log((1 + len(rows)) / (1 + (dense > 0).sum(0))).astype("float32") + 0.1
-        self.idf[WORD_TERMS : WORD_TERMS + 9] *= 8
         dense *= self.idf
         self._unit(dense)
         # Randomised subspace iteration.
@@ -130,8 +127,16 @@ class Space:
             cosine = own[s : s + 256] @ self.vectors.T
             n = min(NEIGHBOURS, cosine.shape[1])
             near = np.argpartition(cosine, cosine.shape[1] - n, axis=1)[:, -n:]
-            weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-3) ** 8
-            out[has[s : s + 256]] = ((weight * self.labels[near]).sum(1) + PRIOR * self.labels.mean()) / (weight.sum(1) + PRIOR)
+            top = np.take_along_axis(cosine, near, 1)
+            weight = np.maximum(top, 1e-3) ** 8
+            votes, total = (weight * self.labels[near]).sum(1), weight.sum(1)
+            # Of neighbours that are as near as the last one, all vote.
+            least = top.min(1, keepdims=True)
+            for j in np.flatnonzero((cosine >= least).sum(1) > n):
+                all_ = cosine[j] >= least[j]
+                weight = np.maximum(cosine[j][all_], 1e-3) ** 8
+                votes[j], total[j] = (weight * self.labels[all_]).sum(), weight.sum()
+            out[has[s : s + 256]] = (votes + PRIOR * self.labels.mean()) / (total + PRIOR)
         return np.round(np.clip(out, 0, 1), 4)
 
 
