@@ -1,6 +1,6 @@
 """Language identification: script ranges, then Viterbi over words with a switching penalty.
 
-A word is a run of letters. Its script, by ranges of code points, leaves the languages
+A word is a run of letters and their marks. Its script, by ranges of code points, leaves the languages
 that use that script as candidates. Each candidate has a score for the word: the log
 probability of its letter trigrams under the language's counts. Viterbi finds the
 labels of all words that maximise the sum of scores less ``SWITCH`` for each change
@@ -8,12 +8,13 @@ of language, so that a text of several languages falls into spans. The text's
 language is the one whose spans hold most letters (of equals, the first by name).
 
 The counts come from a sample of at most about ``MAX_LETTERED`` documents per
-language, by a hash of the id; they are summed on the executors and have a fixed
+language, of ``MAX_LANGUAGES`` at most, by a hash of the id; they are summed on the executors and have a fixed
 number of cells, which bounds what is collected and broadcast.
 
 Defined results: a null text or one without letters is ``und`` with score 0, as is every
 text if nothing could be learned; words of a script that no learned language uses keep all
-languages as candidates; repeated rows agree; an empty table gives no rows.
+languages as candidates; of two ways with equal sums the one that stays in its language wins, and else the first by name;
+a very long text is one sequence; spans count code points of the text as given; repeated rows agree; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from colloq.llm.shingles import blocks, mix
 
 #: Documents to learn a language from, about: a share of each language by a hash.
 MAX_LETTERED = 1500
+#: Languages that are learned: those with most documents, of equals the first by name.
+MAX_LANGUAGES = 250
 CELLS = 1 << 16
 SWITCH = 12.0
 #: First code points of scripts' ranges and the scripts (fixed values of Unicode blocks).
@@ -42,22 +45,32 @@ SCRIPTS = (
 SCRIPT_NAMES = sorted({s for _, s in SCRIPTS})
 _FIRST = np.array([a for a, _ in SCRIPTS])
 _SCRIPT = np.array([SCRIPT_NAMES.index(s) for _, s in SCRIPTS])
-#: Which code points of the basic plane are letters; those beyond it are asked one by one.
-IS_LETTER = np.array([unicodedata.category(chr(k))[0] == "L" for k in range(0x10000)])
+#: Categories of the code points of the basic plane: 1 are letters, 2 marks; those beyond it are asked one by one.
+KINDS = np.array([{"L": 1, "M": 2}.get(unicodedata.category(chr(k))[0], 0) for k in range(0x10000)], "uint8")
 
 
 def _letters(raw: np.ndarray) -> np.ndarray:
-    out = IS_LETTER[np.minimum(raw, 0xFFFF)]
-    for k in np.flatnonzero(raw > 0xFFFF):
-        out[k] = chr(raw[k]).isalpha()
-    return out
+    """Whether code points belong to words: letters, and marks that follow a letter or its marks."""
+    kind = KINDS[np.minimum(raw, 0xFFFF)]
+    far = raw > 0xFFFF
+    if far.any():
+        some, at = np.unique(raw[far], return_inverse=True)
+        kind[far] = np.array([{"L": 1, "M": 2}.get(unicodedata.category(chr(c))[0], 0) for c in some], "uint8")[at]
+    bearer = np.maximum.accumulate(np.where(kind != 2, np.arange(len(kind)), 0))
+    return kind[bearer] == 1
+
+
+def folded(text: str) -> str:
+    """In lower case, code point by code point: offsets stay those of the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower()[0] for c in text)
 
 
 class Words:
     """Words of a block of texts: their text, first and last letter, script, and trigram cells."""
 
     def __init__(self, texts: list[str | None]):
-        low = [(t or "").lower() for t in texts]
+        low = [folded(t or "") for t in texts]
         raw = np.frombuffer(("\n" + "".join(t + "\n" for t in low)).encode("utf-32-le", "surrogatepass"), "<u4")
         letter = _letters(raw)
         edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
@@ -128,7 +141,7 @@ class Model:
         score = letters[np.arange(len(texts)), pick] / np.maximum(total, 1)
         new = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (owner[1:] != owner[:-1])])
         last = np.r_[new[1:], len(label)] - 1
-        base = np.cumsum([1, *(len((t or "").lower()) + 1 for t in texts)])
+        base = np.cumsum([1, *(len(t or "") + 1 for t in texts)])
         spans: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         for a, b in zip(new.tolist(), last.tolist()):
             k = int(owner[a])
@@ -139,7 +152,8 @@ class Model:
 def fit(docs: DataFrame, most: int = MAX_LETTERED) -> Model:
     """Learns from documents (doc_id, text, lang), about ``most`` of each language."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    known = known.where(F.col("lang").isin(*sizes))
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((CELLS, 0)), np.zeros((len(SCRIPT_NAMES), 0)))
@@ -207,6 +221,7 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
 def op2_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
-    return identify(docs.select("doc_id", "text"), model).select(
-        "doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score"
+    joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["lang"], s["first"], s["end"])), ",")
+    return identify(docs.select("doc_id", "text"), model, with_spans=True).select(
+        "doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", joined.alias("spans")
     )
