@@ -33,6 +33,26 @@ def test_quality_held_out(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
 
 
+def test_quality_votes_are_exact():
+    """Every cosine in turn; all neighbours as near as the last one vote."""
+    texts = ["the cat sat on the mat", "BUY BUY BUY now now!!!", "a quiet day by the sea", "x x x x x x", "one | two | three", "the cat sat on the mat"] * 9
+    rows = [(term[text == k], count[text == k]) for text, term, count in [quality.term_counts(texts)] for k in range(len(texts))]
+    space = quality.Space(rows, np.array([k % 3 % 2 for k in range(len(texts))]))
+    asked = ["the cat sat", "BUY now!!!", "x x x", "", None, "a day by the | sea"]
+    text, term, count = quality.term_counts(asked)
+    for k, got in enumerate(space.scores(asked)):
+        own = np.zeros(space.project.shape[1])
+        for t, n in zip(term[text == k], count[text == k]):
+            own += math.log1p(n) * space.idf[t] * space.project[t]
+        if not (text == k).any():
+            assert got == pytest.approx(space.labels.mean(), abs=1e-4)
+            continue
+        cosine = sorted(((float(own @ v) / np.linalg.norm(own), x) for v, x in zip(space.vectors, space.labels)), reverse=True)
+        near = [(max(c, 1e-3) ** 8, x) for c, x in cosine if c >= cosine[quality.NEIGHBOURS - 1][0] - 1e-5]
+        want = (sum(w * x for w, x in near) + quality.PRIOR * space.labels.mean()) / (sum(w for w, _ in near) + quality.PRIOR)
+        assert got == pytest.approx(want, abs=2e-3)
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(6, 1), (4, 0), (9, None), (None, 1)], "doc_id long, quality int")
     space = quality.fit(edges(spark), labels)
@@ -64,6 +84,20 @@ def test_language_edges_and_spans(spark):
     assert {x.lang_pred for x in language.identify(edges(spark), language.fit(known.limit(0))).collect()} == {"und"}
 
 
+def test_language_spans_are_of_the_text_as_given(spark):
+    """Letters whose lower case is longer, marks of their own, and letters beyond the basic plane."""
+    known = [(1, "bir ve için olarak " * 9, "tr"), (2, "это как для все " * 9, "ru"), (3, "र कि और में " * 9, "hi")]
+    model = language.fit(spark.createDataFrame(known, "doc_id long, text string, lang string"))
+    texts = ["İİİİ İİ bir ve", "cafe\u0301 bir 𝒜𝒷 это как для", "और कि में ़", "́ ̀", "ΣΑΣ bir"]
+    for r in language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, with_spans=True).collect():
+        assert all(0 <= s.first < s.end <= len(r.text) and not r.text[s.first].isspace() and not r.text[s.end - 1].isspace() for s in r.spans)
+        assert (r.lang_pred == "und") == (r.doc_id == 3)
+        assert r.doc_id or [(s.first, s.end) for s in r.spans] == [(0, 14)]
+        assert r.doc_id != 1 or (r.spans[-1].lang, r.spans[-1].end) == ("ru", 24) and r.text[: r.spans[-1].end].endswith("для")
+    words = language.Words(["cafe\u0301 x"])
+    assert (words.start - 1).tolist() == [0, 6] and (words.stop - 1).tolist() == [5, 7]
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(1)
     model = language.Model(["a", "b", "c"], rng.random((language.CELLS, 3)) * 40, np.ones((len(language.SCRIPT_NAMES), 3)))
@@ -117,6 +151,34 @@ def test_pii_spans(spark):
     assert pii.pii(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [10_000, 1_000_000])
+def test_pii_of_very_long_values(spark, n):
+    texts = ["see a@" + "a." * (n // 2) + "com", "b" * n + "@x-y.org", "1." * (n // 2) + "1", "0" * n + ".0.0.1", "4" * n, "4 " * (n // 2) + "4", "+1" + "2" * n, "+1 " + "(" * n + "2",
+             "555-" * (n // 4) + "1234", "123-45-" * (n // 7) + "6789", "token " + "a1" * (n // 2), "ghp_" + "Ab1-" * (n // 4), "x@" + "a-" * (n // 2) + "b.de", "@." * (n // 2), "§" * n]
+    rows = pii.pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        found = [f"{s.kind}:{s.start}:{s.end}" for s in r.found if s.base]
+        if r.doc_id == 3:  # longer than Python reads numbers
+            assert found == [f"ip:0:{n + 6}"]
+        elif n <= 10_000:  # Python's patterns step back and take the square of a longer value's time
+            assert found == base_spans(r.text)
+        elif r.doc_id in (0, 1, 12):
+            assert [x.split(":")[0] for x in found] == ["email"]
+
+
+def test_pii_of_documents(spark):
+    """Base spans of a whole table by Python's patterns; planted secrets are what the added kind finds."""
+    rows = {r.doc_id: r for r in pii.op3_weak_supervision_pii(spark, DATA).collect()}
+    texts = rows_of("documents", "doc_id, text")
+    assert len(rows) == len(texts)
+    for i, t in texts:
+        want = base_spans(t)
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [rows[i][f"n_{k}"] for k in pii.BASE] == [sum(x.startswith(k) for x in want) for k in pii.BASE]
+        assert set(want) <= set(rows[i].spans.split(",")) | {""}
+
+
 def test_em_trusts_agreeing_labelers():
     share, chance = pii.reliabilities({("k", 1, 1, -1): 80, ("k", 0, 0, -1): 80, ("k", 1, 0, -1): 4, ("k", 0, 1, -1): 4})
     assert 0.4 < share["k"] < 0.6 and chance[0][1] > 0.8 > 0.3 > chance[0][0]
@@ -126,8 +188,13 @@ def test_media_round_trip(spark):
     folder = f"{spark.conf.get('spark.checkpoint.dir')}/media-test"
     rows = media.media_columns(edges(spark), folder).collect()
     assert len(rows) == len(EDGES)
+    same = collections.defaultdict(set)
     for r in rows:
-        pass
+        same[r.payload_sha256].add((r.media_sha256, r.tail_crc32, r.feature, r.stored_sha256 if "stored_sha256" in r else None))
+    assert all(len(x) == 1 for x in same.values())
+    tails = {hashlib.sha256(x).hexdigest(): zlib.crc32(x[-64:]) for x in (media.padded((t or "").encode()) for _, t in EDGES)}
+    assert all(r.tail_crc32 == tails[r.payload_sha256] for r in rows)
+    assert all(r.media_sha256 == hashlib.sha256(media.encode_png(media.padded((t or "").encode()))).hexdigest() for _, t in EDGES for r in rows if hashlib.sha256(media.padded((t or "").encode())).hexdigest() == r.payload_sha256)
     texts = collections.Counter((d, (t or "").encode()) for d, t in EDGES)
     want = collections.Counter({(d, len(t), hashlib.sha256(t + bytes(-len(t) % 64 if t else 64)).hexdigest()): n for (d, t), n in texts.items()})
     assert collections.Counter((r.doc_id, r.n_bytes, r.payload_sha256) for r in rows) == want
