@@ -48,10 +48,11 @@ def main(argv: list[str] | None = None) -> None:
     flat = pipeline.final_samples(found, settings).persist()
     sinks.write_lines(flat, f"{args.output}/training_data_intermediate", "sample_id")
     sinks.write_lines(training_text(flat).orderBy("sample_id").select("text"), f"{args.output}/training_data_formatted")
-    sinks.write_document(stats.compiled(flat), f"{args.output}/data_statistics.json")
-    sinks.write_document(sinks.filtering_summary(flat, settings), f"{args.output}/filtering_summary.json")
-    with open(f"{args.output}/sample_examples.txt", "w") as out:
-        out.write(sinks.example_report(stats.stratified_examples(flat, settings.examples)))
+    sinks.write_document(spark, stats.compiled(flat), f"{args.output}/data_statistics.json")
+    sinks.write_document(spark, sinks.filtering_summary(flat, settings), f"{args.output}/filtering_summary.json")
+    sinks.write_text(spark, sinks.example_report(stats.stratified_examples(flat, settings.examples)), f"{args.output}/sample_examples.txt")
+    for frame in (acts, flat):
+        frame.unpersist()
 
 
 if __name__ == "__main__":

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloq.config import DECISIONS, DEFAULT, Settings
+from colloq.operators.decisions import with_percent
 from colloq.operators.labels import POSITION
 from colloq.operators.quality import confidence_score
 from colloq.plans.ranking import ranked
@@ -85,3 +86,8 @@ def distribution(samples: DataFrame) -> DataFrame:
 
     rows = samples.groupBy("decision", "category").agg(F.count(F.lit(1)).alias("n"))
     return rows.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(W.partitionBy("decision")))
+
+
+def confidence_share(samples: DataFrame) -> DataFrame:
+    """Samples of each confidence and their percentage."""
+    return with_percent(samples.groupBy("confidence").agg(F.count(F.lit(1)).alias("n")))

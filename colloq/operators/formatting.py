@@ -71,3 +71,9 @@ def training_text(flat: DataFrame) -> DataFrame:
 def first_of_class(flat: DataFrame, decision: str) -> DataFrame:
     """The first sample of a class; no row if there is none."""
     return flat.where(F.col("decision") == decision).orderBy("sample_id").limit(1)
+
+
+def first_examples(samples: DataFrame, n: int = 5, chars: int = 100) -> DataFrame:
+    """The first numbered samples as a console shows them: labels, and the start of the turn behind its speaker."""
+    line = F.concat(F.lit("["), "current_turn.speaker", F.lit("] "), F.substring("current_turn.text", 1, chars), F.lit("..."))
+    return samples.orderBy("sample_id").limit(n).select("sample_id", "decision", "category", "confidence", line.alias("line"))

@@ -105,8 +105,16 @@ def replay(asked: DataFrame, stored: DataFrame) -> DataFrame:
     return asked.join(stored.select("dact_id", "reply"), "dact_id").where("reply IS NOT NULL")
 
 
+def client(generate: Callable[..., str | None], options: dict = MODEL_OPTIONS) -> Callable[[str], str | None]:
+    """A provider that asks ``generate(prompt, **options)``."""
+    return lambda prompt: generate(prompt, **options)
+
+
 def call(asked: DataFrame, provider: Callable[[str], str | None], per_pause: int = CALLS_PER_PAUSE, pause: float = 0.0) -> DataFrame:
-    """Adds reply from ``provider(prompt)``; a call that fails or gives None skips its row."""
+    """Adds reply from ``provider(prompt)``; a call that fails or gives None skips its row.
+
+    With ``pause`` (``PAUSE_SECONDS`` is usual) a task rests that many seconds after every ``per_pause`` answered calls.
+    """
     names = asked.columns
 
     def run(frames):

@@ -66,13 +66,13 @@ def per_meeting(s: DataFrame) -> DataFrame:
 
 def stratified_examples(s: DataFrame, each: int = 5, seed: int = 7) -> DataFrame:
     """Up to so many samples of each category, in a pseudo-random order that the seed fixes."""
-    order = F.xxhash64("decision_point_id", F.lit(seed))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), "decision_point_id").cast("binary"))
     rank = F.row_number().over(W.partitionBy("category").orderBy(order, "decision_point_id"))
     return s.withColumn("rank", rank).where(F.col("rank") <= each)
 
 
 def compiled(s: DataFrame) -> dict:
-    """All reports as one nested document; ratios without a divisor are None."""
+    """All reports as one nested document (its keys are fixed values); ratios without a divisor are None."""
     o, d, c, a = (f(s).first() for f in (overview, decision_distribution, context_stats, duplicate_audit))
     grid = {(r.decision, r.confidence): r.n for r in confidence_grid(s).collect()}
     total = o.total

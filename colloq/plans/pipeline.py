@@ -26,13 +26,13 @@ def corpus_acts(spark: SparkSession, folder: str, settings: Settings = DEFAULT,
     return indexed(assembled(refs, corpus.words(spark, folder)))
 
 
-def sequences(acts: DataFrame, speakers: DataFrame | None = None, provider: Callable[[str], str | None] | None = None, settings: Settings = DEFAULT) -> DataFrame:
+def sequences(acts: DataFrame, speakers: DataFrame | None = None, provider: Callable[[str], str | None] | None = None, settings: Settings = DEFAULT, pause: float = 0.0) -> DataFrame:
     """Explicit sequences, and inferred ones if there is a provider of replies."""
     explicit = explicit_sequences(acts, settings)
     if provider is None:
         return explicit
     timeline = unaddressed(acts, settings)
-    replies = parsed(call(prompts(timeline, speakers if speakers is not None else acts, settings), provider))
+    replies = parsed(call(prompts(timeline, speakers if speakers is not None else acts, settings), provider, pause=pause))
     return explicit.unionByName(inferred_sequences(timeline, replies.select("meeting_id", "idx", "addressee", "confidence", "reason"), settings))
 
 

@@ -160,7 +160,7 @@ def _merged(spark, d):
 
 
 def merge_sequences(spark, d):
-    rows = sequences(spark, d).unionByName(inferred(spark, d))
+    rows = _merged(spark, d)
     return rows.select("meeting_id", "sequence_id", "source", F.col("addressing_turn.inference_confidence").alias("confidence"))
 
 

@@ -128,9 +128,11 @@ SELECT sequence_id, meeting_id, kind, s, t, addr, row_number() OVER (PARTITION B
   UNION ALL SELECT sequence_id, meeting_id, 'response', 2, 0, rs, rt, []::VARCHAR[] FROM seq
   UNION ALL SELECT sequence_id, meeting_id, 'continuation', 3, generate_subscripts(after, 1), unnest(after).s, unnest(after).t, []::VARCHAR[] FROM seq)"""
 STEPS["everyone"] = "SELECT sequence_id, list_sort(list_distinct(flatten(list(list_concat([s], addr))))) AS people FROM turns GROUP BY 1"
+STEPS["words_of"] = f"SELECT w.t, {normal('w.t')} AS n FROM (SELECT DISTINCT t FROM turns) w"
 STEPS["placed"] = """
-SELECT *, lead(s) OVER (PARTITION BY sequence_id ORDER BY turn_index) AS then_s,
-  coalesce(list({'s': s, 't': t}) OVER (PARTITION BY sequence_id ORDER BY turn_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS ctx FROM turns"""
+SELECT *, lead(s) OVER w AS then_s, concat_ws('|', lag(s || ':' || n, 3) OVER w, lag(s || ':' || n, 2) OVER w, lag(s || ':' || n, 1) OVER w) AS last_lines,
+  coalesce(list({'s': s, 't': t}) OVER (PARTITION BY sequence_id ORDER BY turn_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS ctx FROM turns JOIN words_of USING (t)
+WINDOW w AS (PARTITION BY sequence_id ORDER BY turn_index)"""
 STEPS["points"] = """
 SELECT p.*, people, target, sequence_id || '_turn' || turn_index::VARCHAR || '_target' || target AS decision_point_id,
   list_contains(addr, target) AS addressed, coalesce(then_s = target, false) AS spoke
@@ -146,12 +148,7 @@ SELECT *, CASE WHEN spoke THEN 'SPEAK' ELSE 'SILENT' END AS decision,
     WHEN list_contains(list_transform(ctx[-2:], lambda c: c.s), target) THEN 'S3' WHEN len(addr) > 0 AND NOT addressed THEN 'S5' ELSE 'S1' END AS category
 FROM points"""
 STEPS["good"] = f"SELECT * FROM samples WHERE NOT {low('t')}"
-STEPS["words_of"] = f"SELECT w.t, {normal('w.t')} AS n FROM (SELECT DISTINCT t FROM turns) w"
-STEPS["signed"] = """
-SELECT *, n || ':::' || coalesce(lines, '') || ':::' || decision AS signature FROM good
-JOIN words_of USING (t)
-LEFT JOIN (SELECT decision_point_id, string_agg(c.s || ':' || w.n, '|' ORDER BY k) AS lines
-  FROM (SELECT decision_point_id, unnest(ctx[-3:]) AS c, generate_subscripts(ctx[-3:], 1) AS k FROM good) x JOIN words_of w ON w.t = x.c.t GROUP BY 1) USING (decision_point_id)"""
+STEPS["signed"] = "SELECT *, n || ':::' || last_lines || ':::' || decision AS signature FROM good"
 STEPS["uniq"] = """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY meeting_id, sequence_id, turn_index, target) AS rn FROM signed) WHERE rn = 1"""
 STEPS["flat"] = f"""
@@ -177,6 +174,12 @@ SELECT *, row_number() OVER (ORDER BY place, rank) AS sample_id FROM (
   SELECT u.*, q.place, q.quota, row_number() OVER (PARTITION BY u.decision, u.category ORDER BY meeting_id, sequence_id, turn_index, u.target) AS rank FROM uniq u JOIN (SELECT decision, category, place, quota FROM quota) q USING (decision, category))
 WHERE rank <= quota"""
 STEPS["pairs"] = "SELECT meeting_id, sequence_id, 'explicit' AS source, 10 AS confidence FROM seq UNION ALL SELECT x.meeting_id, x.sequence_id, 'gemini_inferred', a.confidence FROM xseq x JOIN answered a ON a.meeting_id = x.meeting_id AND a.idx = x.i"
+STEPS["xacts"] = f"""
+SELECT *, row_number() OVER w - 1 AS doc_order, coalesce(sum(len(toks)) OVER (PARTITION BY meeting_id, speaker ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before_,
+  meeting_id || '.' || speaker AS person, explicit OR speaker = 'E' AS annotated
+FROM (SELECT *, {tokens('text')} AS toks FROM acts) WINDOW w AS (PARTITION BY meeting_id, speaker ORDER BY idx)"""
+STEPS["told"] = """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5('7:' || decision_point_id), decision_point_id)::INT AS rank FROM flat) WHERE rank <= 5"""
 STEPS["tok"] = f"SELECT doc_id, unnest({tokens('text')}) AS text, generate_subscripts({tokens('text')}, 1) AS n FROM documents"
 
 
@@ -299,4 +302,44 @@ count(DISTINCT (context, current_turn)) AS unique_pairs, count(*) - count(DISTIN
     "act_text_time": """SELECT 'D' || doc_id::VARCHAR AS meeting_id, ((n - 1) // 7 * 7)::BIGINT AS doc_order, string_agg(text, ' ' ORDER BY n) AS text, min(n * 0.5::DOUBLE) AS starttime, max(n * 0.5::DOUBLE + 0.25) AS endtime
 FROM tok WHERE n % 5 <> 0 GROUP BY doc_id, (n - 1) // 7""",
 }
+_ids = "person || '.words' || (before_ + {k})::VARCHAR"
+BODIES |= {
+    "xml_meeting_speakers": "SELECT DISTINCT meeting_id, speaker, meeting_id || speaker AS participant_id, 'role ' || speaker AS role FROM acts",
+    "xml_words": f"""SELECT meeting_id, speaker, {_ids.format(k='k')} AS word_id, toks[k] AS text, starttime + (k - 1) * 0.25::DOUBLE AS starttime, starttime + (k - 1) * 0.25::DOUBLE + 0.125::DOUBLE AS endtime
+FROM (SELECT *, unnest(range(1, len(toks) + 1)) AS k FROM xacts)""",
+    "xml_act_refs": f"""SELECT meeting_id, speaker, person || '.' || doc_order::VARCHAR AS dact_id, array_to_string(addressee, ',') AS addressee_text, annotated, doc_order,
+CASE WHEN len(toks) = 0 THEN '' ELSE person || '.words.xml#id(' || {_ids.format(k='1')} || ')' || CASE WHEN len(toks) > 1 THEN '..id(' || {_ids.format(k='len(toks)')} || ')' ELSE '' END END AS refs FROM xacts""",
+    "xml_discovery": f"SELECT meeting_id FROM xacts GROUP BY 1 HAVING bool_or(annotated) ORDER BY 1 LIMIT {DEFAULT.meeting_limit}",
+    "xml_acts": """SELECT meeting_id, (row_number() OVER (PARTITION BY meeting_id ORDER BY idx) - 1)::INT AS idx, speaker, array_to_string(addressee, ',') AS addressee, array_to_string(toks, ' ') AS text, starttime,
+starttime + (len(toks) - 1) * 0.25::DOUBLE + 0.125::DOUBLE AS endtime, explicit AS has_explicit_addressee
+FROM xacts WHERE len(toks) > 0 AND meeting_id IN (SELECT meeting_id FROM xacts GROUP BY 1 HAVING bool_or(annotated))""",
+    "json_lines_sequences": _explicit,
+    "json_array_sequences": _explicit,
+    "json_dispatch": "SELECT meeting_id, count(*) AS n, form FROM seq, (VALUES ('a.json'), ('b.jsonl')) f(form) GROUP BY 1, 3",
+    "file_per_sample": "SELECT sample_id, decision_point_id, decision, category FROM chosen",
+    "summary_document": """SELECT 'total_samples' AS key, count(*)::VARCHAR AS value FROM chosen UNION ALL SELECT 'speak_samples', count(*)::VARCHAR FROM chosen WHERE decision = 'SPEAK'
+UNION ALL SELECT 'silent_samples', count(*)::VARCHAR FROM chosen WHERE decision = 'SILENT' UNION ALL SELECT category, count(*)::VARCHAR FROM chosen GROUP BY 1 UNION ALL SELECT 'high', count(*)::VARCHAR FROM chosen
+UNION ALL VALUES ('speak_ratio', '0.5'), ('max_category_ratio', '0.35'), ('min_text_length', '3'), ('deduplication', 'text + context (3 turns) + label')""",
+    "statistics_document": """SELECT 'total_samples' AS key, count(*) AS value FROM flat UNION ALL SELECT 'unique_meetings', count(DISTINCT meeting_id) FROM flat UNION ALL SELECT 'unique_sequences', count(DISTINCT sequence_id) FROM flat
+UNION ALL SELECT 'unique_speakers', count(DISTINCT p) FROM (SELECT unnest(people) AS p FROM flat) UNION ALL SELECT decision, count(*) FROM flat GROUP BY 1
+UNION ALL SELECT 'unique_decision_points', count(DISTINCT decision_point_id) FROM flat UNION ALL SELECT 'unique_context_current_pairs', count(DISTINCT (context, current_turn)) FROM flat
+UNION ALL SELECT v.category, count(f.category) FROM """
+    + _kinds
+    + """ LEFT JOIN flat f USING (category) GROUP BY 1 UNION ALL SELECT meeting_id, count(*) FROM flat GROUP BY 1""",
+    "stratified_examples": "SELECT category, rank, sample_id, decision_point_id FROM told",
+    "example_lines": f"""SELECT line, count(*) AS n FROM (
+SELECT unnest(['Example ' || rank::VARCHAR || ':', 'Sample ID: ' || sample_id::VARCHAR, 'Meeting: ' || meeting_id, 'Target Speaker: ' || target_speaker, 'Decision: ' || decision, 'Confidence: ' || confidence, 'Reason: ' || reason]) AS line FROM told
+UNION ALL SELECT category || ': ' || name FROM {_kinds}) GROUP BY 1""",
+    "uploaded_objects": """SELECT 'run/1/counts/' || decision || '.txt' AS key, count(*) AS n FROM chosen GROUP BY decision UNION ALL SELECT 'run/1/summary.json', count(*) FROM chosen""",
+    "size_metrics": f"SELECT sum(strlen({_template}) + 1)::BIGINT AS bytes, count(*) AS samples, sum(strlen({_template}) + 1)::DOUBLE / count(*) AS bytes_per_sample FROM flat",
+    "merge_head": """SELECT p.meeting_id, p.sequence_id, p.source, coalesce(s.text, x.text) AS text FROM pairs p LEFT JOIN seq s ON s.sequence_id = p.sequence_id LEFT JOIN xseq x ON x.sequence_id = p.sequence_id
+ORDER BY p.meeting_id, p.sequence_id LIMIT 12""",
+    "one_meeting": f"SELECT * FROM ({_explicit}) WHERE meeting_id = (SELECT min(meeting_id) FROM seq)",
+    "filtered_examples": "SELECT sample_id, decision, category, 'high' AS confidence, '[' || s || '] ' || substr(t, 1, 100) || '...' AS line FROM chosen ORDER BY sample_id LIMIT 5",
+    "balanced_confidence": "SELECT 'high' AS confidence, count(*) AS n, 100.0::DOUBLE AS percent FROM chosen",
+    "first_of_class": f"SELECT sample_id, md5({_template}) AS text FROM flat JOIN (SELECT min(sample_id) AS sample_id FROM flat GROUP BY decision) USING (sample_id)",
+    "model_inference_replay": f"""SELECT meeting_id, idx::INT AS idx, CASE WHEN list_contains(people, 'ABCD'[length(prompt) % 4 + 1]) THEN 'ABCD'[length(prompt) % 4 + 1] ELSE '' END AS addressees,
+(length(prompt) % 11)::INT AS confidence, 'No explanation provided' AS reason FROM (SELECT meeting_id, idx, people, {_prompt} AS prompt FROM (
+SELECT *, coalesce(list({{'s': speaker, 't': text}}) OVER (PARTITION BY meeting_id ORDER BY idx ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), []) AS ctx FROM quiet) JOIN people USING (meeting_id))""",
+}
 ORACLE_SQL = {name: sql(body) for name, body in BODIES.items()}

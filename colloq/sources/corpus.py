@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colloq.functions.text import strip
+
 SPEAKER = "struct<_nxt_agent:string,_global_name:string,_role:string>"
 WORDS = "`_nite:id` string, _starttime string, _endtime string, _VALUE string"
 ACT = "struct<`_nite:id`:string,_addressee:string,`nite:child`:array<struct<_href:string>>>"
@@ -74,7 +76,7 @@ def act_refs(spark: SparkSession, folder: str, charset: str = "UTF-8") -> DataFr
         "meeting_id",
         "speaker",
         F.coalesce("a.`_nite:id`", F.lit("")).alias("dact_id"),
-        F.trim(F.coalesce("a._addressee", F.lit(""))).alias("addressee_text"),
+        strip(F.coalesce("a._addressee", F.lit(""))).alias("addressee_text"),
         F.col("a._addressee").isNotNull().alias("annotated"),
         F.col("doc_order").cast("long").alias("doc_order"),
         refs.alias("refs"),

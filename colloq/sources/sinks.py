@@ -22,12 +22,23 @@ def write_lines(df: DataFrame, path: str, *order: str) -> None:
     out.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A file on any Hadoop file system, where Spark's own outputs go too."""
+    jvm = spark.sparkContext._jvm
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(to, True)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+
+
 def write_array(df: DataFrame, path: str) -> None:
-    """One indented array on the driver's file system, for results of a bounded size (ValueError beyond ARRAY_ROWS)."""
+    """One indented array, for results of a bounded size (ValueError beyond ARRAY_ROWS)."""
     rows = df.limit(ARRAY_ROWS + 1).toJSON().collect()
     if len(rows) > ARRAY_ROWS:
         raise ValueError(f"more than {ARRAY_ROWS} rows; use write_lines")
-    Path(path).write_text(json.dumps([json.loads(r) for r in rows], indent=2))
+    write_text(df.sparkSession, json.dumps([json.loads(r) for r in rows], indent=2), path)
 
 
 def write_each(df: DataFrame, folder: str, number: str = "sample_id") -> None:
@@ -49,8 +60,8 @@ def write_each(df: DataFrame, folder: str, number: str = "sample_id") -> None:
     rows.foreachPartition(run)
 
 
-def write_document(document: dict, path: str) -> None:
-    Path(path).write_text(json.dumps(document, indent=2))
+def write_document(spark: SparkSession, document: dict, path: str) -> None:
+    write_text(spark, json.dumps(document, indent=2), path)
 
 
 def filtering_summary(balanced: DataFrame, settings: Settings = DEFAULT) -> dict:
@@ -80,6 +91,7 @@ def filtering_summary(balanced: DataFrame, settings: Settings = DEFAULT) -> dict
 
 def example_report(examples: DataFrame) -> str:
     """A text report of a few samples of each category (rows with rank)."""
+    # The report's layout and headings.
     rule = "=" * 70
     found: dict[str, list] = {}
     for r in examples.orderBy("category", "rank").collect():

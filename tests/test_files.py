@@ -96,6 +96,19 @@ def test_command_line(spark, tmp_path):
     assert lines.count() == 242 and lines.where(F.col("text").startswith("<|system|>")).count() == 242
 
 
+def test_calls_rest_and_use_the_options(spark):
+    import time
+
+    from colloq.operators import inference as I
+
+    seen = spark.createDataFrame([(k, f"p{k}") for k in range(4)], "idx long, prompt string").coalesce(1)
+    provider = I.client(lambda prompt, **options: None if prompt == "p3" else f"{prompt} {sorted(options.items())}")
+    began = time.perf_counter()
+    got = {r.idx: r.reply for r in I.call(seen, provider, per_pause=1, pause=0.5).collect()}
+    assert time.perf_counter() - began >= 1.5 and set(got) == {0, 1, 2}
+    assert got[0] == "p0 [('max_output_tokens', 500), ('temperature', 0), ('top_k', 20), ('top_p', 0.8)]"
+
+
 def test_stream(spark, tmp_path):
     found = engine.sequences(spark, SF)
     found.union(found).write.json(f"{tmp_path}/in")
