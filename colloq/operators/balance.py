@@ -9,7 +9,7 @@ from colloq.config import DECISIONS, DEFAULT, Settings
 from colloq.operators.decisions import with_percent
 from colloq.operators.labels import POSITION
 from colloq.operators.quality import confidence_score
-from colloq.plans.ranking import ranked
+from colloq.plans.ranking import leading, ranked
 
 
 def class_targets(speak: int, silent: int, ratio: float = 0.5, most: int | None = None) -> tuple[int, int]:
@@ -75,7 +75,7 @@ def balanced(samples: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     table = F.broadcast(spark.createDataFrame(rows, "decision string, category string, quota int, before long"))
     score = -confidence_score(F.col("confidence"))
     scored = samples.withColumn("__score", score)
-    place = ranked(scored, ["decision", "category"], [F.col("__score"), *map(F.col, POSITION)], F.struct("__score", F.substring("meeting_id", 1, settings.rank_prefix)), "rank")
+    place = ranked(scored, ["decision", "category"], [F.col("__score"), *map(F.col, POSITION)], F.struct("__score", "meeting_id"), "rank", lambda b: F.struct(b["__score"], leading(settings.rank_prefix)(b["meeting_id"])))
     kept = place.join(table, ["decision", "category"]).where("rank <= quota")
     return kept.withColumn("sample_id", F.col("before") + F.col("rank")).drop("quota", "before", "__score")
 

@@ -33,8 +33,10 @@ def timeline() -> Column:
 def decision_points(sequences: DataFrame) -> DataFrame:
     """One row per turn and other speaker. Contexts are slices, made only where they are used."""
     turns = sequences.select("meeting_id", "sequence_id", sequence_speakers().alias("all_speakers"), timeline().alias("turns"))
-    each = turns.select("*", F.posexplode("turns").alias("turn_index", "turn"))
-    rows = each.select("*", F.explode(F.filter("all_speakers", lambda s: s != F.col("turn.speaker"))).alias("target_speaker"))
+    # Outer, as the inner form asks first for arrays that aren't empty, which makes them twice; a sequence always has turns.
+    each = turns.select("*", F.posexplode_outer("turns").alias("turn_index", "turn"))
+    others = F.explode_outer(F.filter("all_speakers", lambda s: s != F.col("turn.speaker")))
+    rows = each.select("*", others.alias("target_speaker")).where("target_speaker IS NOT NULL")
     pair = lambda t: F.struct(t["speaker"].alias("speaker"), t["text"].alias("text"))
     return rows.select(
         F.concat("sequence_id", F.lit("_turn"), "turn_index", F.lit("_target"), "target_speaker").alias("decision_point_id"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from colloq.config import DEFAULT, EXPLICIT_SOURCE, INFERRED_SOURCE, Settings
 from colloq.operators.timeline import context_window, first_response
-from colloq.plans.ranking import ranked
+from colloq.plans.ranking import leading, ranked
 
 TURN = "array<struct<speaker:string,text:string>>"
 
@@ -64,7 +64,7 @@ def greedy(found: DataFrame) -> DataFrame:
 
 def _rows(found: DataFrame, infix: str, explicit: bool, confidence: Column, reason: Column, source: str, settings: Settings) -> DataFrame:
     # Read twice, for counts and for numbers: kept, so that timelines are not built again.
-    numbered = ranked(found.persist(), [], [F.col("meeting_id"), F.col("idx")], F.substring("meeting_id", 1, settings.rank_prefix), "n")
+    numbered = ranked(found.persist(), [], [F.col("meeting_id"), F.col("idx")], F.col("meeting_id"), "n", leading(settings.rank_prefix))
     turn = F.struct(
         "speaker",
         F.col("addressee").alias("addressees"),

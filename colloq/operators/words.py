@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from colloq.functions.text import strip
 from colloq.sources.corpus import addressees
 
-NUMBERED = r"^(.+\.words)([0-9]+)$"
-
 
 def resolved_refs(acts: DataFrame) -> DataFrame:
     """(act keys, child_pos, word_pos, word_id, in_range): the words that each reference names.
@@ -19,14 +17,18 @@ def resolved_refs(acts: DataFrame) -> DataFrame:
     """
     refs = acts.select("meeting_id", "speaker", "doc_order", F.posexplode("refs").alias("child_pos", "href"))
     ids = refs.withColumn("ids", F.regexp_extract_all("href", F.lit(r"id\(([^)]+)\)"), F.lit(1)))
-    part = lambda k, g: F.regexp_extract(F.get("ids", F.lit(k)), NUMBERED, g)
-    number = lambda k: F.expr("try_cast(nullif(x, '') AS long)".replace("x", f"regexp_extract(get(ids, {k}), '^(.+\\\\.words)([0-9]+)$', 2)"))
-    ids = ids.withColumns({"first": number(0), "last": number(1)})
+    ids = ids.withColumns({"one": F.get("ids", F.lit(0)), "two": F.get("ids", F.lit(1))})
+    # What follows the last ".words" is a word's number, if something stands before and only digits after.
+    after = lambda c: F.substring_index(c, ".words", -1)
+    number = lambda c: F.when((F.length(c) > F.length(after(c)) + 6) & after(c).rlike("^[0-9]+$"), after(c)).try_cast("long")
+    stem = F.left("one", F.length("one") - F.length(after("one")))
+    ids = ids.withColumns({"first": number("one"), "last": number("two"), "stem": stem})
     ranged = (F.size("ids") == 2) & F.col("href").contains("..") & F.col("first").isNotNull() & F.col("last").isNotNull()
     up = F.when(F.col("first") <= F.col("last"), F.sequence("first", "last")).otherwise(F.array().cast("array<long>"))
-    named = F.when(ranged, F.transform(up, lambda n: F.concat(part(0, 1), n.cast("string")))).otherwise(F.col("ids"))
+    named = F.when(ranged, F.transform(up, lambda n: F.concat("stem", n.cast("string")))).otherwise(F.col("ids"))
     rows = ids.select("meeting_id", "speaker", "doc_order", "child_pos", ranged.alias("in_range"), named.alias("named"))
-    return rows.select("meeting_id", "speaker", "doc_order", "child_pos", "in_range", F.posexplode("named").alias("word_pos", "word_id"))
+    # Outer, as the inner form first asks for arrays that aren't empty, which computes them all over again.
+    return rows.select("meeting_id", "speaker", "doc_order", "child_pos", "in_range", F.posexplode_outer("named").alias("word_pos", "word_id")).where("word_pos IS NOT NULL")
 
 
 def act_texts(acts: DataFrame, words: DataFrame) -> DataFrame:
@@ -37,17 +39,22 @@ def act_texts(acts: DataFrame, words: DataFrame) -> DataFrame:
     Of words with equal ids the one that starts last counts.
     """
     keys = ["meeting_id", "speaker"]
-    own = words.groupBy(*keys, "word_id").agg(F.max(F.struct("starttime", "endtime", "text")).alias("w"))
     refs = resolved_refs(acts)
-    renamed = F.concat("meeting_id", F.lit("."), "speaker", F.lit(".words"), F.regexp_extract("word_id", r"^.*words(.*)$", 1))
-    refs = refs.withColumn("own_id", F.when(F.col("word_id").contains("words"), renamed).otherwise(F.col("word_id")))
-    both = refs.join(own.withColumnRenamed("w", "raw"), [*keys, "word_id"], "left")
-    both = both.join(own.select(*keys, F.col("word_id").alias("own_id"), F.col("w").alias("mine")), [*keys, "own_id"], "left")
-    found = both.where("NOT in_range OR raw IS NOT NULL").withColumn("w", F.coalesce("mine", "raw")).where("w IS NOT NULL")
-    ordered = F.array_sort(F.collect_list(F.struct("child_pos", "word_pos", F.col("w.text").alias("text"))))
-    text = strip(F.array_join(F.transform(ordered, lambda x: x["text"]), " "))
-    time = lambda f, c: F.coalesce(f(F.nullif(F.col(f"w.{c}"), F.lit(0.0))), F.lit(0.0))
-    rows = found.groupBy(*keys, "doc_order").agg(text.alias("text"), time(F.min, "starttime").alias("starttime"), time(F.max, "endtime").alias("endtime"))
+    renamed = F.concat("meeting_id", F.lit("."), "speaker", F.lit(".words"), F.substring_index("word_id", "words", -1))
+    own = F.when(F.col("word_id").contains("words"), renamed).otherwise(F.col("word_id"))
+    spelled = lambda at, mine, raw: F.struct(at.alias("id"), F.lit(mine).alias("mine"), F.lit(raw).alias("raw"))
+    ways = F.when(own == F.col("word_id"), F.array(spelled(own, True, True))).otherwise(F.array(spelled(own, True, False), spelled(F.col("word_id"), False, True)))
+    # One equi-join serves both spellings, and words with equal ids too; what counts is settled within the act.
+    asked = refs.select(*keys, "doc_order", "child_pos", "word_pos", "in_range", F.explode_outer(ways).alias("way")).select(*keys, "doc_order", "child_pos", "word_pos", "in_range", "way.*")
+    met = asked.join(words.select(*keys, F.col("word_id").alias("id"), "text", "starttime", "endtime"), [*keys, "id"])
+    found = met.groupBy(*keys, "doc_order").agg(F.sort_array(F.collect_list(F.struct("child_pos", "word_pos", "mine", "starttime", "endtime", "text", "raw", "in_range"))).alias("found"))
+    alike = lambda x, y: (x["child_pos"] == y["child_pos"]) & (x["word_pos"] == y["word_pos"])
+    last = lambda x, i: F.coalesce(~alike(x, F.get("found", i + 1)), F.lit(True))
+    in_file = lambda x: ~x["in_range"] | x["raw"] | F.exists("found", lambda y: alike(x, y) & y["raw"])
+    found = found.withColumn("found", F.filter("found", lambda x, i: last(x, i) & in_file(x)))
+    text = strip(F.array_join(F.col("found.text"), " "))
+    time = lambda f, c: F.coalesce(f(F.filter(F.col(f"found.{c}"), lambda t: t != 0.0)), F.lit(0.0))
+    rows = found.select(*keys, "doc_order", text.alias("text"), time(F.array_min, "starttime").alias("starttime"), time(F.array_max, "endtime").alias("endtime"))
     return rows.where("text <> ''")
 
 

@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def ranked(df: DataFrame, groups: list[str], order: list[Column], bucket: Column, name: str) -> DataFrame:
+def ranked(df: DataFrame, groups: list[str], order: list[Column], bucket: Column, name: str, coarse: Callable[[Column], Column] = lambda _: F.lit(0)) -> DataFrame:
     """Adds the 1-based rank of each row in its group.
 
-    ``bucket`` must not decrease along ``order``. Rows are numbered within buckets;
-    the counts of earlier buckets, one row for each bucket, are added.
+    Neither ``bucket`` nor ``coarse(bucket)`` may decrease along ``order``. Rows are numbered within buckets. The
+    counts of earlier buckets, one row for each bucket, are summed within coarse buckets first, and
+    those of earlier coarse buckets are added: no task sorts more than a bucket's rows or a coarse bucket's counts.
     """
     rows = df.withColumn("__bucket", bucket)
-    keys = [*groups, "__bucket"]
-    before = F.sum("n").over(W.partitionBy(*(groups or [F.lit(0)])).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.coalesce(before, F.lit(0)).alias("__before"))
+    keys, wide = [*groups, "__bucket"], [*groups, "__coarse"]
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("__coarse", coarse(F.col("__bucket")))
+    earlier = lambda by, at: F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(at).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    far = counts.groupBy(*wide).agg(F.sum("n").alias("n")).select(*wide, earlier(groups or [F.lit(0)], "__coarse").alias("__far"))
+    near = counts.select(*keys, "__coarse", earlier(wide, "__bucket").alias("__near"))
+    before = near.join(far, wide).select(*keys, (F.col("__near") + F.col("__far")).alias("__before"))
     own = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("__own", own).join(counts, keys).withColumn(name, F.col("__before") + F.col("__own")).drop("__bucket", "__before", "__own")
+    return rows.withColumn("__own", own).join(before, keys).withColumn(name, F.col("__before") + F.col("__own")).drop("__bucket", "__before", "__own")
+
+
+def leading(n: int) -> Callable[[Column], Column]:
+    """The first characters of an id, as a coarse bucket."""
+    return lambda bucket: F.substring(bucket, 1, n)

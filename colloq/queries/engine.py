@@ -320,9 +320,9 @@ def balanced_distribution(spark, d):
 
 def _flat(spark, d):
     """All unique samples as flat rows, numbered in order: what the reports are made of."""
-    from colloq.plans.ranking import ranked
+    from colloq.plans.ranking import leading, ranked
 
-    rows = ranked(unique_samples(spark, d).persist(), [], list(map(F.col, L.POSITION)), F.substring("meeting_id", 1, DEFAULT.rank_prefix), "sample_id")
+    rows = ranked(unique_samples(spark, d).persist(), [], list(map(F.col, L.POSITION)), F.col("meeting_id"), "sample_id", leading(DEFAULT.rank_prefix))
     return FM.intermediate(rows)
 
 

@@ -70,7 +70,7 @@ def act_refs(spark: SparkSession, folder: str, charset: str = "UTF-8") -> DataFr
     name = F.element_at(F.split("path", "/"), -1)
     body = F.regexp_replace(F.decode("content", charset), r"^\s*<\?xml[^>]*\?>", "")
     acts = raw.select(_part(name, 0).alias("meeting_id"), _part(name, 1).alias("speaker"), F.from_xml(body, f"dact array<{ACT}>").alias("x"))
-    rows = acts.select("meeting_id", "speaker", F.posexplode("x.dact").alias("doc_order", "a"))
+    rows = acts.select("meeting_id", "speaker", F.posexplode_outer("x.dact").alias("doc_order", "a")).where("doc_order IS NOT NULL")
     refs = F.filter(F.transform(F.coalesce("a.`nite:child`", F.array().cast("array<struct<_href:string>>")), lambda c: c["_href"]), lambda h: h.isNotNull() & (h != ""))
     return rows.select(
         "meeting_id",
