@@ -81,14 +81,14 @@ def _reading(marked: Column, second: bool) -> Column:
 def windows(texts: DataFrame, n: int, *keys: str) -> DataFrame:
     """keys, values (the text's marked words), pos, window and templates: a row per window of the column text.
 
-    templates is 1 or 2 for a window of one reading, 3 where both are the same. All of it is generated code: no
-    filter on what is computed here, which would compute it again, and no lambda.
+    templates is 1 or 2 for a window of one reading, 3 where both are the same. All of it is generated code: no lambda, and no
+    filter on what is computed here, nor the inner form of explode, which asks for arrays that aren't empty: either would compute it again.
     """
     out = texts.where("text IS NOT NULL").select(*keys, marked(F.col("text")).alias("marked"))
     out = out.select(*keys, F.split("marked", " ").alias("values"), _reading(F.col("marked"), False).alias("first"), _reading(F.col("marked"), True).alias("second"))
     size = F.size("values")
     starts = F.when(F.get("values", F.lit(0)) == "", 0).when(size < n, 1).otherwise(size - (n - 1))
-    out = out.select(*keys, "values", "first", "second", F.posexplode(F.slice("values", F.lit(1), starts)).alias("pos", "word"))
+    out = out.select(*keys, "values", "first", "second", F.posexplode_outer(F.slice("values", F.lit(1), starts)).alias("pos", "word")).where("pos IS NOT NULL")
 
     def window(own: str) -> Column:
         at = lambda c: [F.get(c, F.col("pos") + k) for k in range(n)]
@@ -99,7 +99,7 @@ def windows(texts: DataFrame, n: int, *keys: str) -> DataFrame:
 
     out = out.select(*keys, "values", "pos", window("first").alias("w1"), window("second").alias("w2"))
     one = lambda w, t: F.struct(F.col(w).alias("window"), F.lit(t).alias("templates"))
-    out = out.select(*keys, "values", "pos", F.explode(F.when(F.col("w1") == F.col("w2"), F.array(one("w1", 3))).otherwise(F.array(one("w1", 1), one("w2", 2)))).alias("w"))
+    out = out.select(*keys, "values", "pos", F.explode_outer(F.when(F.col("w1") == F.col("w2"), F.array(one("w1", 3))).otherwise(F.array(one("w1", 1), one("w2", 2)))).alias("w"))
     return out.select(*keys, "values", "pos", "w.window", "w.templates")
 
 
