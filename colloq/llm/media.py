@@ -30,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloq.llm.common import fresh_path, table, written
+from colloq.llm.common import fresh_path, pieces, table, written
 
 WIDTH = 64
 SHARD_BYTES = 64 << 20
+#: Stored bytes that one task decodes, about.
+TASK_BYTES = 8 << 20
 #: Signature, IHDR chunk with its checksum: what a header-only read fetches.
 HEADER_BYTES = 33
 PLACED = "doc_id long, n_bytes long, payload_bytes long, media_sha256 string, media_bytes long, shard string, offset long"
@@ -202,19 +204,24 @@ def read_back(places: DataFrame, folder: str) -> DataFrame:
 def media_columns(docs: DataFrame, folder: str) -> DataFrame:
     """Stores every text and returns a row per document with places, metadata and features."""
     rows = store(docs, folder)
-    # Neighbours in a shard are read by one task, in order.
-    places = with_metadata(catalogue(rows).repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset"), folder)
+    places = with_metadata(ordered_places(rows), folder)
     return rows.drop("shard", "offset", "media_bytes").join(
         places.join(read_back(places, folder).drop("stored_sha256"), "media_sha256"), "media_sha256", "left"
     )
 
 
+def ordered_places(rows: DataFrame) -> DataFrame:
+    """One place for each digest; neighbours in a shard are one task's, in order, and a task has about ``TASK_BYTES`` of stored bytes."""
+    n = rows.agg(F.coalesce(F.sum("media_bytes"), F.lit(0)).alias("n")).first()["n"]
+    return catalogue(rows).repartitionByRange(pieces(int(n), TASK_BYTES), "shard", "offset").sortWithinPartitions("shard", "offset")
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "media")
     rows = store(table(spark, sf_dir, "documents"), folder)
-    places = with_metadata(catalogue(rows).repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset"), folder)
+    places = with_metadata(ordered_places(rows), folder)
     back = read_back(places, folder)
     return rows.join(back, "media_sha256", "left").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes",
-        F.col("stored_sha256").alias("media_sha256"), "feature",
+        F.col("stored_sha256").alias("media_sha256"), "feature", "shard", "offset",
     )
