@@ -9,19 +9,20 @@ counts, and its bigrams are predicted from the others. Final estimates use all o
 Counting and looking up never send a row per token:
 
 1. Documents are packed into blocks of a few megabytes, one fold each, and written.
-2. Every block sends its distinct words and bigrams once, as sorted 64-bit (bigrams:
-   48-bit) identifiers with counts, cut into ranges of identifiers. A range's task adds the counts of
+2. Every block sends its distinct words and bigrams once, as sorted 64-bit identifiers with counts, cut into ranges of identifiers. A range's task adds the counts of
    all blocks and answers each block in the order in which it asked.
 3. Blocks of the held-out fold meet their answers and become a histogram of
    (bucket, f(w | v), f(w)), both estimates to an eighth of a binary order; its number
    of cells is fixed. The driver runs EM on the histogram.
 4. All blocks meet their answers and score their documents.
 
-Words' counts are exact. Two bigrams share an identifier with probability 2 ** -48 per pair,
-which moves a score, not a count that is returned.
+Words and bigrams are counted by 64-bit identifiers, of which two are equal with probability 2 ** -64 per pair.
+The rows that blocks send grow as blocks times ranges until each holds a single identifier; there
+are never more of them than distinct identifiers of all blocks, and a range has the identifiers of about
+``RANGE_BYTES`` of text, from however many blocks.
 
 Defined results: a null or empty text is its end token alone; null ids count as the
-empty text in folds; repeated rows count as often as they occur; without training
+empty text in folds; repeated rows count as often as they occur; a very long text is a block of its own; without training
 documents the model is uniform; an empty table gives no rows.
 """
 
@@ -45,7 +46,7 @@ RANGE_BYTES = 8 << 20
 TEST, HELD_OUT, COUNTED = 0, 1, 2
 #: Identifiers of the tokens before and after a text, which no word has but by chance.
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
-BIGRAM_BITS = 48
+BIGRAM_BITS = 64
 BUCKETS = 24
 #: Histogram: eighths of binary orders from 2 ** -40 to 1; 0 is an estimate of zero.
 STEPS, ORDERS = 8, 40
@@ -305,8 +306,8 @@ def score_blocks(blocks: DataFrame, replies: DataFrame, tokens: int, distinct: i
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, SCORED)
 
 
-def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Scores of all documents; those of the test fold are not learned from."""
+def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame, int, int, np.ndarray]:
+    """Blocks, their counts, training tokens, distinct ones, and weights: what ``score_blocks`` takes."""
     ranges = pieces(text_bytes(docs), range_bytes)
     blocks = written(pack_blocks(docs, block_bytes), "lm-blocks")
     replies = written(answers(requests(blocks, ranges)), "lm-counts")
@@ -314,7 +315,12 @@ def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: int
     tokens, counted, distinct = (int(x or 0) for x in sums)
     hist = histogram(blocks, replies, counted).toArrow()
     weights = learn_weights(hist["cell"].to_numpy(), hist["n"].to_numpy().astype("float64"), 1 / (distinct + 1))
-    return score_blocks(blocks, replies, tokens, distinct, weights)
+    return blocks, replies, tokens, distinct, weights
+
+
+def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Scores of all documents; those of the test fold are not learned from."""
+    return score_blocks(*fit(docs, block_bytes, range_bytes))
 
 
 def op8_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
