@@ -271,6 +271,25 @@ def test_best_fit_places_all():
     assert opened <= 1.02 * sum(fill.values()) / 50 + 1
 
 
+def test_best_fit_opens_no_more_than_one_by_one():
+    """As many sequences as best fit decreasing opens when it places one piece after another."""
+    import bisect
+    import random
+
+    for seed in range(30):
+        r = random.Random(seed)
+        capacity = r.choice([7, 20, 64])
+        counts = collections.Counter(r.randint(1, capacity) for _ in range(r.randrange(1, 300)))
+        gaps = []
+        opened = 0
+        for n in sorted(counts.elements(), reverse=True):
+            at = bisect.bisect_left(gaps, n)
+            opened += at == len(gaps)
+            left = (gaps.pop(at) if at < len(gaps) else capacity) - n
+            bisect.insort(gaps, left)
+        assert packing.best_fit(counts, capacity)[1] == opened, (seed, capacity)
+
+
 def lm_check(rows, got):
     tokens = [(i, (t or "").encode().lower().split() + [None]) for i, t in rows]
     test = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
@@ -291,6 +310,43 @@ def test_lm_scores(spark):
     assert sum(r.score for r in test) > sum(r.base_score for r in test)
 
 
+def test_lm_scores_are_interpolated(spark):
+    """Scores against counts of a dictionary at the model's weights, and the weights against EM on counts that are not rounded."""
+    rows = rows_of("documents", "doc_id, text")[:200]
+    blocks, replies, tokens, distinct, weights = lm_score.fit(spark.createDataFrame(rows, "doc_id long, text string"), 60_000, 40_000)
+    got = {r.doc_id: r.score for r in lm_score.score_blocks(blocks, replies, tokens, distinct, weights).collect()}
+    text = {i: ["<s>", *(t or "").encode().lower().split(), "</s>"] for i, t in rows}
+    fold = dict(zip(text, lm_score.fold_of(list(text))))
+
+    def counts(folds):
+        own = [t for i, t in text.items() if fold[i] in folds]
+        one = collections.Counter(w for t in own for w in t[1:])
+        context = lambda v: one["</s>" if v == "<s>" else v]
+        return context, one, collections.Counter(p for t in own for p in zip(t, t[1:]))
+
+    def parts(context, one, two, total, v, w):
+        n = context(v)
+        return two[v, w] / n if n else 0.0, one[w] / total, 1 / (distinct + 1)
+
+    bucket = lambda n: min(int(math.log2(n + 1)), lm_score.BUCKETS - 1)
+    full = counts((lm_score.COUNTED, lm_score.HELD_OUT))
+    assert sum(full[1].values()) == tokens and len(full[1]) == distinct
+    for i, t in text.items():
+        want = sum(math.log10(np.dot(weights[bucket(full[0](v))], parts(*full, tokens, v, w))) for v, w in zip(t, t[1:]))
+        assert got[i] == pytest.approx(want, abs=1e-6)
+    kept = counts((lm_score.COUNTED,))
+    seen = [(bucket(kept[0](v)), parts(*kept, sum(kept[1].values()), v, w)) for i, t in text.items() if fold[i] == lm_score.HELD_OUT for v, w in zip(t, t[1:])]
+    k, f = np.array([x[0] for x in seen]), np.array([x[1] for x in seen])
+    direct = np.full((lm_score.BUCKETS, 3), 1 / 3)
+    for _ in range(50):
+        share = direct[k] * f
+        share /= share.sum(1, keepdims=True)
+        for b in np.unique(k):
+            direct[b] = share[k == b].mean(0)
+    heavy = [b for b in np.unique(k) if (k == b).sum() > 500]
+    assert len(heavy) > 3 and np.abs(direct[heavy] - weights[heavy]).max() < 0.02
+
+
 def test_lm_edges(spark):
     lm_check(EDGES, lm_score.lm_scores(edges(spark)).collect())
     assert lm_score.lm_scores(edges(spark).limit(0)).count() == 0
