@@ -12,7 +12,8 @@ them are written as a table: a lost or repeated attempt leaves a shard that no r
 names. Payloads never pass through a shuffle.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; equal texts get
-equal values; repeated rows and ids stay apart; an empty table gives no rows.
+equal values; of several stored copies of a digest the least (shard, offset) is read; a very long text is one
+object; repeated rows and ids stay apart; an empty table gives no rows.
 """
 
 from __future__ import annotations
