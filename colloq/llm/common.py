@@ -13,7 +13,13 @@ from pyspark.sql import types as T
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Bytes of one Arrow batch at most. Rows may be whole texts or sets of shingles, and a batch is held by the JVM and by Python at once.
+BATCH_BYTES = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input; from then on the session's Arrow batches are bounded by ``BATCH_BYTES``."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -64,12 +64,15 @@ def term_counts(texts: list[str | None]):
     repeat = np.flatnonzero((ids[1:] == ids[:-1]) & (k[1:] == k[:-1]))
     # Shapes: runs of classes with their lengths up to 2, as trigrams of runs.
     raw = np.frombuffer("\n".join([*(t or "" for t in texts), ""]).encode("utf-32-le"), "<u4")
-    owner = np.repeat(np.arange(len(texts)), [len(t or "") + 1 for t in texts])
+    ends = np.cumsum([len(t or "") + 1 for t in texts])
     kind = _classes(raw)
-    start = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | (owner[1:] != owner[:-1])]) if len(raw) else np.zeros(0, "int64")
+    new = np.ones(len(raw), bool)
+    new[1:] = kind[1:] != kind[:-1]
+    new[ends[:-1]] = True
+    start = np.flatnonzero(new)
     size = np.minimum(np.diff(np.r_[start, len(raw)]), 2) if len(start) else start
     run = kind[start].astype("uint64") * np.uint64(3) + size.astype("uint64")
-    at = owner[start]
+    at = np.searchsorted(ends, start, "right")
     parts = [(k, words)]
     # A word said twice in a row is a term as well, one of a few.
     parts.append((k[1:][repeat], WORD_TERMS + (mix(ids[1:][repeat] + np.uint64(9)) % np.uint64(REPEAT_TERMS)).astype("int64")))
@@ -173,7 +176,7 @@ def score(docs: DataFrame, space: Space | None) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = [None if t is None else t for t in batch["text"].to_pylist()]
-            found = [shared.value.scores(t) for _, t in blocks([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])], 1 << 18)]
+            found = [shared.value.scores(t) for _, t in blocks([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])], 1 << 17)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else [], pa.float64())], [*names, "score"])
 
     return docs.mapInArrow(run, plus(docs, "score double"))

@@ -52,21 +52,24 @@ def word_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         edge = np.r_[0, edge]
     start, stop = edge[::2], edge[1::2]
     out = np.empty(len(start), "uint64")
-    inside = np.where(space, np.uint64(0), BYTE_CODE[raw])
     # Words never cross a space, so sums over pieces of the batch that end at one are exact.
     at = 0
     while at < len(start):
         to = max(int(np.searchsorted(stop, start[at] + STEP)), at + 1)
         lo, hi = int(start[at]), int(stop[to - 1])
         sums = np.zeros(hi - lo + 1, "uint64")
-        np.cumsum(inside[lo:hi] * powers(BASE, hi - lo), out=sums[1:])
+        # Eight bytes for each byte of a piece, never of a whole text.
+        inside = BYTE_CODE[raw[lo:hi]]
+        inside[space[lo:hi]] = 0
+        inside *= powers(BASE, hi - lo)
+        np.cumsum(inside, out=sums[1:])
         s, e = start[at:to] - lo, stop[at:to] - lo
         out[at:to] = (sums[e] - sums[s]) * powers(INVERSE, hi - lo)[s] + (e - s).astype("uint64")
         at = to
     return mix(out), np.searchsorted(start, ends)
 
 
-def blocks(batches, limit: int = 1 << 20):
+def blocks(batches, limit: int = 1 << 18):
     """(other columns as lists, texts) of Arrow batches in pieces of about ``limit`` characters.
 
     ``text`` is the last column of a batch. A text is never cut: one that is longer
