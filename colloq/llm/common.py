@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +58,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return _stored(df, fresh_path(df.sparkSession, name))
 
 
+def lean(run):
+    """``run`` over Arrow batches; at a task's end unused memory goes back to the system.
+
+    Python workers are kept for later tasks, and an idle one would otherwise hold its largest task's memory beside the JVM's.
+    """
+
+    def each(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return each
+
+
 class Scratch:
     """Tables in one shared folder that only the steps in between need; each goes when it has been read for the last time."""
 

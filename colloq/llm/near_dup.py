@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloq.llm.common import DOCUMENT_COLUMNS, Scratch, table, written
+from colloq.llm.common import DOCUMENT_COLUMNS, Scratch, lean, table, written
 from colloq.llm.components import components
 from colloq.llm.shingles import blocks, mix, shingle_sets
 
@@ -90,7 +90,7 @@ def nodes(docs: DataFrame, n: int) -> DataFrame:
                 ["doc_id", "text_key", "n_shingles", "node", "bands"],
             )
 
-    return keyed(docs).mapInArrow(run, "doc_id long, text_key long, n_shingles long, node binary, bands array<long>")
+    return keyed(docs).mapInArrow(lean(run), "doc_id long, text_key long, n_shingles long, node binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -103,7 +103,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     d, w = keyed(docs), wanted.select("node", F.col("doc_id").alias("wanted_id"), F.col("text_key").alias("wanted_key"))
     texts = d.join(w, (F.col("text_key") == F.col("wanted_key")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("node", "text")
-    return texts.mapInArrow(run, "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return texts.mapInArrow(lean(run), "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -123,7 +123,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "na", "nb", "sa", "sb")
-    found = both.mapInArrow(run, "a binary, b binary, na long, nb long, shared long")
+    found = both.mapInArrow(lean(run), "a binary, b binary, na long, nb long, shared long")
     return found.withColumn("linked", F.expr(f"100 * shared >= {percent} * (na + nb - shared)"))
 
 
@@ -158,7 +158,7 @@ def differences(rays: DataFrame, sets: DataFrame) -> DataFrame:
 
     rows = rays.join(sets.select(F.col("node").alias("c"), F.col("shingles").alias("sc")), "c")
     rows = rows.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x")
-    return rows.select(F.xxhash64("c").alias("g"), "x", "root", "sc", "sx").mapInArrow(run, "g long, x binary, root binary, nc long, nx long, added binary, lacking binary")
+    return rows.select(F.xxhash64("c").alias("g"), "x", "root", "sc", "sx").mapInArrow(lean(run), "g long, x binary, root binary, nc long, nx long, added binary, lacking binary")
 
 
 def _elements(rows: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def _elements(rows: DataFrame) -> DataFrame:
                     ["g", "element", "added"],
                 )
 
-    return rows.select("g", "added", "lacking").mapInArrow(run, "g long, element long, added boolean")
+    return rows.select("g", "added", "lacking").mapInArrow(lean(run), "g long, element long, added boolean")
 
 
 def centred(diffs: DataFrame, percent: int) -> DataFrame:
@@ -204,7 +204,7 @@ def centred(diffs: DataFrame, percent: int) -> DataFrame:
                 [*(batch[n] for n in ("g", "x", "root", "nx")), *(pa.array(v, t) for v, t in zip(c, kinds))], ["g", "x", "root", "nx", "nr", "added", "lacking", "na", "nl", "cost"]
             )
 
-    return diffs.join(turned, "g", "left").mapInArrow(run, "g long, x binary, root binary, nx long, nr long, added binary, lacking binary, na long, nl long, cost long")
+    return diffs.join(turned, "g", "left").mapInArrow(lean(run), "g long, x binary, root binary, nx long, nr long, added binary, lacking binary, na long, nl long, cost long")
 
 
 def second_stars(rows: DataFrame, percent: int) -> DataFrame:
@@ -221,7 +221,7 @@ def second_stars(rows: DataFrame, percent: int) -> DataFrame:
 
     best = rows.groupBy("g").agg(F.min_by(F.struct("root", "nx", "added", "lacking"), F.struct("cost", "x")).alias("b"))
     met = rows.join(best, "g").where("root <> b.root").select("*", F.col("b.root").alias("other"))
-    return met.mapInArrow(run, "a binary, b binary, linked boolean").where("linked").select("a", "b").distinct()
+    return met.mapInArrow(lean(run), "a binary, b binary, linked boolean").where("linked").select("a", "b").distinct()
 
 
 def prefixes(rows: DataFrame, percent: int) -> DataFrame:
@@ -263,7 +263,7 @@ def prefixes(rows: DataFrame, percent: int) -> DataFrame:
                     [*names, "key", "has", "first"],
                 )
 
-    each = rows.mapInArrow(run, "g long, x binary, root binary, outside boolean, nx long, nr long, na long, nl long, cost long, key long, has boolean, first long")
+    each = rows.mapInArrow(lean(run), "g long, x binary, root binary, outside boolean, nx long, nr long, na long, nl long, cost long, key long, has boolean, first long")
     counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     shared = each.join(counts, "key")
     own = ["x", "root", "outside", "nx", "nr", "na", "nl", "cost", "has"]

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from colloq.llm.common import table, written
+from colloq.llm.common import lean, table, written
 
 VOCABULARY = "byte_bpe_50k"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -121,7 +121,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabul
             columns = zip(*out) if out else ([],) * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), PIECES)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> tuple[dict[int, list[tuple[int, int, int]]], int]:
@@ -190,7 +190,7 @@ def ranked(pieces: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), number, "int32")), pa.array(ranks)], [*batch.schema.names, "range", "rank"])
 
     keys = ["length", "doc_id", "piece", "ids_crc32"]
-    return pieces.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, PIECES + ", range int, rank long")
+    return pieces.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), PIECES + ", range int, rank long")
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -224,7 +224,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return rows.mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return rows.mapInArrow(lean(place), PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, end_id: int = 0) -> DataFrame:

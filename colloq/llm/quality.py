@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloq.llm.common import DOCUMENT_COLUMNS, crc_mod, plus, table
+from colloq.llm.common import DOCUMENT_COLUMNS, crc_mod, lean, plus, table
 from colloq.llm.shingles import blocks, mix, word_ids
 
 #: Bounds of what is fitted and broadcast, whatever the input.
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Space |
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(packed, pa.binary())], ["quality", "terms"])
 
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("quality").cast("int").alias("quality"), "text")
-    rows = texts.mapInArrow(run, "quality int, terms binary").orderBy(F.xxhash64("terms"), "quality").limit(most).collect()
+    rows = texts.mapInArrow(lean(run), "quality int, terms binary").orderBy(F.xxhash64("terms"), "quality").limit(most).collect()
     if not rows:
         return None
     pairs = [(np.frombuffer(t, "<u2")[: len(t) // 4], np.frombuffer(t, "<u2")[len(t) // 4 :]) for _, t in rows]
@@ -179,7 +179,7 @@ def score(docs: DataFrame, space: Space | None) -> DataFrame:
             found = [shared.value.scores(t) for _, t in blocks([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])], 1 << 17)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else [], pa.float64())], [*names, "score"])
 
-    return docs.mapInArrow(run, plus(docs, "score double"))
+    return docs.mapInArrow(lean(run), plus(docs, "score double"))
 
 
 def learnable(labels: DataFrame) -> DataFrame:
