@@ -10,16 +10,17 @@ Counting and looking up never send a row per token:
 
 1. Documents are packed into blocks of a few megabytes, one fold each, and written.
 2. Every block sends its distinct words and bigrams once, as sorted 64-bit identifiers with counts, cut into ranges of identifiers. A range's task adds the counts of
-   all blocks and answers each block in the order in which it asked.
+   a team of ``FAN`` blocks. While there are several teams, what a team has in a range is sent on like a block, cut into
+   narrower ranges, to a team of teams; the last level answers, and each level hands the answers down in the order in which it was asked.
 3. Blocks of the held-out fold meet their answers and become a histogram of
    (bucket, f(w | v), f(w)), both estimates to an eighth of a binary order; its number
    of cells is fixed. The driver runs EM on the histogram.
 4. All blocks meet their answers and score their documents.
 
 Words and bigrams are counted by 64-bit identifiers, of which two are equal with probability 2 ** -64 per pair.
-The rows that blocks send grow as blocks times ranges until each holds a single identifier; there
-are never more of them than distinct identifiers of all blocks, and a range has the identifiers of about
-``RANGE_BYTES`` of text, from however many blocks.
+A block sends at most as many rows as its team has ranges, whose number is fixed (a team's text over ``RANGE_BYTES``), so rows grow
+in proportion to the input, times levels, of which there is one for each power of ``FAN`` in the number of blocks. A group holds what
+about ``FAN`` senders have in one range, also where every block has the same word.
 
 Defined results: a null or empty text is its end token alone; null ids count as the
 empty text in folds; repeated rows count as often as they occur; a very long text is a block of its own; without training
@@ -37,12 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloq.llm.common import pieces, table, text_bytes, written
+from colloq.llm.common import Scratch, lean, pieces, table, text_bytes, written
 from colloq.llm.shingles import mix, word_ids
 
 BLOCK_BYTES = 4 << 20
 #: Bytes of text whose identifiers one range's task counts, about.
 RANGE_BYTES = 8 << 20
+#: Blocks, or teams of them, in one team.
+FAN = 256
 TEST, HELD_OUT, COUNTED = 0, 1, 2
 #: Identifiers of the tokens before and after a text, which no word has but by chance.
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
@@ -91,7 +94,7 @@ def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             if waiting[f]:
                 yield flush(f)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, fold int, payload binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "block long, fold int, payload binary")
 
 
 class Tokens:
@@ -155,64 +158,110 @@ def cuts(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
     return np.r_[0, np.searchsorted(keys, edges), len(keys)]
 
 
-REQUEST = "range int, kind int, block long, fold int, keys binary, n binary"
+REQUEST = "team long, range int, kind int, block long, fold int, keys binary, counted binary, held_out binary"
 
 
-def requests(blocks: DataFrame, ranges: int) -> DataFrame:
-    """(range, kind, block, fold, keys, n): kind 1 are words, 2 bigrams."""
+def _requests(rows: list) -> pa.Table:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    names = [f.split()[0] for f in REQUEST.split(", ")]
+    return pa.table([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(names), kinds)], names)
+
+
+def requests(blocks: DataFrame, n: int, ranges: int, fan: int = FAN) -> DataFrame:
+    """What each of ``n`` blocks has: kind 1 are words, 2 bigrams; the counts are training counts, without and of the held-out fold."""
 
     def run(batches):
         for batch in batches:
-            for block, fold, payload in zip(batch["block"], batch["fold"], batch["payload"]):
-                t, out = Tokens(payload.as_buffer()), []
-                for kind, keys, n, bits in ((1, t.word, t.word_n, 64), (2, t.pair, t.pair_n, BIGRAM_BITS)):
+            for block, fold, payload, team in zip(*(batch[c] for c in ("block", "fold", "payload", "team"))):
+                t, out, own = Tokens(payload.as_buffer()), [], fold.as_py()
+                for kind, keys, count, bits in ((1, t.word, t.word_n, 64), (2, t.pair, t.pair_n, BIGRAM_BITS)):
                     at = cuts(keys, bits, ranges)
                     for r in np.flatnonzero(np.diff(at)).tolist():
                         part = slice(at[r], at[r + 1])
-                        out.append((r, kind, block.as_py(), fold.as_py(), packed(deltas(keys[part])), packed(n[part])))
-                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["range", "kind", "block", "fold", "keys", "n"])
+                        two = (packed(count[part] * (own == f)) for f in (COUNTED, HELD_OUT))
+                        out.append((team.as_py(), r, kind, block.as_py(), own, packed(deltas(keys[part])), *two))
+                yield from _requests(out).to_batches()
+
+    team = F.floor(F.pmod(F.xxhash64("block"), F.lit(max(n, 1))) / fan).cast("long")
+    return blocks.withColumn("team", team).mapInArrow(lean(run), REQUEST)
+
+
+def _added(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The distinct keys of requests, both sums of counts for each key, and where each request's keys are among them."""
+    keys = [np.cumsum(unpacked(x.as_buffer())) for x in table["keys"]]
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = []
+    for column in ("counted", "held_out"):
+        n = np.concatenate([unpacked(x.as_buffer()) for x in table[column]]).astype("float64")
+        sums.append(np.bincount(at, n, len(every)).astype("uint64"))
+    return every, sums, np.split(at, np.cumsum([len(k) for k in keys])[:-1])
 
-    return blocks.mapInArrow(run, REQUEST)
+
+def merged(asked: DataFrame, ranges: int, fan: int = FAN) -> DataFrame:
+    """The requests of teams: what a team has in one range, sent like a block to the team of its team."""
+
+    def run(table: pa.Table) -> pa.Table:
+        team, rng, kind = (table[c][0].as_py() for c in ("team", "range", "kind"))
+        every, sums, _ = _added(table)
+        at = cuts(every, 64 if kind == 1 else BIGRAM_BITS, ranges)
+        out = []
+        for r in np.flatnonzero(np.diff(at)).tolist():
+            part = slice(at[r], at[r + 1])
+            out.append((team // fan, r, kind, (team << 32) + rng, -1, packed(deltas(every[part])), *(packed(c[part]) for c in sums)))
+        return _requests(out)
+
+    return asked.groupBy("team", "range", "kind").applyInArrow(run, REQUEST)
 
 
 ANSWER = "range int, kind int, block long, fold int, counted binary, held_out binary, tokens long, tokens_counted long, distinct long"
 
 
+def _answers(asked: pa.Table, own: list[np.ndarray], sums: list[np.ndarray], totals: list[int]) -> pa.Table:
+    first = [k == 0 for k in range(len(own))]
+    return pa.table(
+        {
+            **{c: asked[c] for c in ("range", "kind", "block", "fold")},
+            **{c: pa.array([packed(n[x]) for x in own], pa.binary()) for c, n in zip(("counted", "held_out"), sums)},
+            **{c: pa.array([n * f for f in first], pa.int64()) for c, n in zip(("tokens", "tokens_counted", "distinct"), totals)},
+        }
+    )
+
+
 def answers(asked: DataFrame) -> DataFrame:
-    """For each request the training counts, without and of the held-out fold, in the order of its keys.
+    """For each request of the only team the training counts, without and of the held-out fold, in the order of its keys.
 
     tokens, tokens_counted and distinct, on one row of each range, are totals of the training counts.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        block, fold = table["block"].to_pylist(), table["fold"].to_numpy()
-        keys = [np.cumsum(unpacked(x.as_buffer())) for x in table["keys"]]
-        n = [unpacked(x.as_buffer()) for x in table["n"]]
-        every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        owner = np.repeat(fold, [len(k) for k in keys])
-        weight = np.concatenate(n).astype("float64")
-        counts = [np.bincount(at[owner == f], weight[owner == f], len(every)).astype("uint64") for f in (COUNTED, HELD_OUT)]
-        ends = np.cumsum([len(k) for k in keys])
-        own = [at[a:b] for a, b in zip([0, *ends[:-1]], ends)]
-        total = counts[0] + counts[1]
-        first = [k == 0 for k in range(len(own))]
-        kind, rng = table["kind"][0].as_py(), table["range"][0].as_py()
-        return pa.table(
-            {
-                "range": pa.array([rng] * len(own), pa.int32()),
-                "kind": pa.array([kind] * len(own), pa.int32()),
-                "block": pa.array(block, pa.int64()),
-                "fold": pa.array(fold.tolist(), pa.int32()),
-                "counted": pa.array([packed(counts[0][x]) for x in own], pa.binary()),
-                "held_out": pa.array([packed(counts[1][x]) for x in own], pa.binary()),
-                "tokens": pa.array([int(total.sum()) * f for f in first], pa.int64()),
-                "tokens_counted": pa.array([int(counts[0].sum()) * f for f in first], pa.int64()),
-                "distinct": pa.array([int((total > 0).sum()) * f for f in first], pa.int64()),
-            }
-        )
+        _, sums, own = _added(table)
+        total = sums[0] + sums[1]
+        return _answers(table, own, sums, [int(total.sum()), int(sums[0].sum()), int((total > 0).sum())])
+
+    return asked.groupBy("team", "range", "kind").applyInArrow(run, ANSWER)
+
 
-    return asked.groupBy("range", "kind").applyInArrow(run, ANSWER)
+def relayed(asked: DataFrame, replies: DataFrame) -> DataFrame:
+    """Answers to ``asked`` out of the answers that its teams were given, with their totals."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("range")
+        sums = [np.concatenate([unpacked(x.as_buffer()) for x in right[c]]) for c in ("counted", "held_out")]
+        return _answers(left, _added(left)[2], sums, [sum(right[c].to_pylist()) for c in ("tokens", "tokens_counted", "distinct")])
+
+    sender = F.shiftleft(F.col("team"), 32) + F.col("range")
+    of_team = replies.groupBy(F.col("block").alias("sender"), "kind")
+    return asked.withColumn("sender", sender).groupBy("sender", "kind").cogroup(of_team).applyInArrow(run, ANSWER)
+
+
+def counts(asked: DataFrame, n: int, ranges: list[int], fan: int, scratch: Scratch) -> DataFrame:
+    """Answers to the requests of ``n`` senders, level by level; ``ranges`` are those of the levels above."""
+    teams = -(-n // fan)
+    if teams <= 1:
+        return answers(asked)
+    asked = scratch.written(asked, "asked")
+    above = counts(merged(asked, ranges[0], fan), teams, ranges[1:], fan, scratch)
+    return relayed(asked, scratch.written(above, "answered"))
 
 
 def answered(t: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -306,11 +355,24 @@ def score_blocks(blocks: DataFrame, replies: DataFrame, tokens: int, distinct: i
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, SCORED)
 
 
-def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame, int, int, np.ndarray]:
+def level_ranges(total: int, n: int, range_bytes: int, fan: int) -> list[int]:
+    """Into how many ranges the identifiers are cut at each level, for ``n`` blocks with ``total`` bytes of text."""
+    out, size = [], fan
+    while True:
+        out.append(pieces(total * min(size, n) // max(n, 1), range_bytes))
+        if size >= n:
+            return out
+        size *= fan
+
+
+def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES, fan: int = FAN) -> tuple[DataFrame, DataFrame, int, int, np.ndarray]:
     """Blocks, their counts, training tokens, distinct ones, and weights: what ``score_blocks`` takes."""
-    ranges = pieces(text_bytes(docs), range_bytes)
     blocks = written(pack_blocks(docs, block_bytes), "lm-blocks")
-    replies = written(answers(requests(blocks, ranges)), "lm-counts")
+    n = blocks.count()
+    ranges = level_ranges(text_bytes(docs), n, range_bytes, fan)
+    scratch = Scratch(docs.sparkSession, "lm-levels")
+    replies = written(counts(requests(blocks, n, ranges[0], fan), n, ranges[1:], fan, scratch), "lm-counts")
+    scratch.close()
     sums = replies.where("kind = 1").agg(*(F.sum(c) for c in ("tokens", "tokens_counted", "distinct"))).first()
     tokens, counted, distinct = (int(x or 0) for x in sums)
     hist = histogram(blocks, replies, counted).toArrow()
@@ -318,9 +380,9 @@ def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANG
     return blocks, replies, tokens, distinct, weights
 
 
-def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES, fan: int = FAN) -> DataFrame:
     """Scores of all documents; those of the test fold are not learned from."""
-    return score_blocks(*fit(docs, block_bytes, range_bytes))
+    return score_blocks(*fit(docs, block_bytes, range_bytes, fan))
 
 
 def op8_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,6 +310,25 @@ def test_lm_scores(spark):
     assert sum(r.score for r in test) > sum(r.base_score for r in test)
 
 
+def test_lm_levels(spark):
+    """Teams of teams, three blocks each over four levels, count what a single team does."""
+    rows = rows_of("documents", "doc_id, text")[:120]
+    df = spark.createDataFrame([*rows, *rows[:3], (None, None)], "doc_id long, text string")
+    blocks = lm_score.pack_blocks(df, 3_000).count()
+    assert blocks > 27 and len(lm_score.level_ranges(10**6, blocks, 10**5, 3)) >= 4
+    one, many = (sorted(map(repr, lm_score.lm_scores(df, 3_000, 20_000, fan).collect())) for fan in (10**6, 3))
+    assert one == many
+    assert lm_score.lm_scores(df.limit(0), 3_000, 20_000, 3).count() == 0
+
+
+def test_lm_level_ranges():
+    """A team's ranges depend on its own text, not on the input's."""
+    mb = 1 << 20
+    assert lm_score.level_ranges(400 * mb, 100, 8 * mb, 256) == [50]
+    assert lm_score.level_ranges(100_000_000 * mb, 25_000_000, 8 * mb, 256)[:2] == [128, 32768]
+    assert lm_score.level_ranges(0, 0, 8 * mb, 256) == [1]
+
+
 def test_lm_scores_are_interpolated(spark):
     """Scores against counts of a dictionary at the model's weights, and the weights against EM on counts that are not rounded."""
     rows = rows_of("documents", "doc_id, text")[:200]
