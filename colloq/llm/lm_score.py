@@ -45,7 +45,7 @@ BLOCK_BYTES = 4 << 20
 #: Bytes of text whose identifiers one range's task counts, about.
 RANGE_BYTES = 8 << 20
 #: Blocks, or teams of them, in one team.
-FAN = 256
+FAN = 1024
 TEST, HELD_OUT, COUNTED = 0, 1, 2
 #: Identifiers of the tokens before and after a text, which no word has but by chance.
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
