@@ -197,26 +197,43 @@ def _added(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarr
     return every, sums, np.split(at, np.cumsum([len(k) for k in keys])[:-1])
 
 
-def merged(asked: DataFrame, ranges: int, fan: int = FAN) -> DataFrame:
-    """The requests of teams: what a team has in one range, sent like a block to the team of its team."""
+NODE = "team long, range int, kind int, keys binary, counted binary, held_out binary, block array<long>, fold array<int>, at array<binary>"
+
+
+def gathered(asked: DataFrame) -> DataFrame:
+    """What each team has in each range: its distinct keys with summed counts, and where each request's keys are among them."""
 
     def run(table: pa.Table) -> pa.Table:
-        team, rng, kind = (table[c][0].as_py() for c in ("team", "range", "kind"))
-        every, sums, _ = _added(table)
-        at = cuts(every, 64 if kind == 1 else BIGRAM_BITS, ranges)
-        out = []
-        for r in np.flatnonzero(np.diff(at)).tolist():
-            part = slice(at[r], at[r + 1])
-            out.append((team // fan, r, kind, (team << 32) + rng, -1, packed(deltas(every[part])), *(packed(c[part]) for c in sums)))
-        return _requests(out)
+        every, sums, own = _added(table)
+        one = [[table[c][0].as_py()] for c in ("team", "range", "kind")]
+        row = [*one, [packed(deltas(every))], *([packed(n)] for n in sums), [table["block"].to_pylist()], [table["fold"].to_pylist()], [[packed(deltas(x)) for x in own]]]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()))
+        return pa.table([pa.array(c, k) for c, k in zip(row, kinds)], [f.split()[0] for f in NODE.split(", ")])
+
+    return asked.groupBy("team", "range", "kind").applyInArrow(run, NODE)
+
+
+def merged(nodes: DataFrame, ranges: int, fan: int = FAN) -> DataFrame:
+    """The requests of teams: what a team has in one range, sent like a block to the team of its team."""
+
+    def run(batches):
+        for batch in batches:
+            for team, rng, kind, *data in zip(*(batch[c].to_pylist() for c in ("team", "range", "kind", "keys", "counted", "held_out"))):
+                every, counted, held_out = (unpacked(x) for x in data)
+                every, out = np.cumsum(every), []
+                at = cuts(every, 64 if kind == 1 else BIGRAM_BITS, ranges)
+                for r in np.flatnonzero(np.diff(at)).tolist():
+                    part = slice(at[r], at[r + 1])
+                    out.append((team // fan, r, kind, (team << 32) + rng, -1, packed(deltas(every[part])), packed(counted[part]), packed(held_out[part])))
+                yield from _requests(out).to_batches()
 
-    return asked.groupBy("team", "range", "kind").applyInArrow(run, REQUEST)
+    return nodes.select("team", "range", "kind", "keys", "counted", "held_out").mapInArrow(lean(run), REQUEST)
 
 
 ANSWER = "range int, kind int, block long, fold int, counted binary, held_out binary, tokens long, tokens_counted long, distinct long"
 
 
-def _answers(asked: pa.Table, own: list[np.ndarray], sums: list[np.ndarray], totals: list[int]) -> pa.Table:
+def _answers(asked: pa.Table | dict, own: list[np.ndarray], sums: list[np.ndarray], totals: list[int]) -> pa.Table:
     first = [k == 0 for k in range(len(own))]
     return pa.table(
         {
@@ -241,17 +258,20 @@ def answers(asked: DataFrame) -> DataFrame:
     return asked.groupBy("team", "range", "kind").applyInArrow(run, ANSWER)
 
 
-def relayed(asked: DataFrame, replies: DataFrame) -> DataFrame:
-    """Answers to ``asked`` out of the answers that its teams were given, with their totals."""
+def relayed(nodes: DataFrame, replies: DataFrame) -> DataFrame:
+    """Answers to the requests gathered in ``nodes`` out of the answers that these were given, with their totals."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("range")
         sums = [np.concatenate([unpacked(x.as_buffer()) for x in right[c]]) for c in ("counted", "held_out")]
-        return _answers(left, _added(left)[2], sums, [sum(right[c].to_pylist()) for c in ("tokens", "tokens_counted", "distinct")])
+        own = [np.cumsum(unpacked(x)) for x in left["at"][0].as_py()]
+        asked = {"block": pa.array(left["block"][0].as_py(), pa.int64()), "fold": pa.array(left["fold"][0].as_py(), pa.int32())}
+        asked |= {c: pa.array([left[c][0].as_py()] * len(own), pa.int32()) for c in ("range", "kind")}
+        return _answers(asked, own, sums, [sum(right[c].to_pylist()) for c in ("tokens", "tokens_counted", "distinct")])
 
-    sender = F.shiftleft(F.col("team"), 32) + F.col("range")
+    sender = (F.shiftleft(F.col("team"), 32) + F.col("range")).alias("sender")
     of_team = replies.groupBy(F.col("block").alias("sender"), "kind")
-    return asked.withColumn("sender", sender).groupBy("sender", "kind").cogroup(of_team).applyInArrow(run, ANSWER)
+    return nodes.select(sender, "kind", "range", "block", "fold", "at").groupBy("sender", "kind").cogroup(of_team).applyInArrow(run, ANSWER)
 
 
 def counts(asked: DataFrame, n: int, ranges: list[int], fan: int, scratch: Scratch) -> DataFrame:
@@ -259,9 +279,9 @@ def counts(asked: DataFrame, n: int, ranges: list[int], fan: int, scratch: Scrat
     teams = -(-n // fan)
     if teams <= 1:
         return answers(asked)
-    asked = scratch.written(asked, "asked")
-    above = counts(merged(asked, ranges[0], fan), teams, ranges[1:], fan, scratch)
-    return relayed(asked, scratch.written(above, "answered"))
+    nodes = scratch.written(gathered(asked), "nodes")
+    above = counts(merged(nodes, ranges[0], fan), teams, ranges[1:], fan, scratch)
+    return relayed(nodes, scratch.written(above, "answered"))
 
 
 def answered(t: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
