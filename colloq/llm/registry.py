@@ -8,6 +8,8 @@ from colloq.llm.near_dup import op9_minhash_near_dedup
 from colloq.llm.packing import op6_best_fit_packing
 from colloq.llm.pii import op3_weak_supervision_pii
 from colloq.llm.quality import op1_knn_quality
+from colloq.llm.ranks import OP11_SQL, op11_grouped_ranking
+from colloq.llm.resample import OP13_SQL, op13_importance_resampling
 from colloq.llm.substrings import op4_suffix_dedup
 from colloq.llm.url_filter import OP10_SQL, op10_url_filter
 
@@ -22,7 +24,11 @@ QUERIES = {
     "op8_deleted_interpolation": op8_deleted_interpolation,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_grouped_ranking": op11_grouped_ranking,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE_SQL = {
     "op10_url_filter": OP10_SQL,
+    "op11_grouped_ranking": OP11_SQL,
+    "op13_importance_resampling": OP13_SQL,
 }
