@@ -1,6 +1,7 @@
 """Queries of the corpus operators and the SQL that some of them are held against."""
 
 from colloq.llm.decontaminate import op7_template_decontamination
+from colloq.llm.fingerprints import op12_syncmer_fingerprints
 from colloq.llm.language import op2_viterbi_language
 from colloq.llm.lm_score import op8_deleted_interpolation
 from colloq.llm.media import op5_media_columns
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_url_filter": op10_url_filter,
     "op11_grouped_ranking": op11_grouped_ranking,
+    "op12_syncmer_fingerprints": op12_syncmer_fingerprints,
     "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE_SQL = {
