@@ -13,7 +13,7 @@ from colloq.operators.formatting import training_text
 from colloq.operators.inference import only_meeting
 from colloq.operators.timeline import indexed
 from colloq.plans import pipeline
-from colloq.sources import conversations, corpus, sinks
+from colloq.sources import conversations, corpus, report, sinks
 
 
 def parser() -> argparse.ArgumentParser:
@@ -48,7 +48,7 @@ def main(argv: list[str] | None = None) -> None:
     flat = pipeline.final_samples(found, settings).persist()
     sinks.write_lines(flat, f"{args.output}/training_data_intermediate", "sample_id")
     sinks.write_lines(training_text(flat).orderBy("sample_id").select("text"), f"{args.output}/training_data_formatted")
-    sinks.write_document(spark, stats.compiled(flat), f"{args.output}/data_statistics.json")
+    report.write_statistics(flat, f"{args.output}/data_statistics.json")
     sinks.write_document(spark, sinks.filtering_summary(flat, settings), f"{args.output}/filtering_summary.json")
     sinks.write_text(spark, sinks.example_report(stats.stratified_examples(flat, settings.examples)), f"{args.output}/sample_examples.txt")
     for frame in (acts, flat):

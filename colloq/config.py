@@ -42,8 +42,6 @@ class Settings:
     category_ratio: float = 0.35
     max_samples: int | None = None
     examples: int = 5
-    #: Leading characters of a meeting id by which the counts of meetings are summed first when rows are ranked.
-    rank_prefix: int = 4
 
 
 DEFAULT = Settings()

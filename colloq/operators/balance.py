@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from colloq.config import DECISIONS, DEFAULT, Settings
 from colloq.operators.decisions import with_percent
 from colloq.operators.labels import POSITION
 from colloq.operators.quality import confidence_score
-from colloq.plans.ranking import leading, ranked
+from colloq.plans.ranking import in_ranges
 
 
 def class_targets(speak: int, silent: int, ratio: float = 0.5, most: int | None = None) -> tuple[int, int]:
@@ -19,29 +21,28 @@ def class_targets(speak: int, silent: int, ratio: float = 0.5, most: int | None
     return min(want, speak), min(total - want, silent)
 
 
+def _shared(gap: int, room: dict[str, int]) -> dict[str, int]:
+    """What each category gets of a gap that is handed out in order, each up to its room."""
+    before = accumulate(room.values(), initial=0)
+    return {k: max(0, min(r, gap - b)) for (k, r), b in zip(room.items(), before)}
+
+
 def category_quotas(available: dict[str, int], target: int, ratio: float = 0.35) -> dict[str, int]:
     """Samples to take of each category; ``available`` is in order of first appearance.
 
-    Shares in proportion, within a floor and a cap; what is missing is filled up from the
-    largest categories regardless of the cap, what is too much is taken from the
-    largest shares down to the floor.
+    Shares in proportion, at most a cap and at least a floor, and never more than there are. What is missing is
+    handed out by falling availability regardless of the cap, what is too much is taken back by falling share down to the floor;
+    among equals the first to appear comes first.
     """
-    if not available:
-        return {}
-    cap, floor, total = int(target * ratio), max(1, target // (2 * len(available))), sum(available.values())
-    quota = {k: min(max(floor, min(int(target * (n / total)), cap)), n) for k, n in available.items()}
-    gap = target - sum(quota.values())
-    if gap > 0:
-        for k in sorted(available, key=lambda k: -available[k]):
-            more = min(available[k] - quota[k], gap)
-            quota[k] += more
-            gap -= more
-    elif gap < 0:
-        for k in sorted(quota, key=lambda k: -quota[k]):
-            less = max(0, min(quota[k] - floor, -gap))
-            quota[k] -= less
-            gap += less
-    return quota
+    total = sum(available.values())
+    floor = max(1, target // (2 * max(1, len(available))))
+    most = max(floor, int(target * ratio))
+    share = {k: min(n, most, max(floor, int(target * (n / total)))) for k, n in available.items()}
+    gap = target - sum(share.values())
+    by = lambda size: sorted(available, key=lambda k: -size[k])
+    given = _shared(gap, {k: available[k] - share[k] for k in by(available)})
+    taken = _shared(-gap, {k: max(0, share[k] - floor) for k in by(share)})
+    return {k: share[k] + given[k] - taken[k] for k in available}
 
 
 def category_counts(samples: DataFrame) -> DataFrame:
@@ -61,23 +62,41 @@ def quotas(samples: DataFrame, settings: Settings = DEFAULT) -> list[tuple[str,
     return out
 
 
+def selected(keys: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """``keys`` of the samples that fill the quotas, with sample_id in the order SPEAK, SILENT, category, confidence, position.
+
+    Keys are range-sorted once. How many of a category stand in each range, a histogram of its positions, says where its quota is
+    used up: ranges beyond that are not read again, and what a sample's number is follows from its place in its range.
+    Keys are read twice, for counts and in order: hand in a table or a cached frame.
+    """
+    spark = keys.sparkSession
+    plan = quotas(keys, settings)
+    places = spark.createDataFrame([(d, c, place) for d, c, _, place, _, _ in plan], "decision string, category string, __place int")
+    order = keys.join(F.broadcast(places), ["decision", "category"]).withColumn("__score", -confidence_score(F.col("confidence")))
+    rows = in_ranges(order, [F.col("__place"), F.col("__score"), *map(F.col, POSITION)], "positions")
+    # At most a row for each range and eight more.
+    found = sorted(rows.groupBy("__place", "__part").agg(F.min("__at").alias("first"), F.count(F.lit(1)).alias("n")).collect())
+    cut, seen, number = [], {}, 0
+    quota = {place: q for *_, place, q, _ in plan}
+    for r in found:
+        earlier = seen.get(r["__place"], 0)
+        left = min(r["n"], quota[r["__place"]] - earlier)
+        if left > 0:
+            cut.append((r["__place"], r["__part"], r["first"], left, number))
+            number += left
+        seen[r["__place"]] = earlier + r["n"]
+    cut = spark.createDataFrame(cut, "__place int, __part int, __first long, __left long, __before long")
+    kept_rows = rows.join(F.broadcast(cut), ["__place", "__part"]).where("__at - __first < __left")
+    return kept_rows.select(*keys.columns, (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias("sample_id"))
+
+
 def balanced(samples: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """The samples that fill the quotas, with sample_id in the order SPEAK, SILENT, category, rank.
+    """The samples that fill the quotas, with sample_id; their positions are all different.
 
-    Samples are read twice (for counts and for ranks): hand in a cached frame.
+    Samples are read twice (for their keys and for their texts): hand in a table or a cached frame.
     """
-    spark = samples.sparkSession
-    plan = quotas(samples, settings)
-    before, rows = 0, []
-    for d, c, n, _, q, _ in plan:
-        rows.append((d, c, q, before))
-        before += min(q, n)
-    table = F.broadcast(spark.createDataFrame(rows, "decision string, category string, quota int, before long"))
-    score = -confidence_score(F.col("confidence"))
-    scored = samples.withColumn("__score", score)
-    place = ranked(scored, ["decision", "category"], [F.col("__score"), *map(F.col, POSITION)], F.struct("__score", "meeting_id"), "rank", lambda b: F.struct(b["__score"], leading(settings.rank_prefix)(b["meeting_id"])))
-    kept = place.join(table, ["decision", "category"]).where("rank <= quota")
-    return kept.withColumn("sample_id", F.col("before") + F.col("rank")).drop("quota", "before", "__score")
+    drawn = selected(samples.select(*POSITION, "decision", "confidence", "category"), settings)
+    return samples.join(drawn.select(*POSITION, "sample_id"), list(POSITION)).select(*samples.columns, "sample_id")
 
 
 def distribution(samples: DataFrame) -> DataFrame:

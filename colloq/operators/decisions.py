@@ -30,14 +30,14 @@ def timeline() -> Column:
     )
 
 
-def decision_points(sequences: DataFrame) -> DataFrame:
-    """One row per turn and other speaker. Contexts are slices, made only where they are used."""
-    turns = sequences.select("meeting_id", "sequence_id", sequence_speakers().alias("all_speakers"), timeline().alias("turns"))
-    # Outer, as the inner form asks first for arrays that aren't empty, which makes them twice; a sequence always has turns.
-    each = turns.select("*", F.posexplode_outer("turns").alias("turn_index", "turn"))
-    others = F.explode_outer(F.filter("all_speakers", lambda s: s != F.col("turn.speaker")))
-    rows = each.select("*", others.alias("target_speaker")).where("target_speaker IS NOT NULL")
+def _turns(sequences: DataFrame) -> DataFrame:
+    return sequences.select("meeting_id", "sequence_id", sequence_speakers().alias("all_speakers"), timeline().alias("turns"))
+
+
+def _points(rows: DataFrame, context: int | None, *more: str) -> DataFrame:
+    """Points of rows with turns, all_speakers, turn_index, turn and target_speaker; contexts are the last ``context`` turns (None: all before)."""
     pair = lambda t: F.struct(t["speaker"].alias("speaker"), t["text"].alias("text"))
+    n = F.col("turn_index") if context is None else F.least(F.col("turn_index"), F.lit(context))
     return rows.select(
         F.concat("sequence_id", F.lit("_turn"), "turn_index", F.lit("_target"), "target_speaker").alias("decision_point_id"),
         "sequence_id",
@@ -46,14 +46,35 @@ def decision_points(sequences: DataFrame) -> DataFrame:
         "all_speakers",
         "turn_index",
         F.col("turn.turn_type").alias("turn_type"),
-        F.transform(F.slice("turns", F.lit(1), F.col("turn_index")), pair).alias("context_turns"),
+        F.transform(F.slice("turns", F.col("turn_index") - n + 1, n), pair).alias("context_turns"),
         pair(F.col("turn")).alias("current_turn"),
         F.col("turn.addressees").alias("addressees_in_current"),
         F.array_contains("turn.addressees", F.col("target_speaker")).alias("target_is_addressed"),
         F.coalesce(F.get("turns", F.col("turn_index") + 1)["speaker"] == F.col("target_speaker"), F.lit(False)).alias("target_spoke_next"),
+        *more,
     )
 
 
+def decision_points(sequences: DataFrame, context: int | None = None) -> DataFrame:
+    """One row per turn and other speaker. Contexts are slices, made only where they are used; with ``context`` only so many last turns."""
+    # Outer, as the inner form asks first for arrays that aren't empty, which makes them twice; a sequence always has turns.
+    each = _turns(sequences).select("*", F.posexplode_outer("turns").alias("turn_index", "turn"))
+    others = F.explode_outer(F.filter("all_speakers", lambda s: s != F.col("turn.speaker")))
+    return _points(each.select("*", others.alias("target_speaker")).where("target_speaker IS NOT NULL"), context)
+
+
+def points_of(keys: DataFrame, sequences: DataFrame) -> DataFrame:
+    """The decision points that keys (meeting_id, sequence_id, turn_index, target_speaker) name, with the other columns of keys.
+
+    A sequence meets its own keys, all in one row, and makes only the contexts that are asked for.
+    """
+    place = ("meeting_id", "sequence_id")
+    more = [c for c in keys.columns if c not in (*place, "turn_index", "target_speaker")]
+    asked = keys.groupBy(*place).agg(F.collect_list(F.struct("turn_index", "target_speaker", *more)).alias("asked"))
+    rows = _turns(sequences).join(asked, list(place)).select(*place, "all_speakers", "turns", F.explode("asked").alias("key")).select("*", "key.*")
+    return _points(rows.withColumn("turn", F.get("turns", "turn_index")), None, *more)
+
+
 def turn_type_counts(points: DataFrame) -> DataFrame:
     rows = points.groupBy("turn_type").agg(F.count(F.lit(1)).alias("n"))
     return with_percent(rows)

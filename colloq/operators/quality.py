@@ -27,12 +27,30 @@ def signature(context: int = 3) -> Column:
     return F.concat_ws(":::", normalize(F.col("current_turn.text")), lines, F.col("decision"))
 
 
+def signature_key(context: int = 3) -> Column:
+    """128 bits of the signature, which is what a shuffle carries of it."""
+    return F.unhex(F.md5(signature(context).cast("binary")))
+
+
+def _best(samples: DataFrame, key: Column, *columns: str) -> DataFrame:
+    """One row for each key: the most confident, then the first. A minimum of ordered structs, which tasks take before the shuffle."""
+    order = F.struct((-confidence_score(F.col("confidence"))).alias("o"), *POSITION)
+    row = F.struct(order.alias("order"), F.struct(*columns).alias("sample"))
+    return samples.groupBy(key.alias("signature")).agg(F.min(row).alias("best")).select("best.sample.*")
+
+
 def deduplicated(samples: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """One sample for each signature: the most confident, then the first.
 
-    A minimum of ordered structs, which tasks take before the shuffle: a signature that
-    a third of all samples have is one row from each task.
+    A signature that a third of all samples have is one row from each task.
     """
-    order = F.struct((-confidence_score(F.col("confidence"))).alias("o"), *POSITION)
-    row = F.struct(order.alias("order"), F.struct(*samples.columns).alias("sample"))
-    return samples.groupBy(signature(settings.signature_context).alias("signature")).agg(F.min(row).alias("best")).select("best.sample.*")
+    return _best(samples, signature_key(settings.signature_context), *samples.columns)
+
+
+#: What is kept of a sample while it is compared, counted and drawn; texts are joined to the survivors.
+KEYS = (*POSITION, "decision", "confidence", "category")
+
+
+def unique_keys(samples: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """``KEYS`` of the samples that ``deduplicated`` keeps: neither text nor context is shuffled."""
+    return _best(samples, signature_key(settings.signature_context), *KEYS)

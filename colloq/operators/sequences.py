@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloq.config import DEFAULT, EXPLICIT_SOURCE, INFERRED_SOURCE, Settings
+from colloq.operators.nextevents import block_of, first_after, index, turns_between
 from colloq.operators.timeline import context_window, first_response
-from colloq.plans.ranking import leading, ranked
+from colloq.plans.ranking import numbered
+from colloq.plans.tables import kept
 
 TURN = "array<struct<speaker:string,text:string>>"
 
@@ -20,51 +22,77 @@ def candidates(acts: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return rows.withColumn("participants", F.array_distinct(F.concat(F.array("speaker"), "addressee")))
 
 
-def continuations(found: DataFrame, acts: DataFrame, stop_at_new_addressee: bool = True) -> DataFrame:
-    """(meeting_id, idx, continuation): later turns of the participants until the exchange ends.
+def spans(found: DataFrame, acts: DataFrame, stop_at_new_addressee: bool = True) -> DataFrame:
+    """(meeting_id, idx, first, stop): the turns first..stop - 1 of each candidate that has a continuation; they follow one another.
 
-    It ends before an act that addresses another set of speakers, and before the
-    first other speaker once a participant has spoken; others before that are skipped.
-    Candidates meet the later acts of their meeting in an equi-join, which skew handling can split.
+    It begins with the first participant after the response and ends before an act that addresses another
+    set of speakers, and before the next other speaker; others before it begins are skipped. Both ends are searches in the timeline's index.
     """
-    c = found.select("meeting_id", F.col("idx").alias("i"), F.col("response.idx").alias("r"), "participants", F.array_sort(F.array_distinct("addressee")).alias("own_set"))
-    later = acts.select("meeting_id", F.col("idx").alias("k"), F.col("speaker").alias("s"), F.col("text").alias("t"), "has_explicit_addressee", F.array_sort(F.array_distinct("addressee")).alias("set"))
-    rows = c.join(later, "meeting_id").where("k > r").withColumn("part", F.array_contains("participants", F.col("s")))
-    w = W.partitionBy("meeting_id", "i").orderBy("k")
-    seen = F.coalesce(F.count_if("part").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    other = F.col("has_explicit_addressee") & (F.col("set") != F.col("own_set")) if stop_at_new_addressee else F.lit(False)
-    stop = other | (~F.col("part") & (F.col("seen") > 0))
-    rows = rows.withColumn("seen", seen).withColumn("stop", F.when(stop, F.col("k")))
-    rows = rows.withColumn("stop", F.min("stop").over(W.partitionBy("meeting_id", "i")))
-    kept = rows.where("part AND (stop IS NULL OR k < stop)")
-    turns = F.array_sort(F.collect_list(F.struct("k", F.col("s").alias("speaker"), F.col("t").alias("text"))))
-    return kept.groupBy("meeting_id", F.col("i").alias("idx")).agg(F.transform(turns, lambda x: F.struct(x["speaker"].alias("speaker"), x["text"].alias("text"))).alias("continuation"))
+    acts = acts if stop_at_new_addressee else acts.withColumn("has_explicit_addressee", F.lit(False))
+    of = index(acts)
+    asked = found.select("meeting_id", "idx", F.col("response.idx").alias("after"), "participants", F.array_sort(F.array_distinct("addressee")).alias("own"))
+    inside = lambda t: F.array_contains("participants", t["s"])
+    turned = lambda t: t["a"].isNotNull() & (t["a"] != F.col("own"))
+    turns = lambda b: b["least"].isNotNull() & ((b["least"] != F.col("own")) | (b["most"] != F.col("own")))
+    begun = first_after(asked, of, "after", lambda t: inside(t) | turned(t), lambda b: F.arrays_overlap(b["speakers"], "participants") | turns(b), "begin")
+    begun = begun.where(~turned(F.col("begin"))).withColumn("first", F.col("begin.k"))
+    outside = lambda b: F.size(F.array_except(b["speakers"], "participants")) > 0
+    ended = first_after(begun, of, "first", lambda t: ~inside(t) | turned(t), lambda b: outside(b) | turns(b), "end")
+    # Those that nothing ends run to the end of their meeting.
+    last = acts.groupBy("meeting_id").agg((F.max("idx") + 1).alias("n"))
+    ends = ended.select("meeting_id", "idx", F.col("end.k").alias("stop"))
+    return begun.join(ends, ["meeting_id", "idx"], "left").join(last, "meeting_id").select("meeting_id", "idx", "first", F.coalesce("stop", "n").alias("stop"))
+
+
+def with_turns(found: DataFrame, ends: DataFrame, acts: DataFrame) -> DataFrame:
+    """Candidates with continuation, the turns of their spans (meeting_id, idx, first, stop); none without a span."""
+    more = turns_between(ends.join(found.select("meeting_id", "idx"), ["meeting_id", "idx"], "left_semi"), acts, "first", "stop", "continuation")
+    return found.join(more, ["meeting_id", "idx"], "left").withColumn("continuation", F.coalesce("continuation", F.array().cast(TURN)))
 
 
 def with_continuations(found: DataFrame, acts: DataFrame, stop_at_new_addressee: bool = True) -> DataFrame:
-    more = continuations(found, acts, stop_at_new_addressee)
-    return found.join(more, ["meeting_id", "idx"], "left").withColumn("continuation", F.coalesce("continuation", F.array().cast(TURN)))
+    """Candidates with continuation, later turns of the participants until the exchange ends. They are read twice: hand in a table."""
+    return with_turns(found, spans(found, acts, stop_at_new_addressee), acts)
+
+
+def steps(found: DataFrame, ends: DataFrame) -> DataFrame:
+    """(meeting_id, i, next): where a scan goes on after each candidate, by the number of turns of response and continuation."""
+    length = F.coalesce(F.col("stop") - F.col("first"), F.lit(0))
+    return found.join(ends, ["meeting_id", "idx"], "left").select("meeting_id", F.col("idx").alias("i"), (F.col("response.idx") + length + 1).alias("next"))
 
 
-def greedy(found: DataFrame) -> DataFrame:
-    """Candidates that a scan takes which, after each, goes on past response and continuation.
+def greedy(steps: DataFrame) -> DataFrame:
+    """(meeting_id, idx): the candidates that a scan takes which, after each, goes on at its step (meeting_id, i, next). Read more than once.
 
-    It goes on by the number of continuation turns, so it can land inside them. A fold over a meeting's candidates.
+    It goes on by the number of continuation turns, so it can land inside them. A candidate that no earlier one's step passes
+    over is taken whatever came before; there a segment begins. Steps never leave a segment but to the start of a
+    later one, so segments are scanned by themselves, one fold each: a long meeting is the work of many tasks.
+    Where segments begin follows from the greatest step of all earlier candidates, within blocks first and then over blocks.
     """
-    step = F.struct(F.col("idx").alias("i"), (F.col("response.idx") + F.size("continuation") + 1).alias("next"))
+    starts = steps.withColumn("block", block_of(F.col("i")))
+    earlier = lambda c, by, at: F.max(c).over(W.partitionBy(*by).orderBy(at).rowsBetween(W.unboundedPreceding, -1))
+    blocks = starts.groupBy("meeting_id", "block").agg(F.max("next").alias("far"))
+    blocks = blocks.select("meeting_id", "block", earlier("far", ["meeting_id"], "block").alias("far"))
+    rows = starts.withColumn("near", earlier("next", ["meeting_id", "block"], "i")).join(blocks, ["meeting_id", "block"])
+    free = F.coalesce(F.greatest("near", "far"), F.lit(0)) <= F.col("i")
+    # Numbers of segments: how many begin up to here, again by blocks.
+    rows = rows.withColumn("free", free.cast("int"))
+    own = F.sum("free").over(W.partitionBy("meeting_id", "block").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
+    sums = rows.groupBy("meeting_id", "block").agg(F.sum("free").alias("free"))
+    before = F.coalesce(F.sum("free").over(W.partitionBy("meeting_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("meeting_id", "block", before.alias("before"))
+    rows = rows.withColumn("own", own).join(sums, ["meeting_id", "block"]).withColumn("segment", F.col("own") + F.col("before"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("taken"))
     fold = F.aggregate(
-        F.array_sort(F.collect_list(step)),
+        F.array_sort(F.collect_list(F.struct("i", "next"))),
         start,
         lambda a, x: F.when(x["i"] >= a["at"], F.struct(x["next"].alias("at"), F.array_append(a["taken"], x["i"]).alias("taken"))).otherwise(a),
     )
-    taken = found.groupBy("meeting_id").agg(fold["taken"].alias("taken")).select("meeting_id", F.explode("taken").alias("idx"))
-    return found.join(taken, ["meeting_id", "idx"], "left_semi")
+    return rows.groupBy("meeting_id", "segment").agg(fold["taken"].alias("taken")).select("meeting_id", F.explode("taken").alias("idx"))
 
 
-def _rows(found: DataFrame, infix: str, explicit: bool, confidence: Column, reason: Column, source: str, settings: Settings) -> DataFrame:
-    # Read twice, for counts and for numbers: kept, so that timelines are not built again.
-    numbered = ranked(found.persist(), [], [F.col("meeting_id"), F.col("idx")], F.col("meeting_id"), "n", leading(settings.rank_prefix))
+def _rows(found: DataFrame, infix: str, explicit: bool, confidence: Column, reason: Column, source: str) -> DataFrame:
+    rows = numbered(found, [F.col("meeting_id"), F.col("idx")], "n", 0)
     turn = F.struct(
         "speaker",
         F.col("addressee").alias("addressees"),
@@ -73,9 +101,9 @@ def _rows(found: DataFrame, infix: str, explicit: bool, confidence: Column, reas
         confidence.cast("int").alias("inference_confidence"),
         reason.alias("inference_reason"),
     )
-    return numbered.select(
+    return rows.select(
         "meeting_id",
-        F.concat("meeting_id", F.lit(infix), F.col("n") - 1).alias("sequence_id"),
+        F.concat("meeting_id", F.lit(infix), "n").alias("sequence_id"),
         "context",
         turn.alias("addressing_turn"),
         F.struct(F.col("response.speaker").alias("speaker"), F.col("response.text").alias("text")).alias("response"),
@@ -86,8 +114,11 @@ def _rows(found: DataFrame, infix: str, explicit: bool, confidence: Column, reas
 
 def explicit_sequences(acts: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Sequences from acts (with idx) that name their addressees."""
-    taken = greedy(with_continuations(candidates(acts, settings), acts))
-    return _rows(taken, "_seq", True, F.lit(10), F.lit("Explicit"), EXPLICIT_SOURCE, settings)
+    found = kept(candidates(acts, settings), "candidates")
+    ends = kept(spans(found, acts), "spans")
+    taken = greedy(kept(steps(found, ends), "steps"))
+    rows = with_turns(found.join(taken, ["meeting_id", "idx"], "left_semi"), ends, acts)
+    return _rows(rows, "_seq", True, F.lit(10), F.lit("Explicit"), EXPLICIT_SOURCE)
 
 
 def inferred_sequences(acts: DataFrame, replies: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -98,8 +129,8 @@ def inferred_sequences(acts: DataFrame, replies: DataFrame, settings: Settings =
     answered = acts.drop("addressee", "has_explicit_addressee").join(replies, ["meeting_id", "idx"], "left")
     sure = F.coalesce((F.size("addressee") > 0) & (F.col("confidence") >= settings.min_confidence), F.lit(False))
     rows = answered.withColumn("has_explicit_addressee", sure).withColumn("addressee", F.coalesce("addressee", F.array().cast("array<string>")))
-    found = with_continuations(candidates(rows, settings), rows, stop_at_new_addressee=False)
-    return _rows(found, "_inferred", False, F.col("confidence"), F.col("reason"), INFERRED_SOURCE, settings)
+    found = with_continuations(kept(candidates(rows, settings), "candidates"), rows, stop_at_new_addressee=False)
+    return _rows(found, "_inferred", False, F.col("confidence"), F.col("reason"), INFERRED_SOURCE)
 
 
 def merged(explicit: DataFrame, inferred: DataFrame) -> DataFrame:

@@ -40,7 +40,9 @@ def confidence_grid(s: DataFrame) -> DataFrame:
 
 
 def context_length() -> Column:
-    return F.when(F.col("context") == NO_CONTEXT, 0).otherwise(F.size(F.split("context", "\n")))
+    """Lines of the context, counted by their ends."""
+    ends = F.length("context") - F.length(F.replace("context", F.lit("\n"), F.lit("")))
+    return F.when(F.col("context") == NO_CONTEXT, 0).otherwise(ends + 1)
 
 
 def context_stats(s: DataFrame) -> DataFrame:
@@ -54,7 +56,9 @@ def context_histogram(s: DataFrame, shortest: int = 10) -> DataFrame:
 
 
 def duplicate_audit(s: DataFrame) -> DataFrame:
-    ids, pairs = F.countDistinct("decision_point_id"), F.countDistinct(F.struct("context", "current_turn"))
+    # 128 bits of each pair are shuffled, not the contexts.
+    pair = F.unhex(F.md5(F.concat_ws("\x00", "context", "current_turn").cast("binary")))
+    ids, pairs = F.countDistinct("decision_point_id"), F.countDistinct(pair)
     n = F.count(F.lit(1))
     return s.agg(n.alias("total"), ids.alias("unique_ids"), (n - ids).alias("duplicate_ids"), pairs.alias("unique_pairs"), (n - pairs).alias("duplicate_pairs"))
 
@@ -64,6 +68,16 @@ def per_meeting(s: DataFrame) -> DataFrame:
     return s.groupBy("meeting_id").agg(F.count(F.lit(1)).alias("n"), F.min("sample_id").alias("first")).orderBy(F.desc("n"), "first").drop("first")
 
 
+def meeting_names(s: DataFrame) -> DataFrame:
+    """(meeting_id), sorted."""
+    return s.select("meeting_id").distinct().orderBy("meeting_id")
+
+
+def speaker_names(s: DataFrame) -> DataFrame:
+    """(speaker), sorted."""
+    return s.select(F.explode("all_speakers").alias("speaker")).distinct().orderBy("speaker")
+
+
 def stratified_examples(s: DataFrame, each: int = 5, seed: int = 7) -> DataFrame:
     """Up to so many samples of each category, in a pseudo-random order that the seed fixes."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), "decision_point_id").cast("binary"))
@@ -71,14 +85,18 @@ def stratified_examples(s: DataFrame, each: int = 5, seed: int = 7) -> DataFrame
     return s.withColumn("rank", rank).where(F.col("rank") <= each)
 
 
-def compiled(s: DataFrame) -> dict:
-    """All reports as one nested document (its keys are fixed values); ratios without a divisor are None."""
+def compiled(s: DataFrame, lists: bool = True) -> dict:
+    """All reports as one nested document (its keys are fixed values); ratios without a divisor are None.
+
+    With ``lists`` it holds the names of meetings and speakers and the samples of every meeting, a row each; without them
+    its size doesn't depend on the input, and ``colloq.sources.report`` puts them in by tasks.
+    """
     o, d, c, a = (f(s).first() for f in (overview, decision_distribution, context_stats, duplicate_audit))
     grid = {(r.decision, r.confidence): r.n for r in confidence_grid(s).collect()}
     total = o.total
     share = lambda n: n / total * 100 if total else None
-    speakers = sorted(r[0] for r in s.select(F.explode("all_speakers")).distinct().collect())
-    meetings = {r.meeting_id: r.n for r in per_meeting(s).collect()}
+    speakers = [r[0] for r in speaker_names(s).collect()] if lists else []
+    meetings = {r.meeting_id: r.n for r in per_meeting(s).collect()} if lists else {}
     return {
         "dataset_overview": {
             "total_samples": total, "unique_meetings": o.meetings, "meetings": sorted(meetings), "unique_sequences": o.sequences,

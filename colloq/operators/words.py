@@ -1,16 +1,32 @@
-"""Word references of dialogue acts, resolved by equi-joins."""
+"""Word references of dialogue acts, resolved by equi-joins with blocks of words."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloq.functions.text import strip
 from colloq.sources.corpus import addressees
 
+#: Numbered words of a file stand in blocks of so many numbers.
+BLOCK = 256
+
+
+def _digits(c: Column) -> Column:
+    """What follows the last ".words" of an id, if something stands before and only digits after."""
+    after = F.substring_index(c, ".words", -1)
+    return F.when((F.length(c) > F.length(after) + 6) & after.rlike("^[0-9]+$"), after)
+
+
+def _place(c: Column) -> tuple[Column, Column]:
+    """(stem, number) of an id; one that isn't a stem and a number written plainly is a stem of its own with number -1."""
+    n = _digits(c).try_cast("long")
+    plain = n.cast("string") == _digits(c)
+    return F.when(plain, F.left(c, F.length(c) - F.length(_digits(c)))).otherwise(c), F.when(plain, n).otherwise(F.lit(-1).cast("long"))
 
-def resolved_refs(acts: DataFrame) -> DataFrame:
-    """(act keys, child_pos, word_pos, word_id, in_range): the words that each reference names.
+
+def parsed_refs(acts: DataFrame) -> DataFrame:
+    """(act keys, child_pos, in_range, stem, first, last, ids): what each reference says.
 
     A reference with two ids and ``..`` between is a range of numbered words, counted
     up from the first; one that counts down names none. Others name their ids as they are.
@@ -18,40 +34,85 @@ def resolved_refs(acts: DataFrame) -> DataFrame:
     refs = acts.select("meeting_id", "speaker", "doc_order", F.posexplode("refs").alias("child_pos", "href"))
     ids = refs.withColumn("ids", F.regexp_extract_all("href", F.lit(r"id\(([^)]+)\)"), F.lit(1)))
     ids = ids.withColumns({"one": F.get("ids", F.lit(0)), "two": F.get("ids", F.lit(1))})
-    # What follows the last ".words" is a word's number, if something stands before and only digits after.
-    after = lambda c: F.substring_index(c, ".words", -1)
-    number = lambda c: F.when((F.length(c) > F.length(after(c)) + 6) & after(c).rlike("^[0-9]+$"), after(c)).try_cast("long")
-    stem = F.left("one", F.length("one") - F.length(after("one")))
-    ids = ids.withColumns({"first": number("one"), "last": number("two"), "stem": stem})
+    first, last = (_digits(F.col(c)).try_cast("long") for c in ("one", "two"))
+    ids = ids.withColumns({"first": first, "last": last, "stem": F.left("one", F.length("one") - F.length(F.substring_index("one", ".words", -1)))})
     ranged = (F.size("ids") == 2) & F.col("href").contains("..") & F.col("first").isNotNull() & F.col("last").isNotNull()
+    return ids.select("meeting_id", "speaker", "doc_order", "child_pos", ranged.alias("in_range"), "stem", "first", "last", "ids")
+
+
+def resolved_refs(acts: DataFrame) -> DataFrame:
+    """(act keys, child_pos, word_pos, word_id, in_range): the words that each reference names, one by one."""
+    refs = parsed_refs(acts)
     up = F.when(F.col("first") <= F.col("last"), F.sequence("first", "last")).otherwise(F.array().cast("array<long>"))
-    named = F.when(ranged, F.transform(up, lambda n: F.concat("stem", n.cast("string")))).otherwise(F.col("ids"))
-    rows = ids.select("meeting_id", "speaker", "doc_order", "child_pos", ranged.alias("in_range"), named.alias("named"))
+    named = F.when(F.col("in_range"), F.transform(up, lambda n: F.concat("stem", n.cast("string")))).otherwise(F.col("ids"))
+    rows = refs.select("meeting_id", "speaker", "doc_order", "child_pos", "in_range", named.alias("named"))
     # Outer, as the inner form first asks for arrays that aren't empty, which computes them all over again.
     return rows.select("meeting_id", "speaker", "doc_order", "child_pos", "in_range", F.posexplode_outer("named").alias("word_pos", "word_id")).where("word_pos IS NOT NULL")
 
 
+def word_blocks(words: DataFrame) -> DataFrame:
+    """(meeting_id, speaker, stem, block, words): the words of a file by number, in sorted arrays of at most ``BLOCK`` numbers."""
+    stem, n = _place(F.col("word_id"))
+    rows = words.select("meeting_id", "speaker", stem.alias("stem"), n.alias("n"), "starttime", "endtime", "text")
+    word = F.struct("n", "starttime", "endtime", "text")
+    return rows.groupBy("meeting_id", "speaker", "stem", F.floor(F.col("n") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(word)).alias("words"))
+
+
+def _asked(acts: DataFrame) -> DataFrame:
+    """(act keys, child_pos, base, in_range, mine, raw, stem, first, last): runs of numbers under one stem; base is the place of number ``first`` in its reference.
+
+    An id is asked for under the act's own meeting and speaker (mine) and as it is (raw), once if both are the same.
+    """
+    keys = ["meeting_id", "speaker", "doc_order", "child_pos"]
+    refs = parsed_refs(acts)
+    own = F.concat("meeting_id", F.lit("."), "speaker", F.lit(".words"))
+    run = lambda stem, first, last, base, mine, raw: F.struct(stem.alias("stem"), first.alias("first"), last.alias("last"), base.alias("base"), F.lit(mine).alias("mine"), F.lit(raw).alias("raw"))
+    none = F.lit(0).cast("long")
+    whole = lambda stem, mine, raw: run(stem, F.col("first"), F.col("last"), none, mine, raw)
+    ranges = F.when(F.col("stem") == own, F.array(whole(own, True, True))).otherwise(F.array(whole(own, True, False), whole(F.col("stem"), False, True)))
+    in_range = refs.where("in_range AND first <= last").select(*keys, "in_range", F.explode_outer(ranges).alias("run"))
+
+    def single(id: Column, pos: Column, mine: bool, raw: bool) -> Column:
+        stem, n = _place(id)
+        return run(stem, n, n, pos.cast("long"), mine, raw)
+
+    each = refs.where("NOT in_range").select(*keys, "in_range", F.posexplode("ids").alias("pos", "id"))
+    renamed = F.when(F.col("id").contains("words"), F.concat(own, F.substring_index("id", "words", -1))).otherwise(F.col("id"))
+    pos, id = F.col("pos"), F.col("id")
+    ways = F.when(renamed == id, F.array(single(id, pos, True, True))).otherwise(F.array(single(renamed, pos, True, False), single(id, pos, False, True)))
+    rows = in_range.unionByName(each.select(*keys, "in_range", F.explode_outer(ways).alias("run")))
+    return rows.select(*keys, "in_range", "run.*")
+
+
 def act_texts(acts: DataFrame, words: DataFrame) -> DataFrame:
     """(act keys, text, starttime, endtime): words in order; times of 0 count as missing.
 
     An id is looked up under the act's own meeting and speaker, then as it is. Words of a range that
     the file lacks are skipped, as are other unknown ids; an act without words or text is dropped.
     Of words with equal ids the one that starts last counts.
+
+    A range is a slice of its file's blocks: what is shuffled is a row for each block that a reference touches, not for each word.
     """
     keys = ["meeting_id", "speaker"]
-    refs = resolved_refs(acts)
-    renamed = F.concat("meeting_id", F.lit("."), "speaker", F.lit(".words"), F.substring_index("word_id", "words", -1))
-    own = F.when(F.col("word_id").contains("words"), renamed).otherwise(F.col("word_id"))
-    spelled = lambda at, mine, raw: F.struct(at.alias("id"), F.lit(mine).alias("mine"), F.lit(raw).alias("raw"))
-    ways = F.when(own == F.col("word_id"), F.array(spelled(own, True, True))).otherwise(F.array(spelled(own, True, False), spelled(F.col("word_id"), False, True)))
-    # One equi-join serves both spellings, and words with equal ids too; what counts is settled within the act.
-    asked = refs.select(*keys, "doc_order", "child_pos", "word_pos", "in_range", F.explode_outer(ways).alias("way")).select(*keys, "doc_order", "child_pos", "word_pos", "in_range", "way.*")
-    met = asked.join(words.select(*keys, F.col("word_id").alias("id"), "text", "starttime", "endtime"), [*keys, "id"])
-    found = met.groupBy(*keys, "doc_order").agg(F.sort_array(F.collect_list(F.struct("child_pos", "word_pos", "mine", "starttime", "endtime", "text", "raw", "in_range"))).alias("found"))
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    asked = _asked(acts).select("*", F.explode(F.sequence(block("first"), block("last"))).alias("block"))
+    met = asked.join(word_blocks(words), [*keys, "stem", "block"])
+    here = F.filter("words", lambda w: w["n"].between(F.col("first"), F.col("last")))
+    piece = F.transform(
+        here,
+        lambda w: F.struct(
+            F.col("child_pos"), (F.col("base") + w["n"] - F.col("first")).alias("word_pos"), F.col("mine"), w["starttime"].alias("starttime"), w["endtime"].alias("endtime"), w["text"].alias("text"),
+            (F.col("raw") | ~F.col("in_range")).alias("there"),
+        ),
+    )
+    pieces = met.select(*keys, "doc_order", piece.alias("piece"))
+    found = pieces.groupBy(*keys, "doc_order").agg(F.sort_array(F.flatten(F.collect_list("piece"))).alias("found"))
     alike = lambda x, y: (x["child_pos"] == y["child_pos"]) & (x["word_pos"] == y["word_pos"])
-    last = lambda x, i: F.coalesce(~alike(x, F.get("found", i + 1)), F.lit(True))
-    in_file = lambda x: ~x["in_range"] | x["raw"] | F.exists("found", lambda y: alike(x, y) & y["raw"])
-    found = found.withColumn("found", F.filter("found", lambda x, i: last(x, i) & in_file(x)))
+    after = lambda x, i, own: F.coalesce(~(alike(x, F.get("found", i + 1)) & own(x, F.get("found", i + 1))), F.lit(True))
+    # First one word of each spelling, then one of each place. A word of a range must be in the file as the range spells it.
+    found = found.withColumn("found", F.filter("found", lambda x, i: after(x, i, lambda a, b: a["mine"] == b["mine"])))
+    before = lambda x, i: (i > 0) & F.coalesce(alike(x, F.get("found", i - 1)), F.lit(False))
+    found = found.withColumn("found", F.filter("found", lambda x, i: after(x, i, lambda a, b: F.lit(True)) & (x["there"] | before(x, i))))
     text = strip(F.array_join(F.col("found.text"), " "))
     time = lambda f, c: F.coalesce(f(F.filter(F.col(f"found.{c}"), lambda t: t != 0.0)), F.lit(0.0))
     rows = found.select(*keys, "doc_order", text.alias("text"), time(F.array_min, "starttime").alias("starttime"), time(F.array_max, "endtime").alias("endtime"))

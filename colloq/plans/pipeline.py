@@ -7,15 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from colloq.config import DEFAULT, Settings
-from colloq.operators.balance import balanced
-from colloq.operators.decisions import decision_points
+from colloq.operators import quality as Q
+from colloq.operators.balance import selected
+from colloq.operators.decisions import decision_points, points_of
 from colloq.operators.formatting import intermediate, training_text
 from colloq.operators.inference import call, parsed, prompts, unaddressed
-from colloq.operators.labels import categorized
-from colloq.operators.quality import deduplicated, filtered
+from colloq.operators.labels import POSITION, categorized, reason
+from colloq.operators.quality import filtered
 from colloq.operators.sequences import explicit_sequences, inferred_sequences
 from colloq.operators.timeline import in_meetings, indexed
 from colloq.operators.words import assembled
+from colloq.plans.tables import kept
 from colloq.sources import corpus
 
 
@@ -41,10 +43,26 @@ def samples(found: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return categorized(decision_points(found), settings)
 
 
+def unique_keys(found: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Keys of the good samples of sequences, one for each signature, as a table.
+
+    Signatures and categories look at the last turns only, so no whole context is made for a sample that may go.
+    """
+    looked_at = max(settings.signature_context, settings.recent_speak, settings.recent_silent)
+    points = categorized(decision_points(found, looked_at), settings)
+    return kept(Q.unique_keys(filtered(points, settings), settings), "unique")
+
+
+def with_texts(keys: DataFrame, found: DataFrame) -> DataFrame:
+    """Samples as ``samples`` makes them, of keys with decision, confidence and category (and other columns); sequences are read again."""
+    rows = points_of(keys, found).withColumn("reason", reason())
+    more = [c for c in keys.columns if c not in Q.KEYS]
+    return rows.select(*[c for c in rows.columns if c not in {*Q.KEYS, "reason", *more} or c in POSITION], "decision", "confidence", "reason", "category", *more)
+
+
 def final_samples(found: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Filtered, deduplicated and balanced intermediate samples. The deduplicated frame is cached, as it is read twice."""
-    unique = deduplicated(filtered(samples(found, settings), settings), settings).persist()
-    return intermediate(balanced(unique, settings))
+    """Filtered, deduplicated and balanced intermediate samples. Until they are drawn, samples are keys."""
+    return intermediate(with_texts(selected(unique_keys(found, settings), settings), found))
 
 
 def training(found: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

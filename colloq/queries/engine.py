@@ -18,6 +18,8 @@ from colloq.operators import stats as S
 from colloq.operators import timeline as T
 from colloq.operators import words as WR
 from colloq.plans import pipeline as P
+from colloq.plans.ranking import numbered
+from colloq.plans.tables import kept
 from colloq.sources import conversations
 
 
@@ -70,7 +72,7 @@ def response_lookahead(spark, d):
 
 def continuation(spark, d):
     rows = acts(spark, d)
-    found = Q.with_continuations(Q.candidates(rows), rows)
+    found = Q.with_continuations(kept(Q.candidates(rows), "candidates"), rows)
     return found.select("meeting_id", "idx", F.size("continuation").alias("turns"), _turns("continuation").alias("continuation"))
 
 
@@ -284,26 +286,32 @@ def signatures(spark, d):
     return good_samples(spark, d).select("decision_point_id", F.md5(U.signature().cast("binary")).alias("signature"))
 
 
+def unique_keys(spark, d):
+    return P.unique_keys(sequences(spark, d))
+
+
 def unique_samples(spark, d):
-    return U.deduplicated(good_samples(spark, d))
+    found = sequences(spark, d)
+    return P.with_texts(P.unique_keys(found), found)
 
 
 def dedup_keep_best(spark, d):
-    return unique_samples(spark, d).select("decision_point_id", "decision", "category")
+    point = F.concat("sequence_id", F.lit("_turn"), "turn_index", F.lit("_target"), "target_speaker")
+    return unique_keys(spark, d).select(point.alias("decision_point_id"), "decision", "category")
 
 
 def category_availability(spark, d):
-    return B.category_counts(unique_samples(spark, d)).select("decision", "category", "n", F.concat_ws("/", "first.meeting_id", "first.sequence_id", "first.turn_index", "first.target_speaker").alias("first"))
+    return B.category_counts(unique_keys(spark, d)).select("decision", "category", "n", F.concat_ws("/", "first.meeting_id", "first.sequence_id", "first.turn_index", "first.target_speaker").alias("first"))
 
 
 def class_targets(spark, d):
-    n = {r.decision: r["n"] for r in unique_samples(spark, d).groupBy("decision").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = {r.decision: r["n"] for r in unique_keys(spark, d).groupBy("decision").agg(F.count(F.lit(1)).alias("n")).collect()}
     found = B.class_targets(n.get("SPEAK", 0), n.get("SILENT", 0))
     return spark.createDataFrame([(k, n.get(k, 0), t) for k, t in zip(DECISIONS, found)], "decision string, available long, target long")
 
 
 def category_quotas(spark, d):
-    return spark.createDataFrame(B.quotas(unique_samples(spark, d)), "decision string, category string, available long, place int, quota long, target long")
+    return spark.createDataFrame(B.quotas(unique_keys(spark, d)), "decision string, category string, available long, place int, quota long, target long")
 
 
 def _final(spark, d):
@@ -320,10 +328,8 @@ def balanced_distribution(spark, d):
 
 def _flat(spark, d):
     """All unique samples as flat rows, numbered in order: what the reports are made of."""
-    from colloq.plans.ranking import leading, ranked
-
-    rows = ranked(unique_samples(spark, d).persist(), [], list(map(F.col, L.POSITION)), F.col("meeting_id"), "sample_id", leading(DEFAULT.rank_prefix))
-    return FM.intermediate(rows)
+    found = sequences(spark, d)
+    return FM.intermediate(P.with_texts(numbered(P.unique_keys(found), list(map(F.col, L.POSITION)), "sample_id"), found))
 
 
 def intermediate_samples(spark, d):

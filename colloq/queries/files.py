@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,18 +14,13 @@ from colloq.operators import inference as I
 from colloq.operators import sequences as Q
 from colloq.operators import stats as S
 from colloq.plans import pipeline as P
+from colloq.plans.tables import fresh, kept
 from colloq.queries import engine as E
-from colloq.sources import corpus, export, files, sinks
+from colloq.sources import corpus, export, files, report, sinks
 
 
 def _folder(spark: SparkSession) -> str:
-    """A fresh folder that the driver and all executors see; only on one machine may it be a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
-        base = "file://" + tempfile.mkdtemp(prefix="colloq-")
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    return fresh(spark, "files")
 
 
 def _corpus(spark, d) -> str:
@@ -96,7 +89,7 @@ def summary_document(spark, d):
 
 def statistics_document(spark, d):
     path = f"{_folder(spark)}/statistics.json"
-    sinks.write_document(spark, S.compiled(E._flat(spark, d)), path)
+    report.write_statistics(kept(E._flat(spark, d), "flat"), path)
     schema = (
         "dataset_overview struct<total_samples:long,unique_meetings:long,unique_sequences:long,unique_speakers:long>, decision_distribution struct<SPEAK:long,SILENT:long>, "
         "category_distribution map<string,struct<count:long>>, duplicate_analysis struct<unique_decision_points:long,unique_context_current_pairs:long>, samples_per_meeting map<string,long>"
@@ -118,12 +111,13 @@ def example_lines(spark, d):
 
 
 def uploaded_objects(spark, d):
-    local, store = tempfile.mkdtemp(prefix="colloq-"), f"{_folder(spark)}/store"
+    folder = _folder(spark)
+    local, store = f"{folder}/local", f"{folder}/store"
     found = E._final(spark, d).groupBy("decision").count().orderBy("decision").collect()
-    sinks.write_document(spark, {r.decision: r["count"] for r in found}, f"file://{local}/summary.json")
+    sinks.write_document(spark, {r.decision: r["count"] for r in found}, f"{local}/summary.json")
     for r in found:
-        sinks.write_text(spark, f"{r['count']}\n", f"file://{local}/counts/{r.decision}.txt")
-    sinks.upload(spark, local, store, "/run/1/")
+        sinks.write_text(spark, f"{r['count']}\n", f"{local}/counts/{r.decision}.txt")
+    sinks.copy_tree(spark, local, store, f"{folder}/manifest", "/run/1/", tasks=4)
     rows = spark.read.text(f"{store}/run/1/counts/*.txt").select(F.regexp_extract("_metadata.file_path", "(run/1/.*)$", 1).alias("key"), F.col("value").cast("long").alias("n"))
     total = files.read_array(spark, f"{store}/run/1/summary.json", ", ".join(f"{k} long" for k in DECISIONS)).select(F.lit("run/1/summary.json").alias("key"), sum((F.col(k) for k in DECISIONS), F.lit(0)).cast("long").alias("n"))
     return rows.unionByName(total)
@@ -132,7 +126,8 @@ def uploaded_objects(spark, d):
 def size_metrics(spark, d):
     path, rows = f"{_folder(spark)}/text", FM.training_text(E._flat(spark, d)).select("text")
     rows.write.text(path)
-    n = spark.read.text(path, wholetext=False).count() and rows.count()
+    # Texts have several lines; each begins with the same tag.
+    n = spark.read.text(path).where(F.col("value").startswith("<|system|>")).count()
     size, each = sinks.size_report(spark, path, n)
     return spark.createDataFrame([(size, n, each)], "bytes long, samples long, bytes_per_sample double")
 

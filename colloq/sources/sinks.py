@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Iterator
 from pathlib import Path, PurePosixPath
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors.exceptions.captured import CapturedException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloq.config import CATEGORIES, DEFAULT, Settings
 
-#: Rows that a single pretty-printed array may have; larger results are written as lines.
-ARRAY_ROWS = 100_000
-
-
 def write_lines(df: DataFrame, path: str, *order: str) -> None:
     """A folder of JSON lines, in order across its files; nulls are kept."""
     out = df.orderBy(*order) if order else df
@@ -33,12 +32,71 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
         out.close()
 
 
-def write_array(df: DataFrame, path: str) -> None:
-    """One indented array, for results of a bounded size (ValueError beyond ARRAY_ROWS)."""
-    rows = df.limit(ARRAY_ROWS + 1).toJSON().collect()
-    if len(rows) > ARRAY_ROWS:
-        raise ValueError(f"more than {ARRAY_ROWS} rows; use write_lines")
-    write_text(df.sparkSession, json.dumps([json.loads(r) for r in rows], indent=2), path)
+def _fragments(df: DataFrame, folder: str) -> list[str]:
+    """The column value of ``df`` as text files, written by tasks; values of one file are parted by commas. Returns the files that hold any, in the order of partitions."""
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # within the partition, which is a file
+    rows = df.select(place.alias("n"), "value").select(F.when(F.col("n") == 0, F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+    rows.write.option("compression", "none").text(folder)
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return sorted(f.getPath().toString() for f in files if f.getPath().getName().startswith("part-") and f.getLen())
+
+
+def write_stitched(spark: SparkSession, path: str, parts: list[str | DataFrame]) -> None:
+    """One text file of texts and of frames with a column value, whose rows are parted by commas.
+
+    Tasks write the rows of frames, in their order. The files are then joined where the file system can do that by itself (``concat``); elsewhere they are
+    copied one after another through a buffer of a fixed size. The driver never holds rows, only the names of files.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop, folder = jvm.org.apache.hadoop.fs.Path, f"{path}.parts-{uuid.uuid4().hex}"
+    fs = hadoop(path).getFileSystem(conf)
+    try:
+        names: list[str] = []
+        for k, part in enumerate(parts):
+            if isinstance(part, str):
+                write_text(spark, part, own := f"{folder}/text-{k}")
+                names.append(own)
+                continue
+            for j, name in enumerate(_fragments(part, f"{folder}/rows-{k}")):
+                if j:
+                    write_text(spark, ",", own := f"{folder}/comma-{k}-{j}")
+                    names.append(own)
+                names.append(name)
+        target = hadoop(f"{folder}/whole")
+        fs.create(target, True).close()
+        sources = spark.sparkContext._gateway.new_array(hadoop, len(names))
+        for k, name in enumerate(names):
+            sources[k] = hadoop(name)
+        try:
+            fs.concat(target, sources)
+        except (Py4JJavaError, CapturedException) as e:
+            if "UnsupportedOperationException" not in f"{type(e).__name__} {e}":
+                raise
+            out = fs.create(target, True)
+            try:
+                for name in names:
+                    own = fs.open(hadoop(name))
+                    try:
+                        jvm.org.apache.hadoop.io.IOUtils.copyBytes(own, out, 1 << 16, False)
+                    finally:
+                        own.close()
+            finally:
+                out.close()
+        fs.mkdirs(hadoop(path).getParent())
+        fs.delete(hadoop(path), True)
+        if not fs.rename(target, hadoop(path)):
+            raise OSError(f"can't write {path}")
+    finally:
+        fs.delete(hadoop(folder), True)
+
+
+def write_array(df: DataFrame, path: str, *order: str) -> None:
+    """One indented array in one file, of any size; in ``order``, if given. Rows are written by tasks."""
+    rows = df.orderBy(*order) if order else df
+    value = F.to_json(F.struct(*[f"`{c}`" for c in df.columns]), {"ignoreNullFields": "false", "pretty": "true"})
+    write_stitched(df.sparkSession, path, ["[\n", rows.select(value.alias("value")), "]\n"])
 
 
 def write_each(df: DataFrame, folder: str, number: str = "sample_id") -> None:
@@ -121,7 +179,10 @@ def object_keys(local_dir: str, prefix: str = "") -> Iterator[tuple[str, str]]:
 
 
 def upload(spark: SparkSession, local_dir: str, store: str, prefix: str = "") -> list[str]:
-    """Copies a folder to a Hadoop file system (``s3a://bucket``) and returns the keys; failed files are skipped with a warning."""
+    """Copies a folder of the driver's machine, which tasks can't see, to a Hadoop file system (``s3a://bucket``) and returns the keys.
+
+    One file after another; failed ones are skipped with a warning. Folders that all machines see are for ``copy_tree``.
+    """
     import warnings
 
     jvm, done = spark.sparkContext._jvm, []
@@ -137,6 +198,84 @@ def upload(spark: SparkSession, local_dir: str, store: str, prefix: str = "") ->
     return done
 
 
+def _opened(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{os.path.abspath(uri)}")
+
+
+#: What is known of every copied file; error is null where it went well.
+MANIFEST = "key string, bytes long, modified long, sha256 string, error string"
+
+
+def listed(spark: SparkSession, source: str) -> DataFrame:
+    """(path, bytes, modified) of all files under a folder that all machines see, relative to it; hidden ones too. ValueError if it isn't one.
+
+    The driver lists the folder's own entries; tasks list what is under its subfolders.
+    """
+    from pyarrow import fs
+
+    store, base = _opened(source)
+    if store.get_file_info(base).type != fs.FileType.Directory:
+        raise ValueError(f"not a directory: {source}")
+    below = [i.base_name for i in store.get_file_info(fs.FileSelector(base))]
+    tops = spark.createDataFrame([(n,) for n in below], "name string").repartition(max(1, min(len(below), 1000)))
+
+    def run(frames):
+        import pandas as pd
+
+        at, root = _opened(source)
+        for frame in frames:
+            for name in frame["name"]:
+                own = at.get_file_info(f"{root}/{name}")
+                found = [own] if own.type == fs.FileType.File else [i for i in at.get_file_info(fs.FileSelector(own.path, recursive=True)) if i.type == fs.FileType.File]
+                yield pd.DataFrame({"path": [i.path[len(root) :].lstrip("/") for i in found], "bytes": [i.size for i in found], "modified": [i.mtime_ns or 0 for i in found]})
+
+    return tops.mapInPandas(run, "path string, bytes long, modified long")
+
+
+def copy_tree(spark: SparkSession, source: str, store: str, manifest: str, prefix: str = "", tasks: int = 64) -> DataFrame:
+    """Copies all files under ``source`` to ``store`` by tasks and returns the manifest's rows for them.
+
+    Keys are prefix and relative path. A file goes to a name of its own first and is then renamed, so a key holds a whole file or none, and a
+    task that is run again puts the same bytes in place. The manifest (Parquet, added to by every run) says what is there: files that it has with the same
+    size and time aren't copied again. A file that can't be copied has its error there and is tried by the next run; the others go on.
+    """
+    start = prefix.strip("/")
+    files = listed(spark, source).withColumn("key", F.concat(F.lit(f"{start}/" if start else ""), "path"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(manifest)
+    known = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    if known:
+        done = spark.read.schema(MANIFEST).parquet(manifest).where("error IS NULL").select("key", "bytes", "modified")
+        files = files.join(done, ["key", "bytes", "modified"], "left_anti")
+
+    def run(frames):
+        import hashlib
+
+        import pandas as pd
+
+        (own, base), (to, out) = _opened(source), _opened(store)
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples():
+                target, error, digest = f"{out}/{r.key}", None, hashlib.sha256()
+                part = f"{target}.{uuid.uuid4().hex}.part"
+                try:
+                    to.create_dir(target.rpartition("/")[0], recursive=True)
+                    with own.open_input_stream(f"{base}/{r.path}") as given, to.open_output_stream(part) as taken:
+                        while block := given.read(1 << 20):
+                            digest.update(block)
+                            taken.write(block)
+                    to.move(part, target)
+                except Exception as e:  # one file's failure leaves the others
+                    error = str(e)
+                rows.append((r.key, r.bytes, r.modified, None if error else digest.hexdigest(), error))
+            yield pd.DataFrame(rows, columns=["key", "bytes", "modified", "sha256", "error"])
+
+    files.repartition(tasks, "key").mapInPandas(run, MANIFEST).write.mode("append").parquet(manifest)
+    return spark.read.schema(MANIFEST).parquet(manifest)
+
+
 def size_report(spark: SparkSession, path: str, rows: int) -> tuple[int, float | None]:
     """Bytes under a path of any Hadoop file system, and bytes per row (None without rows)."""
     jvm = spark.sparkContext._jvm
