@@ -1,15 +1,18 @@
 """Addressees from a model's replies: prompts, a pluggable provider, the reply parser.
 
 No provider calls a network. ``replay`` joins stored replies; ``call`` runs any
-provider in ``mapInPandas``, with a pause after every few calls of a task.
+provider in ``mapInPandas``, with a pause after every few calls of a task; ``ask_missing`` keeps replies in a
+store by digest of the prompt, so that runs can be stopped and taken up again, and ``answered`` reads them from there.
 """
 
 from __future__ import annotations
 
+import os
 import time
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloq.config import DEFAULT, NO_REASON, Settings
@@ -136,6 +139,72 @@ def call(asked: DataFrame, provider: Callable[[str], str | None], per_pause: int
     return asked.mapInPandas(run, T.StructType([*asked.schema.fields, T.StructField("reply", T.StringType())])).where("reply IS NOT NULL")
 
 
+#: What a store of replies holds.
+REPLIES = "digest string, reply string"
+
+
+def digest(prompt: Column) -> Column:
+    return F.sha2(prompt.cast("binary"), 256)
+
+
+def stored(spark: SparkSession, store: str) -> DataFrame:
+    """(digest, reply) of a store, one for each digest; none if it isn't there yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], REPLIES)
+    rows = spark.read.schema(REPLIES).option("recursiveFileLookup", "true").parquet(store)
+    return rows.groupBy("digest").agg(F.min("reply").alias("reply"))
+
+
+def ask_missing(asked: DataFrame, provider: Callable[[str], str | None], store: str, per_pause: int = CALLS_PER_PAUSE, pause: float = PAUSE_SECONDS, callers: int = 4) -> None:
+    """Asks for the prompts that a store has no reply to, each different one once, and puts the replies there.
+
+    A task writes its replies every ``per_pause`` answers, under a name that readers see only when the file is whole, so a run that is stopped loses
+    at most that many of each task and the next one asks for the rest. A call that fails or gives None isn't stored, and is
+    made again by the next run. There are ``callers`` tasks at most, and each rests ``callers`` times as long, so all of them together make no
+    more than ``per_pause`` calls in ``pause`` seconds.
+    """
+    prompts = asked.select(digest(F.col("prompt")).alias("digest"), "prompt").where("prompt IS NOT NULL").dropDuplicates(["digest"])
+    missing = prompts.join(stored(asked.sparkSession, store), "digest", "left_anti").repartition(callers, "digest")
+
+    def run(rows):
+        from pyarrow import Table, fs, parquet
+
+        to, base = fs.FileSystem.from_uri(store if "://" in store else f"file://{os.path.abspath(store)}")
+        to.create_dir(base, recursive=True)
+        answers: list[tuple[str, str]] = []
+
+        def put():
+            name = uuid.uuid4().hex
+            table = Table.from_pydict({"digest": [d for d, _ in answers], "reply": [r for _, r in answers]})
+            with to.open_output_stream(f"{base}/_{name}") as out:
+                parquet.write_table(table, out)
+            to.move(f"{base}/_{name}", f"{base}/{name}.parquet")
+            answers.clear()
+
+        for r in rows:
+            try:
+                reply = provider(r.prompt)
+            except Exception:  # one failed call loses one prompt
+                reply = None
+            if reply is None:
+                continue
+            answers.append((r.digest, reply))
+            if len(answers) == per_pause:
+                put()
+                if pause:
+                    time.sleep(pause * callers)
+        if answers:
+            put()
+
+    missing.foreachPartition(run)
+
+
+def answered(asked: DataFrame, store: str) -> DataFrame:
+    """Adds reply from a store; rows whose prompt has none are skipped."""
+    return asked.withColumn("digest", digest(F.col("prompt"))).join(stored(asked.sparkSession, store), "digest").drop("digest")
+
+
 def parsed(rows: DataFrame) -> DataFrame:
     """Adds addressee, confidence and reason to rows with reply and all_speakers."""
     # Python's \s holds all white space and its dot stops at a line feed only.

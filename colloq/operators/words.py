@@ -70,18 +70,19 @@ def _asked(acts: DataFrame) -> DataFrame:
     none = F.lit(0).cast("long")
     whole = lambda stem, mine, raw: run(stem, F.col("first"), F.col("last"), none, mine, raw)
     ranges = F.when(F.col("stem") == own, F.array(whole(own, True, True))).otherwise(F.array(whole(own, True, False), whole(F.col("stem"), False, True)))
-    in_range = refs.where("in_range AND first <= last").select(*keys, "in_range", F.explode_outer(ranges).alias("run"))
 
     def single(id: Column, pos: Column, mine: bool, raw: bool) -> Column:
         stem, n = _place(id)
         return run(stem, n, n, pos.cast("long"), mine, raw)
 
-    each = refs.where("NOT in_range").select(*keys, "in_range", F.posexplode("ids").alias("pos", "id"))
-    renamed = F.when(F.col("id").contains("words"), F.concat(own, F.substring_index("id", "words", -1))).otherwise(F.col("id"))
-    pos, id = F.col("pos"), F.col("id")
-    ways = F.when(renamed == id, F.array(single(id, pos, True, True))).otherwise(F.array(single(renamed, pos, True, False), single(id, pos, False, True)))
-    rows = in_range.unionByName(each.select(*keys, "in_range", F.explode_outer(ways).alias("run")))
-    return rows.select(*keys, "in_range", "run.*")
+    def ways(id: Column, pos: Column) -> Column:
+        renamed = F.when(id.contains("words"), F.concat(own, F.substring_index(id, "words", -1))).otherwise(id)
+        return F.when(renamed == id, F.array(single(id, pos, True, True))).otherwise(F.array(single(renamed, pos, True, False), single(id, pos, False, True)))
+
+    up = F.when(F.col("first") <= F.col("last"), ranges)
+    runs = F.when(F.col("in_range"), up).otherwise(F.flatten(F.transform("ids", ways)))
+    # Outer, and filtered on what comes out, so that nothing asks for the arrays beforehand and computes them again.
+    return refs.select(*keys, "in_range", F.explode_outer(runs).alias("run")).where("run IS NOT NULL").select(*keys, "in_range", "run.*")
 
 
 def act_texts(acts: DataFrame, words: DataFrame) -> DataFrame:
@@ -116,7 +117,9 @@ def act_texts(acts: DataFrame, words: DataFrame) -> DataFrame:
     text = strip(F.array_join(F.col("found.text"), " "))
     time = lambda f, c: F.coalesce(f(F.filter(F.col(f"found.{c}"), lambda t: t != 0.0)), F.lit(0.0))
     rows = found.select(*keys, "doc_order", text.alias("text"), time(F.array_min, "starttime").alias("starttime"), time(F.array_max, "endtime").alias("endtime"))
-    return rows.where("text <> ''")
+    # Not a filter on text, which would move below the arrays and compute them within each other.
+    some = F.explode_outer(F.when(F.col("text") != "", F.array(F.struct("text", "starttime", "endtime")))).alias("act")
+    return rows.select(*keys, "doc_order", some).where("act IS NOT NULL").select(*keys, "doc_order", "act.*")
 
 
 def assembled(acts: DataFrame, words: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from colloq.operators import quality as Q
 from colloq.operators.balance import selected
 from colloq.operators.decisions import decision_points, points_of
 from colloq.operators.formatting import intermediate, training_text
-from colloq.operators.inference import call, parsed, prompts, unaddressed
+from colloq.operators.inference import answered, ask_missing, call, parsed, prompts, unaddressed
 from colloq.operators.labels import POSITION, categorized, reason
 from colloq.operators.quality import filtered
 from colloq.operators.sequences import explicit_sequences, inferred_sequences
@@ -28,14 +28,31 @@ def corpus_acts(spark: SparkSession, folder: str, settings: Settings = DEFAULT,
     return indexed(assembled(refs, corpus.words(spark, folder)))
 
 
-def sequences(acts: DataFrame, speakers: DataFrame | None = None, provider: Callable[[str], str | None] | None = None, settings: Settings = DEFAULT, pause: float = 0.0) -> DataFrame:
-    """Explicit sequences, and inferred ones if there is a provider of replies."""
+def sequences(
+    acts: DataFrame,
+    speakers: DataFrame | None = None,
+    provider: Callable[[str], str | None] | None = None,
+    settings: Settings = DEFAULT,
+    pause: float = 0.0,
+    store: str | None = None,
+    callers: int = 4,
+) -> DataFrame:
+    """Explicit sequences, and inferred ones if there is a provider of replies or a store of them.
+
+    With a store, prompts that it has a reply to aren't asked again, and new replies are kept there.
+    """
     explicit = explicit_sequences(acts, settings)
-    if provider is None:
+    if provider is None and store is None:
         return explicit
     timeline = unaddressed(acts, settings)
-    replies = parsed(call(prompts(timeline, speakers if speakers is not None else acts, settings), provider, pause=pause))
-    return explicit.unionByName(inferred_sequences(timeline, replies.select("meeting_id", "idx", "addressee", "confidence", "reason"), settings))
+    asked = prompts(timeline, speakers if speakers is not None else acts, settings)
+    if store is None:
+        replies = call(asked, provider, pause=pause)
+    else:
+        if provider is not None:
+            ask_missing(asked, provider, store, pause=pause, callers=callers)
+        replies = answered(asked, store)
+    return explicit.unionByName(inferred_sequences(timeline, parsed(replies).select("meeting_id", "idx", "addressee", "confidence", "reason"), settings))
 
 
 def samples(found: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
