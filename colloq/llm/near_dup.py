@@ -264,22 +264,30 @@ def prefixes(rows: DataFrame, percent: int) -> DataFrame:
                 )
 
     each = rows.mapInArrow(lean(run), "g long, x binary, root binary, outside boolean, nx long, nr long, na long, nl long, cost long, key long, has boolean, first long")
-    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    # Keys of one class only come first in the order, as those of one member do: they make no pair of two classes.
+    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "k")
     shared = each.join(counts, "key")
     own = ["x", "root", "outside", "nx", "nr", "na", "nl", "cost", "has"]
-    # Elements that no other member has come first in the order and meet nobody.
+    # Elements that no member of another class has come first in the order and meet nobody.
     taken = F.col("first") - (F.when(F.col("has"), F.col("na")).otherwise(F.col("nl")) - F.size("keys"))
     kept = shared.groupBy("g", *own, "first").agg(F.sort_array(F.collect_list(F.struct("k", "key"))).alias("keys")).where(taken > 0)
     return kept.select(*own, F.explode(F.slice("keys", F.lit(1), taken.cast("int"))["key"]).alias("key"))
 
 
+def crossing(rows: DataFrame) -> DataFrame:
+    """Rows that are outside the main class with those of every other class that share a key, as columns y_; members of one class don't meet."""
+    y = rows.select(*[F.col(c).alias(f"y_{c}") for c in ("x", "root", "outside", "nx", "na", "nl", "cost")], "key")
+    kinds = rows.select("key", F.col("root").alias("y_root")).distinct()
+    asked = rows.where("outside").join(kinds, "key").where("root <> y_root")
+    return asked.join(y, ["key", "y_root"])
+
+
 def possible_links(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b, na, nb, ra, rb) of different classes that share a key and whose counts allow a link."""
-    y = rows.select(*[F.col(c).alias(f"y_{c}") for c in ("x", "root", "outside", "nx", "na", "nl", "cost")], "key")
     common = F.least("nl", "y_nl") + F.when(F.col("has"), F.least("na", "y_na")).otherwise(F.lit(0))
-    fits = (F.col("root") != F.col("y_root")) & (100 * F.least("nx", "y_nx") >= percent * F.greatest("nx", "y_nx"))
+    fits = 100 * F.least("nx", "y_nx") >= percent * F.greatest("nx", "y_nx")
     fits = fits & (F.col("cost") + F.col("y_cost") - (100 - percent) * F.col("nr") <= (100 + percent) * common)
-    both = rows.where("outside").join(y, "key").where(fits & (~F.col("y_outside") | (F.col("x") < F.col("y_x"))))
+    both = crossing(rows).where(fits & (~F.col("y_outside") | (F.col("x") < F.col("y_x"))))
     own = F.col("x") < F.col("y_x")
     pick = lambda a, b: F.when(own, F.col(a)).otherwise(F.col(b))
     return both.select(
