@@ -8,8 +8,9 @@ of language, so that a text of several languages falls into spans. The text's
 language is the one whose spans hold most letters (of equals, the first by name).
 
 The counts come from a sample of at most about ``MAX_LETTERED`` documents per
-language, of ``MAX_LANGUAGES`` at most, by a hash of the id; they are summed on the executors and have a fixed
-number of cells, which bounds what is collected and broadcast.
+language, by a hash of the id; every language is learned. Counts are summed on the executors in ``MODEL_CELLS`` cells at most for all languages together (``CELLS`` for
+each of them, or as many fewer as there are more languages), which bounds what is collected and broadcast. Scores are made for
+``SLICE`` words at a time and of the ways only a bit for each word and language is kept, so a very long text in many languages takes little memory.
 
 Defined results: a null text or one without letters is ``und`` with score 0, as is every
 text if nothing could be learned; words of a script that no learned language uses keep all
@@ -31,9 +32,11 @@ from colloq.llm.shingles import blocks, mix
 
 #: Documents to learn a language from, about: a share of each language by a hash.
 MAX_LETTERED = 1500
-#: Languages that are learned: those with most documents, of equals the first by name.
-MAX_LANGUAGES = 250
+#: Cells of trigrams for one language (a power of two), and for all together; with more than 64 languages each has fewer.
 CELLS = 1 << 16
+MODEL_CELLS = 1 << 22
+#: Scores (words times languages) that are made at once.
+SLICE = 1 << 20
 SWITCH = 12.0
 #: First code points of scripts' ranges and the scripts (fixed values of Unicode blocks).
 SCRIPTS = (
@@ -85,20 +88,35 @@ class Words:
         self.script = _SCRIPT[np.searchsorted(_FIRST, raw[self.start], "right") - 1]
 
 
+def cells_for(languages: int) -> int:
+    """Cells for each of so many languages: ``CELLS``, halved until all fit into ``MODEL_CELLS``, but 64 at least."""
+    cells = CELLS
+    while cells > 64 and cells * languages > MODEL_CELLS:
+        cells //= 2
+    return cells
+
+
 class Model:
     def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray):
         """counts: by cell and language; scripts: words by script and language."""
-        self.langs = langs
+        self.langs, self.cells = langs, len(counts)
         total = counts.sum(0, keepdims=True)
-        self.log = np.log((counts + 0.5) / (total + 0.5 * CELLS)).astype("float32")
+        self.log = np.log((counts + 0.5) / (total + 0.5 * self.cells)).astype("float32")
         share = scripts / np.maximum(1, scripts.sum(0, keepdims=True))
         self.uses = share >= 0.001
         self.uses[~self.uses.any(1)] = True
 
+    def scores(self, words: Words, chosen: np.ndarray) -> np.ndarray:
+        """Of some words by number and of every language."""
+        size = words.size[chosen]
+        first = np.cumsum(size) - size
+        letter = np.repeat(words.first[chosen] - first, size) + np.arange(int(size.sum()))
+        out = np.add.reduceat(self.log[words.cell[letter] % self.cells], first, axis=0)
+        out[~self.uses[words.script[chosen]]] = -1e9
+        return out
+
     def labels(self, words: Words) -> np.ndarray:
         """The language of every word, by number."""
-        score = np.add.reduceat(self.log[words.cell], words.first, axis=0)
-        score[~self.uses[words.script]] = -1e9
         n, size = np.diff(words.bounds), len(self.langs)
         order = np.argsort(-n, kind="stable")
         order = order[n[order] > 0]
@@ -106,24 +124,35 @@ class Model:
         steps = int(left[0]) if len(left) else 0
         active = np.searchsorted(-left, -np.arange(steps), "left")  # texts with a word at this step
         best = np.zeros((len(order), size), "float32")
-        came = np.empty(score.shape, "uint8" if size < 256 else "int32")
-        own = np.arange(size)
-        for t in range(steps):
-            m = int(active[t])
-            b, rows = best[:m], begin[:m] + t
-            top = b.argmax(1)
-            switched = np.take_along_axis(b, top[:, None], 1) - np.float32(SWITCH)
-            stay = b >= switched
-            came[rows] = np.where(stay, own, top[:, None])
-            best[:m] = np.where(stay, b, switched) + score[rows]
-            best[:m] -= best[:m].max(1, keepdims=True)
+        stayed = np.empty((len(words.start), -(-size // 8)), "uint8")
+        above = np.empty(len(words.start), "int32")
+        at, most = 0, max(1, SLICE // size)
+        while at < steps:
+            # As many steps as have about so many words.
+            to = at + max(1, int(np.searchsorted(np.cumsum(active[at : at + most]), most, "right")))
+            to = min(to, steps)
+            rows = [begin[: int(active[t])] + t for t in range(at, to)]
+            score = self.scores(words, np.concatenate(rows))
+            done = 0
+            for own in rows:
+                m = len(own)
+                b = best[:m]
+                top = b.argmax(1)
+                switched = np.take_along_axis(b, top[:, None], 1) - np.float32(SWITCH)
+                stay = b >= switched
+                stayed[own], above[own] = np.packbits(stay, axis=1), top
+                best[:m] = np.where(stay, b, switched) + score[done : done + m]
+                best[:m] -= best[:m].max(1, keepdims=True)
+                done += m
+            at = to
         out = np.empty(len(words.start), "int64")
         now = best.argmax(1)
         for t in range(steps - 1, -1, -1):
             m = int(active[t])
-            rows = begin[:m] + t
-            out[rows] = now[:m]
-            now[:m] = came[rows, now[:m]]
+            own, label = begin[:m] + t, now[:m]
+            out[own] = label
+            kept = (stayed[own, label >> 3] >> (7 - (label & 7)).astype("uint8")) & 1
+            now[:m] = np.where(kept, label, above[own])
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[list[tuple[int, int, str]]]]:
@@ -133,12 +162,16 @@ class Model:
             return ["und"] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
         label = self.labels(words)
         owner = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
-        letters = np.zeros((len(texts), len(self.langs)))
-        np.add.at(letters, (owner, label), words.size)
-        total = letters.sum(1)
-        pick = letters.argmax(1)
+        total = np.bincount(owner, words.size, len(texts))
+        # Letters of each (text, language) that occurs; the first of a text's largest has the first name.
+        pair, of = np.unique(owner * len(self.langs) + label, return_inverse=True)
+        letters = np.bincount(of, words.size)
+        best = np.lexsort((pair, -letters, pair // len(self.langs)))
+        text, head = np.unique((pair // len(self.langs))[best], return_index=True)
+        pick, most = np.zeros(len(texts), "int64"), np.zeros(len(texts))
+        pick[text], most[text] = (pair % len(self.langs))[best[head]], letters[best[head]]
         lang = [self.langs[k] if n else "und" for k, n in zip(pick, total)]
-        score = letters[np.arange(len(texts)), pick] / np.maximum(total, 1)
+        score = most / np.maximum(total, 1)
         new = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (owner[1:] != owner[:-1])])
         last = np.r_[new[1:], len(label)] - 1
         base = np.cumsum([1, *(len(t or "") + 1 for t in texts)])
@@ -152,42 +185,41 @@ class Model:
 def fit(docs: DataFrame, most: int = MAX_LETTERED) -> Model:
     """Learns from documents (doc_id, text, lang), about ``most`` of each language."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    known = known.where(F.col("lang").isin(*sizes))
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     langs = sorted(sizes)
+    cells = cells_for(len(langs))
     if not langs:
-        return Model([], np.zeros((CELLS, 0)), np.zeros((len(SCRIPT_NAMES), 0)))
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, most / sizes[k]))])[F.col("lang")]
-    chosen = known.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))), F.lit(1 << 20)) < share * (1 << 20))
+        return Model([], np.zeros((cells, 0)), np.zeros((len(SCRIPT_NAMES), 0)))
+    # A row for each language.
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, most / sizes[k])) for k in langs], "lang string, share double")
+    known = known.join(F.broadcast(shares), "lang")
+    chosen = known.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     number = {k: i for i, k in enumerate(langs)}
 
     def run(batches):
-        seen: dict[int, np.ndarray] = {}
+        seen = np.zeros(len(langs) * cells, "int64")
         scripts = np.zeros((len(SCRIPT_NAMES), len(langs)), "int64")
         for (lang,), texts in blocks(batches):
             words = Words(texts)
             n = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
             of = np.array([number[k] for k in lang], "int64")[n] if len(n) else n
             np.add.at(scripts, (words.script, of), 1)
-            by_letter = np.repeat(of, words.size)
-            for k in np.unique(of).tolist():
-                seen.setdefault(k, np.zeros(CELLS, "int64"))
-                seen[k] += np.bincount(words.cell[by_letter == k], minlength=CELLS)
-        for k, counts in seen.items():
-            cell = np.flatnonzero(counts)
-            used = np.flatnonzero(scripts[:, k])
+            seen += np.bincount(np.repeat(of, words.size) * cells + words.cell % cells, minlength=len(seen))
+        for k in np.flatnonzero(scripts.any(0)).tolist():
+            counts = seen[k * cells : (k + 1) * cells]
+            cell, used = np.flatnonzero(counts), np.flatnonzero(scripts[:, k])
             n = len(cell) + len(used)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, k, "int32")), pa.array(np.r_[cell, CELLS + used].astype("int32")), pa.array(np.r_[counts[cell], scripts[used, k]])], ["k", "cell", "n"]
+                [pa.array(np.full(n, k, "int32")), pa.array(np.r_[cell, cells + used].astype("int32")), pa.array(np.r_[counts[cell], scripts[used, k]])], ["k", "cell", "n"]
             )
 
     # As many rows as there are cells and languages, whatever the input.
     sums = chosen.select("lang", "text").mapInArrow(run, "k int, cell int, n long").groupBy("k", "cell").agg(F.sum("n").alias("n")).toArrow()
     k, cell, n = (sums[c].to_numpy() for c in ("k", "cell", "n"))
-    counts, scripts = np.zeros((CELLS, len(langs))), np.zeros((len(SCRIPT_NAMES), len(langs)))
-    word = cell >= CELLS
+    counts, scripts = np.zeros((cells, len(langs))), np.zeros((len(SCRIPT_NAMES), len(langs)))
+    word = cell >= cells
     counts[cell[~word], k[~word]] = n[~word]
-    scripts[cell[word] - CELLS, k[word]] = n[word]
+    scripts[cell[word] - cells, k[word]] = n[word]
     return Model(langs, counts, scripts)
 
 
