@@ -5,7 +5,7 @@
 2. Three labelers vote on every span: a strict pattern of its kind, a gazetteer (known
    prefixes, providers, codes) and the words before it. A vote is 1, 0 or -1 (abstains).
 3. Expectation maximisation over the counts of (kind, votes), a table of bounded size,
-   estimates each labeler's reliability without labels, and with them how likely each pattern of votes is true.
+   estimates each labeler's reliability for each kind without labels, and with them how likely each pattern of votes is true.
 4. These soft labels train the final classifier: naive Bayes over a span's own traits (kind,
    length, share of digits, case, marks, votes), from a table of counts that is bounded too.
    Spans of further kinds stay if it finds them more likely than not; base spans always stay.
@@ -208,12 +208,13 @@ def train(counts: list[tuple], rounds: int = ROUNDS) -> tuple[dict[str, float],
     for *traits, n in counts:
         key = tuple(traits[: 1 + len(VOTES)])
         patterns[key] = patterns.get(key, 0.0) + n
-    share, chance = reliabilities(patterns, rounds)
-    total = {k: [1.0, 1.0] for k in share}
+    # Each kind by itself: how far a labeler is to be trusted on secrets doesn't follow from telephone numbers that all of them agree on.
+    learned = {kind: reliabilities({k: n for k, n in patterns.items() if k[0] == kind}, rounds) for kind in {k[0] for k in patterns}}
+    total = {k: [1.0, 1.0] for k in learned}
     seen: dict[tuple[str, str, object], list[float]] = {}
     for *traits, n in counts:
-        p = posterior(tuple(traits[: 1 + len(VOTES)]), share, chance)
         kind = traits[0]
+        p = posterior(tuple(traits[: 1 + len(VOTES)]), *learned[kind])
         for cell in (total[kind], *(seen.setdefault((kind, name, v), [0.0, 0.0]) for name, v in zip(TRAITS[1:], traits[1:]))):
             cell[1] += n * p
             cell[0] += n * (1 - p)
@@ -239,7 +240,8 @@ def log_odds(model: tuple[dict[str, float], dict[tuple[str, str, object], float]
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """(id, kind, start, end, base): all spans of distinct texts, by content key."""
-    cands = written(voted(valid(matches(docs))), "spans")
+    # Traits and places only: no personal data stands in the shared folder.
+    cands = written(voted(valid(matches(docs))).select("id", "start", "end", *TRAITS), "spans")
     # Bounded: kinds, votes and coarse traits.
     counts = [tuple(r) for r in cands.groupBy(*TRAITS).count().collect()]
     model = train(counts)
