@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,18 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _temporary() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="colloq-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and Spark runs on one
-    machine, as in tests, a temporary folder is made and the setting filled in.
+    machine, as in tests, a temporary folder is made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
-        found = "file://" + tempfile.mkdtemp(prefix="colloq-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _temporary()
     return found.rstrip("/")
 
 
@@ -49,13 +54,23 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def passing(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which the file system deletes when the session ends, whatever became of the job."""
+    path = fresh_path(spark, name)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     Cuts lineage in a way that outlives executors, and fixes what a later
-    evaluation would otherwise compute anew (sampled ranges, batch bounds).
+    evaluation would otherwise compute anew (sampled ranges, batch bounds). The table lasts as long as the session.
     """
-    return _stored(df, fresh_path(df.sparkSession, name))
+    return _stored(df, f"{passing(df.sparkSession, name)}/rows")
 
 
 def lean(run):
@@ -80,7 +95,7 @@ class Scratch:
     """Tables in one shared folder that only the steps in between need; each goes when it has been read for the last time."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path, self.made = spark, fresh_path(spark, name), 0
+        self.spark, self.path, self.made = spark, passing(spark, name), 0
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         self.made += 1
