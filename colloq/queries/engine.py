@@ -58,6 +58,12 @@ def speaker_fallback(spark, d):
     return T.with_speakers(rows.select("meeting_id").distinct(), known).select("meeting_id", F.array_join("all_speakers", ",").alias("speakers"))
 
 
+def speaker_fallback_all(spark, d):
+    """Over all acts: known are those who address someone."""
+    rows = acts(spark, d)
+    return T.with_speakers(rows.select("meeting_id").distinct(), rows.where("has_explicit_addressee")).select("meeting_id", F.array_join("all_speakers", ",").alias("speakers"))
+
+
 def participants(spark, d):
     return Q.candidates(acts(spark, d)).select("meeting_id", "idx", F.array_join(F.array_sort("participants"), ",").alias("participants"))
 
@@ -399,14 +405,28 @@ def act_text_time(spark, d):
     return WR.act_texts(acts, words).select("meeting_id", "doc_order", "text", "starttime", "endtime")
 
 
+def word_references(spark, d):
+    """Ranges short and long, single ids, three ids, a range that counts down, and two references in one act."""
+    acts, words = _word_tables(spark, d)
+    n = F.col("doc_order") + 1
+    id = lambda k: F.concat(F.lit("id("), "meeting_id", F.lit(".A.words"), (n + k).cast("string"), F.lit(")"))
+    file = lambda *parts: F.concat(F.lit("D.A.words.xml#"), *parts)
+    until = lambda a, b: file(id(a), F.lit(".."), id(b))
+    refs = {0: [until(0, 6)], 1: [file(id(0))], 2: [file(id(0), F.lit(" "), id(2), F.lit(" "), id(4))], 3: [until(6, 0)], 4: [until(0, 2), file(id(5))], 5: [until(0, 399)]}
+    kind, own = F.floor(F.col("doc_order") / 7) % 6, F.array().cast("array<string>")
+    for k, named in refs.items():
+        own = F.when(kind == k, F.array(*named)).otherwise(own)
+    return WR.act_texts(acts.withColumn("refs", own), words).select("meeting_id", "doc_order", "text")
+
+
 NAMES = (
-    "acts_timeline meeting_discovery discovered_acts meeting_speakers speaker_fallback participants context_window response_lookahead continuation "
+    "acts_timeline meeting_discovery discovered_acts meeting_speakers speaker_fallback speaker_fallback_all participants context_window response_lookahead continuation "
     "sequences_explicit sequences_per_meeting sequence_stats sequence_head quality_acts stride_sample capped_sample prompt_context parse_model_reply "
     "sequences_inferred merge_sequences meeting_source_pivot confidence_histogram merge_expansion call_cost model_inference_replay sequence_speakers "
     "decision_points dp_turn_type_counts dp_stats dp_heads labels_reasons recent_flags mention_flags incomplete_flags categories sample_categories "
     "category_confidence_crosstab addressed_spoke_rate category_head2 filler_flags quality_filter_documents normalize_text quality_filter_samples signatures "
     "dedup_keep_best category_availability class_targets category_quotas balanced_samples balanced_distribution intermediate_samples training_text "
     "overview decision_distribution category_distribution confidence_grid context_stats context_histogram duplicate_audit samples_per_meeting "
-    "stratified_examples word_resolution act_text_time"
+    "stratified_examples word_resolution word_references act_text_time"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloq.config import DEFAULT, DECISIONS
+from colloq.config import CONFIDENCES, DEFAULT, DECISIONS
 from colloq.operators import balance as B
 from colloq.operators import formatting as FM
 from colloq.operators import inference as I
@@ -102,6 +102,47 @@ def statistics_document(spark, d):
     return r.select(F.explode(F.concat(F.array(*one), named, F.map_entries("samples_per_meeting"))).alias("e")).select(F.col("e.key").alias("key"), F.col("e.value").alias("value"))
 
 
+def statistics_figures(spark, d):
+    """What the statistics document holds beside its counts: shares, grids, extents, and its lists in order."""
+    path = f"{_folder(spark)}/statistics.json"
+    report.write_statistics(kept(E._flat(spark, d), "flat"), path)
+    grid = "struct<high:double,medium:double,low:double>"
+    share = "struct<count:double,percentage:double>"
+    schema = (
+        "dataset_overview struct<samples_per_sequence:double,meetings:array<string>,speakers:array<string>>, "
+        "decision_distribution struct<speak_percentage:double,silent_percentage:double,silent_to_speak_ratio:double>, "
+        "category_distribution map<string,struct<percentage:double,name:string>>, "
+        f"confidence_distribution struct<overall:struct<high:{share},medium:{share},low:{share}>,by_decision:struct<SPEAK:{grid},SILENT:{grid}>>, "
+        "context_statistics struct<average_turns:double,min_turns:double,max_turns:double,samples_with_no_context:double>, "
+        "duplicate_analysis struct<duplicate_decision_points:double,duplicate_context_current_pairs:double>"
+    )
+    r = files.read_array(spark, path, schema)
+    pair = lambda key, value: F.struct(F.lit(key).alias("key"), F.col(value).alias("value"))
+    own = [pair(c.split(".")[1], c) for c in (
+        "dataset_overview.samples_per_sequence", "decision_distribution.speak_percentage", "decision_distribution.silent_percentage", "decision_distribution.silent_to_speak_ratio",
+        "context_statistics.average_turns", "context_statistics.min_turns", "context_statistics.max_turns", "context_statistics.samples_with_no_context",
+        "duplicate_analysis.duplicate_decision_points", "duplicate_analysis.duplicate_context_current_pairs",
+    )]
+    for k in CONFIDENCES:
+        own += [pair(f"overall {k}", f"confidence_distribution.overall.{k}.count"), pair(f"overall percentage {k}", f"confidence_distribution.overall.{k}.percentage")]
+        own += [pair(f"{x} {k}", f"confidence_distribution.by_decision.{x}.{k}") for x in DECISIONS]
+    named = F.transform(F.map_entries("category_distribution"), lambda e: F.struct(F.concat(F.lit("percentage "), e["key"], F.lit(" "), e["value"]["name"]).alias("key"), e["value"]["percentage"].alias("value")))
+    placed = lambda c: F.transform(f"dataset_overview.{c}s", lambda x, i: F.struct(F.concat(F.lit(f"{c} "), x).alias("key"), (i + 1).cast("double").alias("value")))
+    lists = [placed("meeting"), placed("speaker")]
+    return r.select(F.explode(F.concat(F.array(*own), named, *lists)).alias("e")).select(F.col("e.key").alias("key"), F.col("e.value").alias("value"))
+
+
+def example_bodies(spark, d):
+    """Every example of the report, whole: its heading, context, turn and labels."""
+    path = f"{_folder(spark)}/sample_examples.txt"
+    sinks.write_text(spark, sinks.example_report(S.stratified_examples(E._flat(spark, d))), path)
+    body = F.explode(F.split("value", r"\n(?=Example [0-9]+:\n-{70}\n)"))
+    rows = spark.read.text(path, wholetext=True).select(body.alias("body")).where(F.col("body").startswith("Example "))
+    # What follows the reason of a category's last example is the next heading.
+    whole = F.regexp_extract("body", r"(?s)^(.*?\nReason: [^\n]*)", 1)
+    return rows.select(F.regexp_extract("body", r"\nSample ID: ([0-9]+)\n", 1).cast("long").alias("sample_id"), F.md5(whole.cast("binary")).alias("body"))
+
+
 def example_lines(spark, d):
     """Lines of the report that say what a sample is, with how often each comes."""
     path = f"{_folder(spark)}/sample_examples.txt"
@@ -165,6 +206,6 @@ def first_of_class(spark, d):
 
 NAMES = (
     "xml_meeting_speakers xml_words xml_act_refs xml_discovery xml_acts json_lines_sequences json_array_sequences json_dispatch file_per_sample summary_document "
-    "statistics_document example_lines uploaded_objects size_metrics merge_head one_meeting filtered_examples balanced_confidence first_of_class"
+    "statistics_document statistics_figures example_lines example_bodies uploaded_objects size_metrics merge_head one_meeting filtered_examples balanced_confidence first_of_class"
 ).split()
 E.QUERIES.update({name: globals()[name] for name in NAMES})

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from colloq.config import CATEGORIES, DEFAULT
-from colloq.functions.text import FILLERS, SPACE, WORD
 from colloq.operators.formatting import INSTRUCTION, SYSTEM_PROMPT
 from colloq.operators.inference import PROMPT
 
-S = SPACE.replace(r"\x85", r"\x{85}").replace(r"\x1c", r"\x{1c}").replace(r"\x1f", r"\x{1f}")
-W = WORD
-FILLER = "^(?:" + "|".join(FILLERS).replace(r"\s", f"[{S}]") + ")$"
+# Fixed values, stated here again so that an error in the library's own shows: white space, word characters and filler utterances.
+S = r"\t-\r\x{1c}-\x{1f}\x{85}\p{Z}"
+W = r"\p{L}\p{N}_"
+FILLER = rf"^(?:mm+[{S}]*[-.]?[{S}]*hm+[{S}]*\.?|uh+[{S}]*[-.]?[{S}]*huh+[{S}]*\.?|um+[{S}]*\.?|uh+[{S}]*\.?|er+[{S}]*\.?|ah+[{S}]*\.?|oh+[{S}]*\.?|hm+[{S}]*\.?|\.)$"
 
 
 def q(text: str) -> str:
@@ -202,7 +202,9 @@ def sql(body: str) -> str:
         if word in STEPS:
             used(word, need)
     steps = [n for n in STEPS if n in need]
-    return ("WITH RECURSIVE " + ",\n".join(f"{n} AS ({STEPS[n]})" for n in steps) + "\n" if steps else "") + body
+    own = body.startswith("WITH ")
+    before = "WITH RECURSIVE " + ",\n".join(f"{n} AS ({STEPS[n]})" for n in steps) + (",\n" if own else "\n") if steps else ""
+    return before + (body.removeprefix("WITH ") if own and steps else body)
 
 
 def _seq(p: str, source: str, confidence: str, reason: str, explicit: str, table: str) -> str:
@@ -342,4 +344,28 @@ ORDER BY p.meeting_id, p.sequence_id LIMIT 12""",
 (length(prompt) % 11)::INT AS confidence, 'No explanation provided' AS reason FROM (SELECT meeting_id, idx, people, {_prompt} AS prompt FROM (
 SELECT *, coalesce(list({{'s': speaker, 't': text}}) OVER (PARTITION BY meeting_id ORDER BY idx ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), []) AS ctx FROM quiet) JOIN people USING (meeting_id))""",
 }
+BODIES |= {
+    "speaker_fallback_all": """SELECT p.meeting_id, coalesce(c.callers, 'A,B,C,D') AS speakers FROM people p
+LEFT JOIN (SELECT meeting_id, array_to_string(list_sort(list(DISTINCT speaker)), ',') AS callers FROM acts WHERE explicit GROUP BY 1) c USING (meeting_id)""",
+    "word_references": """SELECT 'D' || doc_id::VARCHAR AS meeting_id, first - 1 AS doc_order, string_agg(t.text, ' ' ORDER BY pos) AS text FROM (
+  SELECT doc_id, n AS first, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM (
+    SELECT doc_id, n, CASE (n - 1) // 7 % 6 WHEN 0 THEN range(n, n + 7) WHEN 1 THEN [n] WHEN 2 THEN [n, n + 2, n + 4] WHEN 3 THEN []::BIGINT[] WHEN 4 THEN [n, n + 1, n + 2, n + 5] ELSE range(n, n + 400) END AS ids
+    FROM tok WHERE n % 7 = 1)) a JOIN tok t USING (doc_id) WHERE t.n = a.id AND t.n % 5 <> 0 GROUP BY doc_id, first""",
+    "statistics_figures": f"""WITH d AS (SELECT count(*) AS n, count(*) FILTER (decision = 'SPEAK') AS a, count(*) FILTER (decision = 'SILENT') AS b, count(DISTINCT sequence_id) AS s FROM flat),
+l AS (SELECT {_length} AS n FROM flat)
+SELECT 'samples_per_sequence' AS key, n::DOUBLE / s AS value FROM d UNION ALL SELECT 'speak_percentage', a * 100.0::DOUBLE / n FROM d UNION ALL SELECT 'silent_percentage', b * 100.0::DOUBLE / n FROM d
+UNION ALL SELECT 'silent_to_speak_ratio', b::DOUBLE / a FROM d
+UNION ALL SELECT 'percentage ' || v.category || ' ' || v.name, count(f.category) * 100.0::DOUBLE / max(d.n) FROM {_kinds} CROSS JOIN d LEFT JOIN flat f USING (category) GROUP BY v.category, v.name
+UNION ALL SELECT 'overall ' || c, CASE WHEN c = 'high' THEN n ELSE 0 END FROM d, (VALUES ('high'), ('medium'), ('low')) x(c)
+UNION ALL SELECT 'overall percentage ' || c, CASE WHEN c = 'high' THEN 100.0 ELSE 0 END FROM (VALUES ('high'), ('medium'), ('low')) x(c)
+UNION ALL SELECT 'SPEAK ' || c, CASE WHEN c = 'high' THEN a ELSE 0 END FROM d, (VALUES ('high'), ('medium'), ('low')) x(c)
+UNION ALL SELECT 'SILENT ' || c, CASE WHEN c = 'high' THEN b ELSE 0 END FROM d, (VALUES ('high'), ('medium'), ('low')) x(c)
+UNION ALL SELECT 'average_turns', avg(n) FROM l UNION ALL SELECT 'min_turns', min(n) FROM l UNION ALL SELECT 'max_turns', max(n) FROM l UNION ALL SELECT 'samples_with_no_context', count(*) FILTER (n = 0) FROM l
+UNION ALL SELECT 'duplicate_decision_points', count(*) - count(DISTINCT decision_point_id) FROM flat UNION ALL SELECT 'duplicate_context_current_pairs', count(*) - count(DISTINCT (context, current_turn)) FROM flat
+UNION ALL SELECT 'meeting ' || meeting_id, row_number() OVER (ORDER BY meeting_id) FROM (SELECT DISTINCT meeting_id FROM flat)
+UNION ALL SELECT 'speaker ' || p, row_number() OVER (ORDER BY p) FROM (SELECT DISTINCT unnest(people) AS p FROM flat)""",
+    "example_bodies": """SELECT sample_id, md5('Example ' || rank::VARCHAR || ':' || chr(10) || repeat('-', 70) || chr(10) || 'Sample ID: ' || sample_id::VARCHAR || chr(10) || 'Meeting: ' || meeting_id || chr(10) || 'Target Speaker: ' || target_speaker
+|| chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Current Turn:' || chr(10) || current_turn || chr(10) || chr(10) || 'Decision: ' || decision || chr(10) || 'Confidence: ' || confidence || chr(10)
+|| 'Reason: ' || reason) AS body FROM told""",
+}
 ORACLE_SQL = {name: sql(body) for name, body in BODIES.items()}
