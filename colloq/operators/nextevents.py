@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloq.plans.tables import kept
+
 BLOCK = 64
 
 
@@ -30,10 +32,10 @@ class Index:
 
 
 def index(acts: DataFrame) -> Index:
-    """Of acts with idx; texts stay out of it."""
+    """Of acts with idx; texts stay out of it. Written, as every search reads it."""
     named = F.when(F.col("has_explicit_addressee"), F.array_sort(F.array_distinct("addressee")))
     turn = F.struct(F.col("idx").alias("k"), F.col("speaker").alias("s"), named.alias("a"))
-    leaves = acts.groupBy("meeting_id", block_of(F.col("idx")).alias("block")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    leaves = kept(acts.groupBy("meeting_id", block_of(F.col("idx")).alias("block")).agg(F.array_sort(F.collect_list(turn)).alias("turns")), "timeline")
     sets = F.filter("turns.a", lambda a: a.isNotNull())
     content = F.struct("block", F.array_distinct("turns.s").alias("speakers"), F.array_min(sets).alias("least"), F.array_max(sets).alias("most"))
     tops = leaves.groupBy("meeting_id").agg(F.array_sort(F.collect_list(content)).alias("blocks"))
@@ -48,10 +50,11 @@ def first_after(asked: DataFrame, of: Index, after: str, fits: Callable[[Column]
     own = asked.columns
     hit = F.get(F.filter("turns", lambda t: (t["k"] > F.col(after)) & fits(t)), F.lit(0))
     keyed = asked.withColumn("block", block_of(F.col(after) + 1))
-    near = keyed.join(of.leaves, ["meeting_id", "block"], "left").withColumn(name, hit)
+    # Written, as what was found and what wasn't go different ways.
+    near = kept(keyed.join(of.leaves, ["meeting_id", "block"], "left").select(*own, F.col("block").alias("__from"), hit.alias(name)), "searched")
     found = near.where(F.col(name).isNotNull()).select(*own, name)
     # The rest is few: searches that leave their block.
-    far = near.where(F.col(name).isNull()).select(*own, F.col("block").alias("__from")).join(of.tops, "meeting_id")
+    far = near.where(F.col(name).isNull()).select(*own, "__from").join(of.tops, "meeting_id")
     later = F.get(F.filter("blocks", lambda b: (b["block"] > F.col("__from")) & may_fit(b)), F.lit(0))["block"]
     far = far.select(*own, later.alias("block")).where("block IS NOT NULL").join(of.leaves, ["meeting_id", "block"])
     return found.unionByName(far.withColumn(name, hit).where(F.col(name).isNotNull()).select(*own, name))

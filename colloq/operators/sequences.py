@@ -39,7 +39,7 @@ def spans(found: DataFrame, acts: DataFrame, stop_at_new_addressee: bool = True)
     outside = lambda b: F.size(F.array_except(b["speakers"], "participants")) > 0
     ended = first_after(begun, of, "first", lambda t: ~inside(t) | turned(t), lambda b: outside(b) | turns(b), "end")
     # Those that nothing ends run to the end of their meeting.
-    last = acts.groupBy("meeting_id").agg((F.max("idx") + 1).alias("n"))
+    last = of.leaves.groupBy("meeting_id").agg((F.max(F.element_at("turns.k", -1)) + 1).alias("n"))
     ends = ended.select("meeting_id", "idx", F.col("end.k").alias("stop"))
     return begun.join(ends, ["meeting_id", "idx"], "left").join(last, "meeting_id").select("meeting_id", "idx", "first", F.coalesce("stop", "n").alias("stop"))
 
@@ -56,9 +56,10 @@ def with_continuations(found: DataFrame, acts: DataFrame, stop_at_new_addressee:
 
 
 def steps(found: DataFrame, ends: DataFrame) -> DataFrame:
-    """(meeting_id, i, next): where a scan goes on after each candidate, by the number of turns of response and continuation."""
+    """(meeting_id, i, next, first, stop): where a scan goes on after each candidate, by the number of turns of response and continuation, and its span."""
     length = F.coalesce(F.col("stop") - F.col("first"), F.lit(0))
-    return found.join(ends, ["meeting_id", "idx"], "left").select("meeting_id", F.col("idx").alias("i"), (F.col("response.idx") + length + 1).alias("next"))
+    rows = found.join(ends, ["meeting_id", "idx"], "left")
+    return rows.select("meeting_id", F.col("idx").alias("i"), (F.col("response.idx") + length + 1).alias("next"), "first", "stop")
 
 
 def greedy(steps: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def greedy(steps: DataFrame) -> DataFrame:
     later one, so segments are scanned by themselves, one fold each: a long meeting is the work of many tasks.
     Where segments begin follows from the greatest step of all earlier candidates, within blocks first and then over blocks.
     """
-    starts = steps.withColumn("block", block_of(F.col("i")))
+    starts = steps.select("meeting_id", "i", "next", block_of(F.col("i")).alias("block"))
     earlier = lambda c, by, at: F.max(c).over(W.partitionBy(*by).orderBy(at).rowsBetween(W.unboundedPreceding, -1))
     blocks = starts.groupBy("meeting_id", "block").agg(F.max("next").alias("far"))
     blocks = blocks.select("meeting_id", "block", earlier("far", ["meeting_id"], "block").alias("far"))
@@ -115,9 +116,9 @@ def _rows(found: DataFrame, infix: str, explicit: bool, confidence: Column, reas
 def explicit_sequences(acts: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Sequences from acts (with idx) that name their addressees."""
     found = kept(candidates(acts, settings), "candidates")
-    ends = kept(spans(found, acts), "spans")
-    taken = greedy(kept(steps(found, ends), "steps"))
-    rows = with_turns(found.join(taken, ["meeting_id", "idx"], "left_semi"), ends, acts)
+    went = kept(steps(found, spans(found, acts)), "steps")
+    ends = went.where("first IS NOT NULL").select("meeting_id", F.col("i").alias("idx"), "first", "stop")
+    rows = with_turns(found.join(greedy(went), ["meeting_id", "idx"], "left_semi"), ends, acts)
     return _rows(rows, "_seq", True, F.lit(10), F.lit("Explicit"), EXPLICIT_SOURCE)
 
 
