@@ -25,21 +25,25 @@ def block_of(idx: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """leaves: (meeting_id, block, turns: array of k, s (speaker), a (set of addressees or null)); tops: (meeting_id, blocks)."""
+    """leaves: (meeting_id, block, turns: array of k, s (speaker), a (set of addressees or null)); texts: (meeting_id, block, texts: array of k, speaker, text); tops: (meeting_id, blocks)."""
 
     leaves: DataFrame
+    texts: DataFrame
     tops: DataFrame
 
 
-def index(acts: DataFrame) -> Index:
-    """Of acts with idx; texts stay out of it. Written, as every search reads it."""
-    named = F.when(F.col("has_explicit_addressee"), F.array_sort(F.array_distinct("addressee")))
+def index(acts: DataFrame, addressees: bool = True) -> Index:
+    """Of acts with idx. Written, as every search reads it; searches read turns only. Without ``addressees`` nobody counts as addressed."""
+    named = F.when(F.col("has_explicit_addressee") & F.lit(addressees), F.array_sort(F.array_distinct("addressee")))
     turn = F.struct(F.col("idx").alias("k"), F.col("speaker").alias("s"), named.alias("a"))
-    leaves = kept(acts.groupBy("meeting_id", block_of(F.col("idx")).alias("block")).agg(F.array_sort(F.collect_list(turn)).alias("turns")), "timeline")
+    text = F.struct(F.col("idx").alias("k"), "speaker", "text")
+    sorted_list = lambda x: F.array_sort(F.collect_list(x))
+    leaves = acts.groupBy("meeting_id", block_of(F.col("idx")).alias("block")).agg(sorted_list(turn).alias("turns"), sorted_list(text).alias("texts"))
+    leaves = kept(leaves, "timeline")
     sets = F.filter("turns.a", lambda a: a.isNotNull())
     content = F.struct("block", F.array_distinct("turns.s").alias("speakers"), F.array_min(sets).alias("least"), F.array_max(sets).alias("most"))
     tops = leaves.groupBy("meeting_id").agg(F.array_sort(F.collect_list(content)).alias("blocks"))
-    return Index(leaves, tops)
+    return Index(leaves.drop("texts"), leaves.drop("turns"), tops)
 
 
 def first_after(asked: DataFrame, of: Index, after: str, fits: Callable[[Column], Column], may_fit: Callable[[Column], Column], name: str) -> DataFrame:
@@ -60,15 +64,13 @@ def first_after(asked: DataFrame, of: Index, after: str, fits: Callable[[Column]
     return found.unionByName(far.withColumn(name, hit).where(F.col(name).isNotNull()).select(*own, name))
 
 
-def turns_between(asked: DataFrame, acts: DataFrame, first: str, stop: str, name: str) -> DataFrame:
+def turns_between(asked: DataFrame, of: Index, first: str, stop: str, name: str) -> DataFrame:
     """(meeting_id, idx, name): the (speaker, text) of acts from ``first`` up to, without, ``stop``.
 
     Every asked row becomes one for each block that it touches, which grows with the turns that it gets.
     """
-    turn = F.struct(F.col("idx").alias("k"), "speaker", "text")
-    texts = acts.groupBy("meeting_id", block_of(F.col("idx")).alias("block")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     spread = asked.select("meeting_id", "idx", first, stop, F.explode(F.sequence(block_of(F.col(first)), block_of(F.col(stop) - 1))).alias("block"))
-    here = F.filter("turns", lambda t: (t["k"] >= F.col(first)) & (t["k"] < F.col(stop)))
-    pieces = spread.join(texts, ["meeting_id", "block"]).select("meeting_id", "idx", F.struct("block", here.alias("turns")).alias("piece"))
+    here = F.filter("texts", lambda t: (t["k"] >= F.col(first)) & (t["k"] < F.col(stop)))
+    pieces = spread.join(of.texts, ["meeting_id", "block"]).select("meeting_id", "idx", F.struct("block", here.alias("turns")).alias("piece"))
     joined = F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["turns"]))
     return pieces.groupBy("meeting_id", "idx").agg(F.transform(joined, lambda t: F.struct(t["speaker"].alias("speaker"), t["text"].alias("text"))).alias(name))

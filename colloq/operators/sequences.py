@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloq.config import DEFAULT, EXPLICIT_SOURCE, INFERRED_SOURCE, Settings
-from colloq.operators.nextevents import block_of, first_after, index, turns_between
+from colloq.operators.nextevents import Index, block_of, first_after, index, turns_between
 from colloq.operators.timeline import context_window, first_response
 from colloq.plans.ranking import numbered
 from colloq.plans.tables import kept
@@ -22,14 +22,12 @@ def candidates(acts: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return rows.withColumn("participants", F.array_distinct(F.concat(F.array("speaker"), "addressee")))
 
 
-def spans(found: DataFrame, acts: DataFrame, stop_at_new_addressee: bool = True) -> DataFrame:
+def spans(found: DataFrame, of: Index) -> DataFrame:
     """(meeting_id, idx, first, stop): the turns first..stop - 1 of each candidate that has a continuation; they follow one another.
 
     It begins with the first participant after the response and ends before an act that addresses another
     set of speakers, and before the next other speaker; others before it begins are skipped. Both ends are searches in the timeline's index.
     """
-    acts = acts if stop_at_new_addressee else acts.withColumn("has_explicit_addressee", F.lit(False))
-    of = index(acts)
     asked = found.select("meeting_id", "idx", F.col("response.idx").alias("after"), "participants", F.array_sort(F.array_distinct("addressee")).alias("own"))
     inside = lambda t: F.array_contains("participants", t["s"])
     turned = lambda t: t["a"].isNotNull() & (t["a"] != F.col("own"))
@@ -44,15 +42,16 @@ def spans(found: DataFrame, acts: DataFrame, stop_at_new_addressee: bool = True)
     return begun.join(ends, ["meeting_id", "idx"], "left").join(last, "meeting_id").select("meeting_id", "idx", "first", F.coalesce("stop", "n").alias("stop"))
 
 
-def with_turns(found: DataFrame, ends: DataFrame, acts: DataFrame) -> DataFrame:
+def with_turns(found: DataFrame, ends: DataFrame, of: Index) -> DataFrame:
     """Candidates with continuation, the turns of their spans (meeting_id, idx, first, stop); none without a span."""
-    more = turns_between(ends.join(found.select("meeting_id", "idx"), ["meeting_id", "idx"], "left_semi"), acts, "first", "stop", "continuation")
+    more = turns_between(ends.join(found.select("meeting_id", "idx"), ["meeting_id", "idx"], "left_semi"), of, "first", "stop", "continuation")
     return found.join(more, ["meeting_id", "idx"], "left").withColumn("continuation", F.coalesce("continuation", F.array().cast(TURN)))
 
 
 def with_continuations(found: DataFrame, acts: DataFrame, stop_at_new_addressee: bool = True) -> DataFrame:
     """Candidates with continuation, later turns of the participants until the exchange ends. They are read twice: hand in a table."""
-    return with_turns(found, spans(found, acts, stop_at_new_addressee), acts)
+    of = index(acts, stop_at_new_addressee)
+    return with_turns(found, spans(found, of), of)
 
 
 def steps(found: DataFrame, ends: DataFrame) -> DataFrame:
@@ -66,23 +65,15 @@ def greedy(steps: DataFrame) -> DataFrame:
     """(meeting_id, idx): the candidates that a scan takes which, after each, goes on at its step (meeting_id, i, next). Read more than once.
 
     It goes on by the number of continuation turns, so it can land inside them. A candidate that no earlier one's step passes
-    over is taken whatever came before; there a segment begins. Steps never leave a segment but to the start of a
-    later one, so segments are scanned by themselves, one fold each: a long meeting is the work of many tasks.
-    Where segments begin follows from the greatest step of all earlier candidates, within blocks first and then over blocks.
+    over is taken whatever came before. Where the first candidate of a block is such a one, a segment begins: segments are scanned by
+    themselves, one fold each, so a long meeting is the work of many tasks. What is ordered within a meeting is a row for each block.
     """
-    starts = steps.select("meeting_id", "i", "next", block_of(F.col("i")).alias("block"))
-    earlier = lambda c, by, at: F.max(c).over(W.partitionBy(*by).orderBy(at).rowsBetween(W.unboundedPreceding, -1))
-    blocks = starts.groupBy("meeting_id", "block").agg(F.max("next").alias("far"))
-    blocks = blocks.select("meeting_id", "block", earlier("far", ["meeting_id"], "block").alias("far"))
-    rows = starts.withColumn("near", earlier("next", ["meeting_id", "block"], "i")).join(blocks, ["meeting_id", "block"])
-    free = F.coalesce(F.greatest("near", "far"), F.lit(0)) <= F.col("i")
-    # Numbers of segments: how many begin up to here, again by blocks.
-    rows = rows.withColumn("free", free.cast("int"))
-    own = F.sum("free").over(W.partitionBy("meeting_id", "block").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
-    sums = rows.groupBy("meeting_id", "block").agg(F.sum("free").alias("free"))
-    before = F.coalesce(F.sum("free").over(W.partitionBy("meeting_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("meeting_id", "block", before.alias("before"))
-    rows = rows.withColumn("own", own).join(sums, ["meeting_id", "block"]).withColumn("segment", F.col("own") + F.col("before"))
+    rows = steps.select("meeting_id", "i", "next", block_of(F.col("i")).alias("block"))
+    blocks = rows.groupBy("meeting_id", "block").agg(F.max("next").alias("far"), F.min("i").alias("head"))
+    w = W.partitionBy("meeting_id").orderBy("block")
+    free = F.coalesce(F.max("far").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) <= F.col("head")
+    blocks = blocks.withColumn("free", free.cast("int")).select("meeting_id", "block", F.sum("free").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("segment"))
+    rows = rows.join(blocks, ["meeting_id", "block"])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("taken"))
     fold = F.aggregate(
         F.array_sort(F.collect_list(F.struct("i", "next"))),
@@ -116,9 +107,10 @@ def _rows(found: DataFrame, infix: str, explicit: bool, confidence: Column, reas
 def explicit_sequences(acts: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Sequences from acts (with idx) that name their addressees."""
     found = kept(candidates(acts, settings), "candidates")
-    went = kept(steps(found, spans(found, acts)), "steps")
+    of = index(acts)
+    went = kept(steps(found, spans(found, of)), "steps")
     ends = went.where("first IS NOT NULL").select("meeting_id", F.col("i").alias("idx"), "first", "stop")
-    rows = with_turns(found.join(greedy(went), ["meeting_id", "idx"], "left_semi"), ends, acts)
+    rows = with_turns(found.join(greedy(went), ["meeting_id", "idx"], "left_semi"), ends, of)
     return _rows(rows, "_seq", True, F.lit(10), F.lit("Explicit"), EXPLICIT_SOURCE)
 
 

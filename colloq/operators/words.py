@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from colloq.functions.text import strip
 from colloq.sources.corpus import addressees
 
-#: Numbered words of a file stand in blocks of so many numbers.
-BLOCK = 256
+#: Numbered words of a file stand in blocks of so many numbers, a power of two.
+BLOCK = 32
 
 
 def _digits(c: Column) -> Column:
@@ -19,10 +19,13 @@ def _digits(c: Column) -> Column:
 
 
 def _place(c: Column) -> tuple[Column, Column]:
-    """(stem, number) of an id; one that isn't a stem and a number written plainly is a stem of its own with number -1."""
-    n = _digits(c).try_cast("long")
-    plain = n.cast("string") == _digits(c)
-    return F.when(plain, F.left(c, F.length(c) - F.length(_digits(c)))).otherwise(c), F.when(plain, n).otherwise(F.lit(-1).cast("long"))
+    """(stem, number) of an id; one that isn't a stem and a number written plainly is a stem of its own with number -1. Neither is ever null, so no join asks for that."""
+    number = F.regexp_extract(c, r"(?s)^.+\.words(0|[1-9][0-9]{0,17})\z", 1)
+    return F.coalesce(F.left(c, F.length(c) - F.length(number)), F.lit("")), F.coalesce(number.try_cast("long"), F.lit(-1).cast("long"))
+
+
+def _block(n: Column) -> Column:
+    return F.shiftright(n, BLOCK.bit_length() - 1)
 
 
 def parsed_refs(acts: DataFrame) -> DataFrame:
@@ -55,7 +58,7 @@ def word_blocks(words: DataFrame) -> DataFrame:
     stem, n = _place(F.col("word_id"))
     rows = words.select("meeting_id", "speaker", stem.alias("stem"), n.alias("n"), "starttime", "endtime", "text")
     word = F.struct("n", "starttime", "endtime", "text")
-    return rows.groupBy("meeting_id", "speaker", "stem", F.floor(F.col("n") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(word)).alias("words"))
+    return rows.groupBy("meeting_id", "speaker", "stem", _block(F.col("n")).alias("block")).agg(F.array_sort(F.collect_list(word)).alias("words"))
 
 
 def _asked(acts: DataFrame) -> DataFrame:
@@ -95,8 +98,7 @@ def act_texts(acts: DataFrame, words: DataFrame) -> DataFrame:
     A range is a slice of its file's blocks: what is shuffled is a row for each block that a reference touches, not for each word.
     """
     keys = ["meeting_id", "speaker"]
-    block = lambda c: F.floor(F.col(c) / BLOCK)
-    asked = _asked(acts).select("*", F.explode(F.sequence(block("first"), block("last"))).alias("block"))
+    asked = _asked(acts).select("*", F.explode_outer(F.sequence(_block(F.col("first")), _block(F.col("last")))).alias("block"))
     met = asked.join(word_blocks(words), [*keys, "stem", "block"])
     here = F.filter("words", lambda w: w["n"].between(F.col("first"), F.col("last")))
     piece = F.transform(

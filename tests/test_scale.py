@@ -65,7 +65,7 @@ def test_a_search_makes_rows_for_turns_returned_only(spark):
     """Exchanges that all run to the end of their meeting: the index is asked three times at most for each, whatever follows."""
     rows = {"m": [("A" if k % 2 else "B", ["A"] if k % 2 == 0 else ["B"], f"t{k}") for k in range(400)]}
     found = Q.candidates(meetings(spark, rows)).persist()
-    ends = Q.spans(found, meetings(spark, rows))
+    ends = Q.spans(found, N.index(meetings(spark, rows)))
     assert ends.count() <= found.count()
     spread = ends.select(F.sum(F.ceil((F.col("stop") - F.col("first")) / N.BLOCK) + 1)).first()[0] or 0
     assert spread <= (ends.select(F.sum(F.col("stop") - F.col("first"))).first()[0] or 0) + 2 * ends.count()
@@ -264,7 +264,6 @@ def test_command_line_keeps_replies(spark, tmp_path):
     n = found.count()
     assert found.where("source <> 'explicit'").count() > 0
     # Replies that are there serve a run without a provider.
-    cli.main(given)
-    assert spark.read.json(f"{tmp_path}/out/sequences").count() == n
+    assert P.sequences(engine.acts(spark, SF), store=f"file://{tmp_path}/replies").count() == n
     with pytest.raises(SystemExit):
         cli.main(["--conversations", "x", "--output", "y", "--provider", "a:b"])
