@@ -10,9 +10,13 @@ second for names; listed names are names in both. A window that has fewer than t
 beside its slots says nothing as a template, so it keeps its values and is found where they are the same.
 
 An item is found in a document if, in one reading and one alignment, at least ``SHARE`` of its windows are there
-and their slots agree: one value of the item stands for one value of the document, and the reverse. An
-alignment is one diagonal (document position less item position), or a cell of ``2 * SHIFT`` neighbouring diagonals; cells
-overlap by half, so that words put in or left out may shift the rest by ``SHIFT`` words in total.
+and their slots agree: one value of the item stands for one value of the document, and for names the reverse too (two numbers
+or units may become equal). An alignment is one diagonal (document position less item position), or a cell of ``2 * SHIFT``
+neighbouring diagonals; cells overlap by half, so that words put in or left out may shift the rest by ``SHIFT`` words in total.
+
+Where a phrase repeats, an item's window meets several places of a cell, whose values contradict. Such a cell is judged by its
+chain: for each window one of its places or none, so that the windows less the sum of steps between diagonals (the words
+put in or left out) are most; of equals the one with most windows, then with the greatest places in order.
 
 Everything is DataFrame functions, and no text is copied beside its windows. Benchmark windows are broadcast if there are at
 most ``BROADCAST_ROWS`` of them and else joined by a shuffle of (ids, position, window).
@@ -20,7 +24,7 @@ most ``BROADCAST_ROWS`` of them and else joined by a shuffle of (ids, position,
 Defined results: null or empty texts match nothing; items and documents under ``WINDOW`` words
 are one window of all their words, so a short item only matches a document that is
 no longer than it; null item ids are reported as null; equal items are reported each;
-documents with equal ids and texts are reported once; of several alignments the one with most windows counts (ties: the first
+documents with equal ids and texts are reported once; of several alignments that agree the one with most windows counts (ties: the first
 reading, then a single diagonal, then the lowest); a very long text is a row per word, and what
 is gathered for one alignment is at most ``2 * SHIFT`` times its item's windows; empty tables give no rows.
 """
@@ -116,6 +120,43 @@ def _bindings(template: Column) -> Column:
     return F.transform(slots, lambda s: F.named_struct(F.lit("a"), name(s["item_values"]), F.lit("b"), name(s["own_values"])))
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _agreed(met: Column) -> Column:
+    """(n_found, n_slots) of an alignment's places, or null if their slots contradict."""
+
+    def judged(bound: Column) -> Column:
+        names = F.filter(bound, lambda s: s["a"].startswith(f"{MARK}n"))
+        one = (F.size(bound) == F.size(F.array_distinct(bound["a"]))) & (F.size(names) == F.size(F.array_distinct(names["b"])))
+        return F.when(one, F.struct(F.size(F.array_distinct(met["i"])).alias("n_found"), F.size(bound).alias("n_slots")))
+
+    return _let(F.array_distinct(F.flatten(met["bound"])), judged)
+
+
+def _chain(met: Column) -> Column:
+    """The places of a cell's chain: one fold over (item position, diagonal), with the best chain that ends on each diagonal as its state."""
+    wide = 2 * SHIFT
+    code = lambda h: h["i"] * wide + h["k"]
+    ends = "array<struct<value:int,n:int,path:array<int>>>"
+    none = F.array_repeat(F.struct(F.lit(0).alias("value"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("path")), wide).cast(ends)
+    start = F.struct(F.lit(-1).alias("i"), none.alias("before"), none.alias("ends"))
+
+    def step(s: Column, h: Column) -> Column:
+        # Places of one window don't follow each other: all go on from what was before it.
+        before = F.when(s["i"] == h["i"], s["before"]).otherwise(s["ends"])
+        come = F.array_max(F.transform(before, lambda c, j: F.struct((c["value"] - F.abs(j - h["k"])).alias("value"), c["n"].alias("n"), c["path"].alias("path"))))
+        further = _let(come, lambda b: F.struct((b["value"] + 1).alias("value"), (b["n"] + 1).alias("n"), F.concat(b["path"], F.array(code(h))).alias("path")))
+        after = F.transform(s["ends"], lambda c, k: F.when(k == h["k"], further).otherwise(c))
+        return F.struct(h["i"].alias("i"), before.alias("before"), after.cast(ends).alias("ends"))
+
+    places = F.array_sort(F.transform(met, lambda h: F.struct(h["i"].alias("i"), h["k"].alias("k"))))
+    best = F.aggregate(places, start, step, lambda s: F.array_max(s["ends"])["path"])
+    return _let(best, lambda path: F.filter(met, lambda h: F.array_contains(path, code(h))))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(doc_id, text_key, item_id, n_windows, n_found, share, n_slots): items that documents hold."""
     items = benchmark.select("item_id", F.col("text").alias("text"), F.xxhash64("text").alias("item_key"))
@@ -143,17 +184,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, share:
     hits = hits.select("*", F.explode(F.when(F.col("templates") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array("templates"))).alias("template"))
     diagonal = F.col("pos") - F.col("item_pos")
     cell = lambda d: F.floor(d / (2 * SHIFT))
-    ways = F.array(*[F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at")) for kind, at in enumerate((diagonal, cell(diagonal), cell(diagonal + SHIFT)))])
+    # A way is an alignment, and k is the diagonal's place in it.
+    way = lambda kind, at, k: F.struct(F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at")).alias("way"), F.pmod(k, F.lit(2 * SHIFT)).cast("int").alias("k"))
+    ways = F.array(way(0, diagonal, F.lit(0)), way(1, cell(diagonal), diagonal), way(2, cell(diagonal + SHIFT), diagonal + SHIFT))
     pair = ["doc_id", "text_key", "item_id", "item_key"]
-    hits = hits.select(*pair, "template", "item_pos", _bindings(F.col("template")).alias("bound"), F.explode(ways).alias("way"))
+    hits = hits.select(*pair, "template", "item_pos", _bindings(F.col("template")).alias("bound"), F.explode(ways).alias("w"))
     # Repeated rows bring nothing new to a set, and sets are merged within tasks before any shuffle.
-    aligned = hits.groupBy(*pair, "template", "way").agg(F.size(F.collect_set("item_pos")).alias("n_found"), F.array_distinct(F.flatten(F.collect_set("bound"))).alias("bound"))
-    n_slots = F.size("bound")
-    aligned = aligned.where((n_slots == F.size(F.array_distinct(F.col("bound.a")))) & (n_slots == F.size(F.array_distinct(F.col("bound.b")))))
-    best = F.max(F.struct("n_found", (-F.col("template")).alias("t"), (-F.col("way.kind")).alias("k"), (-F.col("way.at")).alias("at"), n_slots.alias("n_slots"))).alias("b")
-    found = aligned.groupBy(*pair).agg(best)
-    out = found.alias("f").join(small(sizes).alias("z"), F.col("f.item_id").eqNullSafe(F.col("z.item_id")) & (F.col("f.item_key") == F.col("z.item_key")))
-    out = out.where(F.col("f.b.n_found") >= share * F.col("n_windows"))
+    place = F.struct(F.col("item_pos").alias("i"), F.col("w.k").alias("k"), "bound")
+    aligned = hits.groupBy(*pair, "template", F.col("w.way").alias("way")).agg(F.collect_set(place).alias("met"))
+    sizes = small(sizes.select(F.col("item_id").alias("sized_id"), F.col("item_key").alias("sized_key"), "n_windows"))
+    aligned = aligned.join(sizes, F.col("item_id").eqNullSafe(F.col("sized_id")) & (F.col("item_key") == F.col("sized_key")))
+    aligned = aligned.where(F.size(F.array_distinct("met.i")) >= share * F.col("n_windows"))
+    met = F.col("met")
+    judged = F.coalesce(_agreed(met), F.when(F.col("way.kind") > 0, _let(_chain(met), _agreed)))
+    ranked = lambda j: F.when(j.isNotNull(), F.struct(j["n_found"].alias("n_found"), (-F.col("template")).alias("t"), (-F.col("way.kind")).alias("k"), (-F.col("way.at")).alias("at"), j["n_slots"].alias("n_slots")))
+    found = aligned.groupBy(*pair, "n_windows").agg(F.max(_let(judged, ranked)).alias("b"))
+    # Nothing stands for no agreement: the comparison is null there.
+    out = found.where(F.col("b.n_found") >= share * F.col("n_windows")).alias("f")
     return out.select("f.doc_id", "f.text_key", "f.item_id", "n_windows", "f.b.n_found", "f.b.n_slots", (F.col("f.b.n_found") / F.col("n_windows")).alias("share"))
 
 

@@ -1,6 +1,7 @@
 """Operators that compare texts: brute force, edge cases, the pipeline."""
 
 import collections
+import functools
 import hashlib
 import random
 
@@ -295,6 +296,58 @@ def test_decontamination_needs_one_binding(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(2, 1), (3, 1), (4, 2), (8, 3)}
 
 
+REPEATS = "Rex has 5 apples and Mia has 7 apples and then Rex gives Mia all of his apples so how many apples does Mia now have in her big red basket at home in the end"
+
+
+@pytest.mark.parametrize("at", [0, 1, 5, 6, 12, 13, 20, 31])
+def test_decontamination_where_phrases_repeat(spark, at):
+    """Names and numbers changed, one word put in or left out; phrases meet on several diagonals. Numbers may become equal, names may not."""
+
+    def changed(names, numbers, word=None):
+        swap = dict(zip(["Rex", "Mia", "5", "7"], [*names, *numbers]))
+        out = [swap.get(w, w) for w in REPEATS.split()]
+        return " ".join([*out[:at], *([word] if word else []), *out[at:]])
+
+    docs = [
+        (1, changed(["Zoe", "Ida"], ["8", "2"], "later")), (2, changed(["Zoe", "Ida"], ["8", "2"])), (3, "so " + changed(["Zoe", "Ida"], ["4", "4"], "later")),
+        (4, changed(["Zoe", "Zoe"], ["8", "2"], "later")), (5, changed(["Rex", "Mia"], ["5", "7"], "later")), (6, changed(["Mia", "Rex"], ["7", "5"], "later")),
+        (7, "Zoe".join(changed(["Zoe", "Ida"], ["8", "2"], "later").rsplit("Ida", 1))),
+    ]
+    bench = spark.createDataFrame([(1, REPEATS)], "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3, 5, 6} and len(got) == 5
+
+
+def chain_brute(places):
+    """The best choice of one (i, k) or none for each i, by going on from every choice."""
+    by = collections.defaultdict(list)
+    for i, k in places:
+        by[i].append(k)
+    order = sorted(by)
+
+    @functools.cache
+    def best(at, last):
+        if at == len(order):
+            return 0, 0, ()
+        options = [best(at + 1, last)]
+        for k in by[order[at]]:
+            value, n, path = best(at + 1, k)
+            options.append((value + 1 - (0 if last is None else abs(k - last)), n + 1, (order[at] * 16 + k, *path)))
+        return max(options)
+
+    return best(0, None)[2]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_chains_are_brute_force(spark, seed):
+    r = random.Random(seed)
+    cells = [sorted({(r.randrange(n), r.randrange(r.choice([2, 5, 16]))) for _ in range(r.randrange(1, 3 * n))}) for n in (r.randrange(1, 14) for _ in range(150))]
+    schema = "id int, met array<struct<i:int,k:int,bound:array<struct<a:string,b:string>>>>"
+    df = spark.createDataFrame([(n, [(i, k, []) for i, k in r.sample(c, len(c))]) for n, c in enumerate(cells)], schema)
+    got = {row.id: tuple(sorted(h.i * 16 + h.k for h in row.chain)) for row in df.select("id", decontaminate._chain(F.col("met")).alias("chain")).collect()}
+    assert got == {n: chain_brute(c) for n, c in enumerate(cells)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as C
 
