@@ -391,3 +391,15 @@ def test_url_filter(spark):
     assert got[5] == ("", None, "allow") == got[6] and got[7][1] == "com/en/" and got[8][2] == got[9][2] == "block" and got[10][2] == "allow"
     assert url_filter.filter_urls(df, rules.limit(0)).where("verdict = 'allow'").count() == len(urls)
     assert url_filter.filter_urls(df.limit(0), rules).count() == 0
+
+
+def test_url_rules_are_the_contract(spark, tmp_path):
+    """Each rule's word as the contract lists it, on URLs that only that rule or a longer one fits."""
+    assert set(url_filter.RULES) == {
+        ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"),
+    }
+    urls = ["http://x.com/en/1", "http://example.com/en/71", "http://x.net/de/8", "http://a.example.net/de/7", "http://example.net/de/8", "http://x.org/es/", "http://x.org/en/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.op10_url_filter(spark, str(tmp_path)).collect()}
+    want = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"), (None, "allow")]
+    assert [got[k] for k in range(len(urls))] == want
