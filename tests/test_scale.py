@@ -267,3 +267,20 @@ def test_command_line_keeps_replies(spark, tmp_path):
     assert P.sequences(engine.acts(spark, SF), store=f"file://{tmp_path}/replies").count() == n
     with pytest.raises(SystemExit):
         cli.main(["--conversations", "x", "--output", "y", "--provider", "a:b"])
+
+
+def test_a_long_reference_is_a_text_for_each_block(spark):
+    """400 words of 13 blocks are 13 items of an act and not 400, whatever else the act refers to; and blocks of words are shuffled once, even if everyone is one speaker."""
+    words = spark.range(1, 501).select(F.lit("M").alias("meeting_id"), F.lit("A").alias("speaker"), F.concat(F.lit("M.A.words"), "id").alias("word_id"), F.concat(F.lit("w"), "id").alias("text"), F.col("id").cast("double").alias("starttime"), (F.col("id") + 0.5).alias("endtime"))
+    # One of its ids comes twice: the one that starts last counts.
+    words = words.unionByName(words.where("text = 'w7'").withColumns({"starttime": F.lit(900.0), "text": F.lit("late")}))
+    acts = spark.range(3).select(F.lit("M").alias("meeting_id"), F.lit("A").alias("speaker"), F.concat(F.lit("a"), "id").alias("dact_id"), F.col("id").alias("doc_order"), F.array(F.lit("M.A.words.xml#id(M.A.words1)..id(M.A.words400)")).alias("refs"))
+    assert WR._pieces(acts, words).agg(F.sum(F.size("piece"))).first()[0] == 3 * 13
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = WR.act_texts(acts, words)
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = " ".join("late" if k == 7 else f"w{k}" for k in range(1, 401))
+    assert [(r.text, r.starttime, r.endtime) for r in got.collect()] == [(want, 1.0, 400.5)] * 3
