@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TURN = "struct<speaker:string,text:string>"
 SEQUENCES = (
@@ -20,9 +21,41 @@ INTERMEDIATE = (
 )
 
 
+#: How ``sinks.write_array`` begins and ends a file: only whole elements end at the start of a line.
+HEAD, TAIL = b'[\n{\n  "', b"\n}\n]\n"
+
+
+def _by_lines(spark: SparkSession, path: str) -> bool:
+    """Whether this is one file that begins and ends as ``sinks.write_array`` writes them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at) or not fs.getFileStatus(at).isFile():
+        return False
+    size = fs.getFileStatus(at).getLen()
+    if size < len(HEAD) + len(TAIL):
+        return False
+    given = fs.open(at)
+    try:
+        head = bytes(given.readNBytes(len(HEAD)))
+        given.seek(size - len(TAIL))
+        return head == HEAD and bytes(given.readNBytes(len(TAIL))) == TAIL
+    finally:
+        given.close()
+
+
 def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One top-level JSON array in each file."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=True)
+    """One top-level JSON array in each file.
+
+    A parser takes a file whole, in one task. Files as ``sinks.write_array`` makes them are parted where elements end instead, by as many tasks as they
+    have splits: strings hold no bare line breaks, and what is nested is indented.
+    """
+    if not _by_lines(spark, path):
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=True)
+    rows = spark.read.option("lineSep", "\n}").text(path)
+    element = F.regexp_replace("value", r"^\s*[\[,]?\s*", "")
+    # Nothing but the closing bracket follows the last element.
+    rows = rows.where(F.trim(F.translate("value", "\n", "")) != "]")
+    return rows.select(F.from_json(F.concat(element, F.lit("\n}")), schema, {"mode": "FAILFAST"}).alias("element")).select("element.*")
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -284,3 +284,26 @@ def test_a_long_reference_is_a_text_for_each_block(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     want = " ".join("late" if k == 7 else f"w{k}" for k in range(1, 401))
     assert [(r.text, r.starttime, r.endtime) for r in got.collect()] == [(want, 1.0, 400.5)] * 3
+
+
+def test_one_array_is_read_by_many_tasks(spark, tmp_path):
+    """A file that write_array made is parted where its elements end; strings that look like ends, and files of other forms, are read as they are."""
+    odd = ['"', "\n}", "},{", "]\n", "\\", "", None, "\u2028\r\n\t}"]
+    schema = "n long, t string, a array<struct<t:string,k:int>>, m struct<x:array<int>>"
+    want = [(k, odd[k % len(odd)], [(odd[(k + 1) % len(odd)], k)] * (k % 3), ([k],) if k % 5 else None) for k in range(4000)]
+    path = f"file://{tmp_path}/array.json"
+    sinks.write_array(spark.createDataFrame(want, schema).repartition(7), path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        got = files.read_array(spark, path, schema)
+        assert got.rdd.getNumPartitions() > 8
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, spark.createDataFrame(want, schema).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    text = (tmp_path / "array.json").read_text()
+    # Cut short, it fails as before; in another form it is parsed whole.
+    (tmp_path / "cut.json").write_text(text[: len(text) // 2])
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        files.read_array(spark, f"file://{tmp_path}/cut.json", schema).collect()
+    (tmp_path / "other.json").write_text(json.dumps(json.loads(text)))
+    assert files.read_array(spark, f"file://{tmp_path}/other.json", schema).count() == len(want)
