@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloq.functions.text import normalize
+
 
 def sequence_speakers() -> Column:
     """Everyone who speaks or is addressed in a sequence, sorted."""
@@ -34,10 +36,12 @@ def _turns(sequences: DataFrame) -> DataFrame:
     return sequences.select("meeting_id", "sequence_id", sequence_speakers().alias("all_speakers"), timeline().alias("turns"))
 
 
-def _points(rows: DataFrame, context: int | None, *more: str) -> DataFrame:
-    """Points of rows with turns, all_speakers, turn_index, turn and target_speaker; contexts are the last ``context`` turns (None: all before)."""
-    pair = lambda t: F.struct(t["speaker"].alias("speaker"), t["text"].alias("text"))
-    n = F.col("turn_index") if context is None else F.least(F.col("turn_index"), F.lit(context))
+def _pair(t: Column) -> Column:
+    return F.struct(t["speaker"].alias("speaker"), t["text"].alias("text"))
+
+
+def _points(rows: DataFrame, before: Column, follower: Column, *more: str) -> DataFrame:
+    """Points of rows with all_speakers, turn_index, turn and target_speaker, by the turns before and the next speaker."""
     return rows.select(
         F.concat("sequence_id", F.lit("_turn"), "turn_index", F.lit("_target"), "target_speaker").alias("decision_point_id"),
         "sequence_id",
@@ -46,21 +50,46 @@ def _points(rows: DataFrame, context: int | None, *more: str) -> DataFrame:
         "all_speakers",
         "turn_index",
         F.col("turn.turn_type").alias("turn_type"),
-        F.transform(F.slice("turns", F.col("turn_index") - n + 1, n), pair).alias("context_turns"),
-        pair(F.col("turn")).alias("current_turn"),
+        F.transform(before, _pair).alias("context_turns"),
+        _pair(F.col("turn")).alias("current_turn"),
         F.col("turn.addressees").alias("addressees_in_current"),
         F.array_contains("turn.addressees", F.col("target_speaker")).alias("target_is_addressed"),
-        F.coalesce(F.get("turns", F.col("turn_index") + 1)["speaker"] == F.col("target_speaker"), F.lit(False)).alias("target_spoke_next"),
+        F.coalesce(follower == F.col("target_speaker"), F.lit(False)).alias("target_spoke_next"),
         *more,
     )
 
 
-def decision_points(sequences: DataFrame, context: int | None = None) -> DataFrame:
-    """One row per turn and other speaker. Contexts are slices, made only where they are used; with ``context`` only so many last turns."""
+def _all_before() -> tuple[Column, Column]:
+    """The turns before turn_index, and who speaks after it."""
+    return F.slice("turns", F.lit(1), F.col("turn_index")), F.get("turns", F.col("turn_index") + 1)["speaker"]
+
+
+def recent_points(sequences: DataFrame, context: int) -> DataFrame:
+    """``decision_points`` with the last ``context`` turns only, and normal and normal_before: normalised text, and (speaker, normal) of those turns.
+
+    A turn's row holds the turns near it, not its whole sequence, and a text is normalised once, not for each speaker and neighbour.
+    """
+    own = lambda t: F.struct(t["speaker"].alias("speaker"), t["text"].alias("text"), t["addressees"].alias("addressees"), t["turn_type"].alias("turn_type"), normalize(t["text"]).alias("normal"))
+    rows = _turns(sequences).withColumn("turns", F.transform("turns", own))
+    near = F.transform(
+        "turns",
+        lambda t, i: F.struct(
+            t.alias("turn"), F.slice("turns", F.greatest(i - context, F.lit(0)) + 1, F.least(i, F.lit(context))).alias("before"), F.get("turns", i + 1)["speaker"].alias("follower")
+        ),
+    )
+    each = rows.select("meeting_id", "sequence_id", "all_speakers", F.posexplode_outer(near).alias("turn_index", "near")).select("*", "near.*").drop("near")
+    others = F.explode_outer(F.filter("all_speakers", lambda s: s != F.col("turn.speaker")))
+    named = each.select("*", others.alias("target_speaker")).where("target_speaker IS NOT NULL")
+    named = named.withColumns({"normal": F.col("turn.normal"), "normal_before": F.transform("before", lambda t: F.struct(t["speaker"].alias("speaker"), t["normal"].alias("normal")))})
+    return _points(named, F.col("before"), F.col("follower"), "normal", "normal_before")
+
+
+def decision_points(sequences: DataFrame) -> DataFrame:
+    """One row per turn and other speaker. Contexts are slices, made only where they are used."""
     # Outer, as the inner form asks first for arrays that aren't empty, which makes them twice; a sequence always has turns.
     each = _turns(sequences).select("*", F.posexplode_outer("turns").alias("turn_index", "turn"))
     others = F.explode_outer(F.filter("all_speakers", lambda s: s != F.col("turn.speaker")))
-    return _points(each.select("*", others.alias("target_speaker")).where("target_speaker IS NOT NULL"), context)
+    return _points(each.select("*", others.alias("target_speaker")).where("target_speaker IS NOT NULL"), *_all_before())
 
 
 def points_of(keys: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -72,7 +101,7 @@ def points_of(keys: DataFrame, sequences: DataFrame) -> DataFrame:
     more = [c for c in keys.columns if c not in (*place, "turn_index", "target_speaker")]
     asked = keys.groupBy(*place).agg(F.collect_list(F.struct("turn_index", "target_speaker", *more)).alias("asked"))
     rows = _turns(sequences).join(asked, list(place)).select(*place, "all_speakers", "turns", F.explode("asked").alias("key")).select("*", "key.*")
-    return _points(rows.withColumn("turn", F.get("turns", "turn_index")), None, *more)
+    return _points(rows.withColumn("turn", F.get("turns", "turn_index")), *_all_before(), *more)
 
 
 def turn_type_counts(points: DataFrame) -> DataFrame:

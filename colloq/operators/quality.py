@@ -19,17 +19,17 @@ def filtered(samples: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return samples.where(~is_low_quality(F.col("current_turn.text"), settings.min_text_length, settings.min_word_share))
 
 
-def signature(context: int = 3) -> Column:
-    """Normalised text, the last turns and the decision; neither target nor meeting."""
-    turns = F.col("context_turns")
+def signature(context: int = 3, normal: bool = False) -> Column:
+    """Normalised text, the last turns and the decision; neither target nor meeting. With ``normal`` texts were normalised before (``recent_points``)."""
+    turns = F.col("normal_before" if normal else "context_turns")
     last = F.slice(turns, F.greatest(F.lit(1), F.size(turns) - context + 1), F.lit(context))
-    lines = F.array_join(F.transform(last, lambda t: F.concat(t["speaker"], F.lit(":"), normalize(t["text"]))), "|")
-    return F.concat_ws(":::", normalize(F.col("current_turn.text")), lines, F.col("decision"))
+    lines = F.array_join(F.transform(last, lambda t: F.concat(t["speaker"], F.lit(":"), t["normal"] if normal else normalize(t["text"]))), "|")
+    return F.concat_ws(":::", F.col("normal") if normal else normalize(F.col("current_turn.text")), lines, F.col("decision"))
 
 
-def signature_key(context: int = 3) -> Column:
+def signature_key(context: int = 3, normal: bool = False) -> Column:
     """128 bits of the signature, which is what a shuffle carries of it."""
-    return F.unhex(F.md5(signature(context).cast("binary")))
+    return F.unhex(F.md5(signature(context, normal).cast("binary")))
 
 
 def _best(samples: DataFrame, key: Column, *columns: str) -> DataFrame:
@@ -53,4 +53,4 @@ KEYS = (*POSITION, "decision", "confidence", "category")
 
 def unique_keys(samples: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """``KEYS`` of the samples that ``deduplicated`` keeps: neither text nor context is shuffled."""
-    return _best(samples, signature_key(settings.signature_context), *KEYS)
+    return _best(samples, signature_key(settings.signature_context, "normal_before" in samples.columns), *KEYS)

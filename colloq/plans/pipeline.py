@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from colloq.config import DEFAULT, Settings
 from colloq.operators import quality as Q
 from colloq.operators.balance import selected
-from colloq.operators.decisions import decision_points, points_of
+from colloq.operators.decisions import decision_points, points_of, recent_points
 from colloq.operators.formatting import intermediate, training_text
 from colloq.operators.inference import answered, ask_missing, call, parsed, prompts, unaddressed
 from colloq.operators.labels import POSITION, categorized, reason
@@ -66,7 +66,7 @@ def unique_keys(found: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     Signatures and categories look at the last turns only, so no whole context is made for a sample that may go.
     """
     looked_at = max(settings.signature_context, settings.recent_speak, settings.recent_silent)
-    points = categorized(decision_points(found, looked_at), settings)
+    points = categorized(recent_points(found, looked_at), settings)
     return kept(Q.unique_keys(filtered(points, settings), settings), "unique")
 
 

@@ -7,6 +7,7 @@ import random
 import pytest
 from colloq import cli
 from colloq.operators import balance as B
+from colloq.operators import decisions as D
 from colloq.operators import inference as I
 from colloq.operators import nextevents as N
 from colloq.operators import quality as U
@@ -307,3 +308,18 @@ def test_one_array_is_read_by_many_tasks(spark, tmp_path):
         files.read_array(spark, f"file://{tmp_path}/cut.json", schema).collect()
     (tmp_path / "other.json").write_text(json.dumps(json.loads(text)))
     assert files.read_array(spark, f"file://{tmp_path}/other.json", schema).count() == len(want)
+
+
+def test_points_with_near_turns_are_those_with_all(spark):
+    """What decides a sample's signature and category is the same where a row holds the last turns only and their texts were normalised once."""
+    found = engine.sequences(spark, SF)
+    near = P.categorized(D.recent_points(found, 3))
+    assert near.agg(F.max(F.size("context_turns"))).first()[0] == 3
+    kinds = ["decision_point_id", "decision", "category", "turn_type", "target_is_addressed"]
+    last = F.slice("context_turns", F.greatest(F.lit(1), F.size("context_turns") - 2), F.lit(3)).alias("context_turns")
+    got = near.select(*kinds, "context_turns", "current_turn", U.signature(3, True).alias("signature"))
+    want = P.samples(found).select(*kinds, last, "current_turn", U.signature(3).alias("signature"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) != []
+    # No row that is made for each turn or speaker has the turns of its whole sequence.
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("turns#" in line.partition("[")[2].partition("]")[0] for line in plan.splitlines() if "Generate explode" in line)
