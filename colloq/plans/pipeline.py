@@ -22,8 +22,8 @@ from colloq.sources import corpus
 
 
 def corpus_acts(spark: SparkSession, folder: str, settings: Settings = DEFAULT, charset: str = "UTF-8") -> DataFrame:
-    """Indexed acts of the meetings that are worth reading."""
-    refs = corpus.act_refs(spark, folder, charset)
+    """Indexed acts of the meetings that are worth reading. Files of acts are parsed once, into a table, as three steps ask for them."""
+    refs = kept(corpus.act_refs(spark, folder, charset).repartition("meeting_id", "speaker", "doc_order"), "acts")
     refs = in_meetings(refs, corpus.annotated_meetings(refs, settings.meeting_limit))
     return indexed(assembled(refs, corpus.words(spark, folder)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,6 +46,11 @@ def meeting_speakers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _files(spark: SparkSession, form: str, pattern: str) -> DataFrameReader:
+    """A reader of a folder's files whose names fit. The folder is listed once: a pattern in a path makes each file a path of its own, which a job of up to 10,000 tasks lists."""
+    return spark.read.format(form).option("pathGlobFilter", pattern)
+
+
 def words(spark: SparkSession, folder: str) -> DataFrame:
     """(meeting_id, speaker, word_id, text, starttime, endtime) of all ``words/*.words.xml``; only w elements."""
     raw = spark.read.format("xml").option("rowTag", "w").option("mode", "FAILFAST").schema(WORDS).load(f"{folder}/words/*.words.xml")
@@ -66,7 +71,7 @@ def act_refs(spark: SparkSession, folder: str, charset: str = "UTF-8") -> DataFr
 
     Files are parsed whole, so that acts keep their order in the document.
     """
-    raw = spark.read.format("binaryFile").load(f"{folder}/dialogueActs/*.dialog-act.xml")
+    raw = _files(spark, "binaryFile", "*.dialog-act.xml").load(f"{folder}/dialogueActs")
     name = F.element_at(F.split("path", "/"), -1)
     body = F.regexp_replace(F.decode("content", charset), r"^\s*<\?xml[^>]*\?>", "")
     acts = raw.select(_part(name, 0).alias("meeting_id"), _part(name, 1).alias("speaker"), F.from_xml(body, f"dact array<{ACT}>").alias("x"))

@@ -1,10 +1,12 @@
 """Sources and sinks: XML, JSON, reports, the command line, a stream."""
 
 import json
+from dataclasses import replace
 from pathlib import Path
 
 import pytest
 from colloq import cli
+from colloq.config import DEFAULT
 from colloq.operators import sequences as Q
 from colloq.plans import pipeline as P
 from colloq.queries import engine
@@ -57,6 +59,23 @@ def test_corpus(spark, folder):
         assert corpus.meeting_speakers(spark, folder + "/words").count() == 0
 
 
+def test_corpus_is_listed_once_and_acts_are_parsed_once(spark, tmp_path):
+    """No job lists files one by one, however many they are, and only the table of acts is read again."""
+    for sub, name, body in (("words", "words", '<w nite:id="M{k}.A.words1" starttime="1" endtime="2">w{k}</w>'), ("dialogueActs", "dialog-act", '<dact nite:id="a" addressee="B"><nite:child href="f#id(M{k}.A.words1)"/></dact>')):
+        (tmp_path / sub).mkdir()
+        (tmp_path / sub / "notes.xml").write_text("not XML")
+        for k in range(40):
+            (tmp_path / sub / f"M{k}.A.{name}.xml").write_text(f"<r {NS}>{body.replace('{k}', str(k))}</r>")
+    spark.sparkContext.setJobGroup("listing", "listing")
+    refs = corpus.act_refs(spark, str(tmp_path))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("listing")) == 0
+    assert refs.count() == 40
+    acts = P.corpus_acts(spark, str(tmp_path), replace(DEFAULT, meeting_limit=None))
+    assert "binaryFile" not in acts._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.meeting_id, r.text) for r in acts.collect()} == {(f"M{k}", f"w{k}") for k in range(40)}
+
+
 def test_json_round_trip(spark, tmp_path):
     found = engine.sequences(spark, SF)
     sinks.write_lines(found, f"{tmp_path}/lines", "meeting_id", "sequence_id")
