@@ -133,6 +133,22 @@ def test_drawn_samples_are_the_first_of_each_category(spark):
     assert [x.sequence_id for x in B.selected(keys).orderBy("sample_id").collect()] == want
 
 
+def test_reference_counts_are_those_of_words_one_by_one(spark):
+    """Ranges that overlap, that cross blocks, that count down, single ids in and out of ranges, zeros before a number: as by the words themselves, with rows for blocks only."""
+    r = random.Random(5)
+    one = lambda: f"{r.choice(['M.A.words', 'N.A.words', 'odd', '.words'])}{r.choice(['', '', '0'])}{r.choice([r.randrange(100), r.randrange(1000), 9223372036854775800 + r.randrange(10), 99999999999999999999])}"
+    near = lambda: (lambda s, k: f"f#id({s}{k})..id({s}{k + r.randrange(-9, 90)})")(r.choice(["M.A.words", "N.A.words"]), r.choice([r.randrange(400), 9223372036854775700 + r.randrange(17)]))
+    alone = lambda: "f#" + " ".join(f"id({r.choice([one(), 'plain', 'M.A.wordsX', 'words3'])})" for _ in range(r.choice([0, 1, 1, 2, 3])))
+    rows = [(f"M{k % 7}", r.choice("AB"), k, [r.choice([near, alone])() for _ in range(r.randrange(4))]) for k in range(300)]
+    rows += [("down", "A", 0, ["f#id(M.A.words9)..id(M.A.words3)"]), ("long", "A", 0, ["f#id(M.A.words5)..id(M.A.words100004)"]), ("nothing", "A", 0, [])]
+    acts = spark.createDataFrame(rows, "meeting_id string, speaker string, doc_order long, refs array<string>")
+    want = WR.resolved_refs(acts).groupBy("meeting_id").agg(F.count(F.lit(1)), F.countDistinct("word_id"), F.max("word_pos"))
+    got = WR.reference_counts(acts)
+    assert {tuple(x) for x in got.collect()} == {tuple(x) for x in want.collect()} and got.count() == 8
+    assert got.where("meeting_id = 'long'").first()[1:] == (100_000, 100_000, 99_999)
+    assert [t for _, t in got.dtypes] == [t for _, t in want.dtypes]
+
+
 def by_hand(refs, words, meeting="M", speaker="A"):
     """Text of references, word by word."""
     import re
