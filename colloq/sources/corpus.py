@@ -53,7 +53,7 @@ def _files(spark: SparkSession, form: str, pattern: str) -> DataFrameReader:
 
 def words(spark: SparkSession, folder: str) -> DataFrame:
     """(meeting_id, speaker, word_id, text, starttime, endtime) of all ``words/*.words.xml``; only w elements."""
-    raw = spark.read.format("xml").option("rowTag", "w").option("mode", "FAILFAST").schema(WORDS).load(f"{folder}/words/*.words.xml")
+    raw = _files(spark, "xml", "*.words.xml").option("rowTag", "w").option("mode", "FAILFAST").schema(WORDS).load(f"{folder}/words")
     name = F.col("_metadata.file_name")
     seconds = lambda c: F.coalesce(F.when(F.col(c) != "", F.col(c).cast("double")), F.lit(0.0))
     return raw.select(

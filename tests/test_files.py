@@ -67,10 +67,10 @@ def test_corpus_is_listed_once_and_acts_are_parsed_once(spark, tmp_path):
         for k in range(40):
             (tmp_path / sub / f"M{k}.A.{name}.xml").write_text(f"<r {NS}>{body.replace('{k}', str(k))}</r>")
     spark.sparkContext.setJobGroup("listing", "listing")
-    refs = corpus.act_refs(spark, str(tmp_path))
+    words, refs = corpus.words(spark, str(tmp_path)), corpus.act_refs(spark, str(tmp_path))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("listing")) == 0
-    assert refs.count() == 40
+    assert words.count() == refs.count() == 40
     acts = P.corpus_acts(spark, str(tmp_path), replace(DEFAULT, meeting_limit=None))
     assert "binaryFile" not in acts._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.meeting_id, r.text) for r in acts.collect()} == {(f"M{k}", f"w{k}") for k in range(40)}
