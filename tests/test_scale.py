@@ -339,3 +339,64 @@ def test_points_with_near_turns_are_those_with_all(spark):
     # No row that is made for each turn or speaker has the turns of its whole sequence.
     plan = near._jdf.queryExecution().optimizedPlan().toString()
     assert not any("turns#" in line.partition("[")[2].partition("]")[0] for line in plan.splitlines() if "Generate explode" in line)
+
+
+def shuffled(spark):
+    """Bytes that this session has written for shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_texts_of_references_that_overlap_are_not_shuffled(spark):
+    """A word goes to its shelf once, however many acts name it."""
+    r = random.Random(3)
+    words = spark.createDataFrame([("M", "A", f"M.A.words{k}", "".join(r.choices("abcdefghijklmnop", k=8)), k * 0.5, k * 0.5 + 0.25) for k in range(6000)], "meeting_id string, speaker string, word_id string, text string, starttime double, endtime double").repartition(4).persist()
+    text = {x.word_id: x.text for x in words.collect()}
+    ids = lambda a, b: f"f#id(M.A.words{a})..id(M.A.words{b})"
+    # Every tenth word begins a reference of 400, some across the border of shelves; every other act has two.
+    acts = {k: [ids(k, k + 399)] + [ids(k + 450, k + 460)] * (k % 20 == 0) for k in range(0, 5500, 10)}
+    rows = spark.createDataFrame([("M", "A", k, a) for k, a in acts.items()], "meeting_id string, speaker string, doc_order long, refs array<string>").persist()
+    assert rows.count() and words.count()
+    before = shuffled(spark)
+    got = {x.doc_order: (x.text, x.starttime, x.endtime) for x in WR.act_texts(rows, words).collect()}
+    moved = shuffled(spark) - before
+    want = {k: (" ".join(text[f"M.A.words{x}"] for a, b in [(k, k + 399), (k + 450, k + 460)][: 1 + (k % 20 == 0)] for x in range(a, b + 1)), k * 0.5 or 0.5, (k + (460 if k % 20 == 0 else 399)) * 0.5 + 0.25) for k in acts}
+    assert got == want
+    # Texts are 2 MB, words 60 KB.
+    assert moved < 0.15 * sum(len(t) for t, _, _ in got.values())
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_references_across_shelves(spark, seed):
+    """Around the borders of shelves, far beyond them, with ids twice, texts that are missing or empty or begin with space, and times of 0 or none: as word by word."""
+    r = random.Random(seed)
+    near = [*range(12), *range(4085, 4105), *range(4600, 4615), *range(8185, 8210), *range(12280, 12295)]
+    words = {}
+    rows = []
+    for k in near:
+        for _ in range(r.choice([0, 1, 1, 1, 2])):
+            w = (r.choice([f"w{k}", f"w{k}", "", " x", " é　", None]), r.choice([0.0, None, k * 0.5, k * 0.25 + 1]), r.choice([0.0, None, k + 0.5, 3.0]))
+            rows.append(("M", "A", f"M.A.words{k}", *w))
+            rank = lambda w: (w[1] is not None, w[1] or 0.0, w[2] is not None, w[2] or 0.0, w[0] is not None, w[0] or "")
+            words[k] = max(words.get(k, w), w, key=rank)
+    place = lambda: max(0, r.choice(near) + r.randrange(-2, 3))
+    ref = lambda: sorted((place(), place())) if r.random() < 0.6 else (lambda k: [k, k + r.randrange(600)])(place()) if r.random() < 0.8 else [place()]
+    acts = [[ref() for _ in range(r.choice([0, 1, 1, 1, 2, 3]))] for _ in range(300)]
+    table = spark.createDataFrame(rows, "meeting_id string, speaker string, word_id string, text string, starttime double, endtime double").repartition(5)
+    form = lambda a: "f#" + "..".join(f"id(M.A.words{k})" for k in a)
+    asked = spark.createDataFrame([("M", "A", k, [form(x) for x in a]) for k, a in enumerate(acts)], "meeting_id string, speaker string, doc_order long, refs array<string>")
+    want = {}
+    for k, a in enumerate(acts):
+        found = [words[n] for x in a for n in range(x[0], x[-1] + 1) if n in words]
+        if text := " ".join(t for t, _, _ in found if t is not None).strip():
+            want[k] = (text, min((s for _, s, _ in found if s), default=0.0), max((e for _, _, e in found if e), default=0.0))
+    got = [(x.doc_order, (x.text, x.starttime, x.endtime)) for x in WR.act_texts(asked, table).collect()]
+    assert len(got) == len(want) > 150 and dict(got) == want
+    # With few rows in a batch an act's rows, and a shelf's words, come in several.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = [(x.doc_order, (x.text, x.starttime, x.endtime)) for x in WR.act_texts(asked, table).collect()]
+        assert len(got) == len(want) and dict(got) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
