@@ -73,8 +73,8 @@ def json_dispatch(spark, d):
 
 def file_per_sample(spark, d):
     folder = f"{_folder(spark)}/each"
-    sinks.write_each(E._final(spark, d), folder)
-    return files.read_array(spark, folder, files.INTERMEDIATE).select("sample_id", "decision_point_id", "decision", "category")
+    sinks.write_each(E._final(spark, d), folder, per_folder=1000)
+    return files.read_each(spark, folder, files.INTERMEDIATE).select("sample_id", "decision_point_id", "decision", "category")
 
 
 def summary_document(spark, d):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloq.sources.sinks import _opened, listed
+
 TURN = "struct<speaker:string,text:string>"
 SEQUENCES = (
     f"meeting_id string, sequence_id string, context array<{TURN}>, addressing_turn struct<speaker:string,addressees:array<string>,text:string,"
@@ -58,6 +60,40 @@ def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select(F.from_json(F.concat(element, F.lit("\n}")), schema, {"mode": "FAILFAST"}).alias("element")).select("element.*")
 
 
+#: Texts of files are sent on when they are so many characters.
+AT_ONCE = 4 << 20
+
+
+def read_each(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """One JSON object in each ``.json`` file under a folder that all machines see, its subfolders too; hidden files are left out.
+
+    Spark's own readers keep every file's name and size on the driver. Here it lists the folder's own entries only: tasks list the subfolders that
+    ``sinks.write_each`` makes, and open the files.
+    """
+
+    def run(frames):
+        import pandas as pd
+
+        store, base = _opened(folder)
+        for frame in frames:
+            texts, size = [], 0
+            for path in frame["path"]:
+                name = path.rpartition("/")[2]
+                if not name.endswith(".json") or name[0] in "._":
+                    continue
+                with store.open_input_stream(f"{base}/{path}") as given:
+                    texts.append(given.read().decode())
+                size += len(texts[-1])
+                if size > AT_ONCE:
+                    yield pd.DataFrame({"value": texts})
+                    texts, size = [], 0
+            if texts:
+                yield pd.DataFrame({"value": texts})
+
+    rows = listed(spark, folder).select("path").mapInPandas(run, "value string")
+    return rows.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("element")).select("element.*")
+
+
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON object a line; blank lines are skipped."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -99,20 +99,28 @@ def write_array(df: DataFrame, path: str, *order: str) -> None:
     write_stitched(df.sparkSession, path, ["[\n", rows.select(value.alias("value")), "]\n"])
 
 
-def write_each(df: DataFrame, folder: str, number: str = "sample_id") -> None:
+def write_each(df: DataFrame, folder: str, number: str = "sample_id", per_folder: int | None = None) -> None:
     """One JSON file per row, ``{number}.json``, written by the tasks into a folder that all of them see.
 
-    Opt-in: as many files as rows. A repeated task writes the same files again.
+    Opt-in: as many files as rows. A repeated task writes the same files again. With ``per_folder``, numbers stand in subfolders of so many, so that no
+    one ever has to list all files: ``{number // per_folder}/{number}.json``.
     """
-    rows = df.select(F.col(number).cast("string").alias("n"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
+    name = F.col(number).cast("string")
+    if per_folder:
+        name = F.concat(F.floor(F.col(number) / per_folder).cast("string"), F.lit("/"), name)
+    rows = df.select(name.alias("n"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
 
     def run(part):
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
-        store.create_dir(base, recursive=True)
+        made = set()
         for r in part:
-            with store.open_output_stream(f"{base}/{r.n}.json") as out:
+            path = f"{base}/{r.n}.json"
+            if (own := path.rpartition("/")[0]) not in made:
+                store.create_dir(own, recursive=True)
+                made.add(own)
+            with store.open_output_stream(path) as out:
                 out.write(json.dumps(json.loads(r.j), indent=2).encode())
 
     rows.foreachPartition(run)

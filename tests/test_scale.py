@@ -400,3 +400,27 @@ def test_references_across_shelves(spark, seed):
         assert len(got) == len(want) and dict(got) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_files_of_samples_are_not_listed_by_the_driver(spark, tmp_path):
+    """A file for each sample, in subfolders that tasks list: no name of a file reaches the driver, and rows are those that were written."""
+    got = engine.QUERIES["file_per_sample"](spark, SF)
+    assert got.inputFiles() == []
+    want = engine.balanced_samples(spark, SF)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    odd = ['"', "\n}", "\\", "", None, "\u2028\r\n\t}", "é"]
+    schema = "sample_id long, t string, a array<string>"
+    rows = [(k, odd[k % len(odd)], [odd[(k + 1) % len(odd)]] * (k % 3)) for k in range(1, 251)]
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    for _ in range(2):  # a task that is run again puts the same files in place
+        sinks.write_each(df, f"file://{tmp_path}/each", per_folder=100)
+    assert sorted(os.listdir(tmp_path / "each")) == ["0", "1", "2"] and len(os.listdir(tmp_path / "each/1")) == 100
+    assert json.loads((tmp_path / "each/2/200.json").read_text())["sample_id"] == 200
+    (tmp_path / "each/1/.hidden.json").write_text("{")
+    back = lambda folder: sorted(map(repr, files.read_each(spark, f"file://{tmp_path}/{folder}", schema).collect()))
+    assert back("each") == sorted(map(repr, df.collect()))
+    sinks.write_each(df, f"{tmp_path}/flat")
+    assert back("flat") == back("each")
+    (tmp_path / "each/1/broken.json").write_text("{")
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED"):
+        back("each")
